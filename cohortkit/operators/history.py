@@ -22,9 +22,12 @@ group, and all ten statistics are prefix statistics:
    Spark aggregates: a value histogram (value, count) of earlier chunks and the
    last earlier value.  Its size is bounded by the number of distinct values of
    the group, not its rows.
-4. One ``cogroup(...).applyInPandas`` per (keys, test, chunk) sweeps the chunk
-   in time order with running sums and a Fenwick tree over value ranks for the
-   exact order statistics.  Every task holds at most one chunk plus its carry.
+4. Carry rows and chunk rows are hash-partitioned by (keys, test, chunk) and
+   sorted; one ``mapInPandas`` pass sweeps each chunk in time order: group-wise
+   cumulative sums / min / max / forward fill (vectorised), and for the order
+   statistics a sorted list (no carry) or a Fenwick tree over value ranks
+   seeded by the carry histogram.  A task holds at most one chunk and its carry
+   in memory at a time.
 
 Null keys are matched to null keys (dplyr join semantics) because grouping
 treats NULL as a value; pass ``null_safe=False`` to drop null-key rows instead.
@@ -32,6 +35,7 @@ treats NULL as a value; pass ``null_safe=False`` to drop null-key rows instead.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -48,139 +52,178 @@ _KIND_INDEX = 0  # sorts before a measurement at the same instant: strict "<"
 _KIND_MEASURE = 1
 
 
-def _fenwick_kth(tree: np.ndarray, size: int, k: int, log: int) -> int:
-    """0-based rank position of the k-th (1-based) smallest element."""
-    pos = 0
-    step = log
-    while step:
-        nxt = pos + step
-        if nxt <= size and tree[nxt] < k:
-            pos = nxt
-            k -= tree[nxt]
-        step >>= 1
-    return pos  # index into the sorted distinct values
-
-
-def _sweep(keys: Sequence[str], test_col: str, index_id: str, stats: Sequence[str],
-           out_names: Sequence[str]):
-    want_q = "median" in stats or "iqr" in stats
-
-    def run(stream: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        if stream.empty:
-            return pd.DataFrame(columns=list(out_names))
-        stream = stream.sort_values(["_t", "_kind", "_ord"], kind="mergesort", ignore_index=True)
-        is_m = (stream["_kind"].to_numpy() == _KIND_MEASURE)
-        vals = stream["_v"].to_numpy(dtype="float64")
-        first_v = float(stream["_first"].iloc[0]) if pd.notna(stream["_first"].iloc[0]) else np.nan
-
-        hist = carry[carry["_ck"] == 0]
-        last_row = carry[carry["_ck"] == 1]
-        hv = hist["_v"].to_numpy(dtype="float64")
-        hc = hist["_c"].to_numpy(dtype="int64")
-        c_last = float(last_row["_v"].iloc[0]) if len(last_row) else np.nan
-
-        shift = first_v if not np.isnan(first_v) else 0.0
-        c_n = int(hc.sum())
-        c_s1 = float(((hv - shift) * hc).sum())
-        c_s2 = float((((hv - shift) ** 2) * hc).sum())
-        c_min = float(hv.min()) if c_n else np.inf
-        c_max = float(hv.max()) if c_n else -np.inf
-
-        mv = np.where(is_m, vals - shift, 0.0)
-        n = c_n + np.cumsum(is_m)
-        s1 = c_s1 + np.cumsum(mv)
-        s2 = c_s2 + np.cumsum(mv * mv)
-        run_min = np.minimum.accumulate(np.where(is_m, vals, np.inf))
-        run_min = np.minimum(run_min, c_min)
-        run_max = np.maximum.accumulate(np.where(is_m, vals, -np.inf))
-        run_max = np.maximum(run_max, c_max)
-        # last earlier value: forward fill over measurement rows, seeded by the carry
-        last_idx = np.where(is_m, np.arange(len(vals)), -1)
-        last_idx = np.maximum.accumulate(last_idx)
-        last = np.where(last_idx >= 0, vals[np.maximum(last_idx, 0)], c_last)
-
-        qi = np.flatnonzero((~is_m) & (n > 0))
-        out = stream.loc[qi, list(keys) + [test_col, index_id]].reset_index(drop=True)
-        nn = n[qi].astype("float64")
-        mean = shift + s1[qi] / nn
-        var = np.where(nn > 1, (s2[qi] - s1[qi] ** 2 / nn) / np.maximum(nn - 1, 1), 0.0)
-        res = {
-            "mean": mean,
-            "max": run_max[qi],
-            "min": run_min[qi],
-            "range": run_max[qi] - run_min[qi],
-            "sd": np.sqrt(np.maximum(var, 0.0)),
-            "first": np.full(len(qi), first_v),
-            "last": last[qi],
-            "count": n[qi].astype("int64"),
-        }
-        if want_q:
-            med, iqr = _prefix_quartiles(is_m, vals, hv, hc, qi)
-            res["median"] = med
-            res["iqr"] = iqr
-        for s in stats:
-            out[s] = res[s]
-        return out[list(out_names)]
+_KIND_HIST = -2  # carry rows sort first in their group
+_KIND_LAST = -1
 
-    return run
 
+class _Fenwick:
+    """Counts over value ranks with k-th smallest lookup (for chunks with a carry)."""
 
-def _prefix_quartiles(is_m, vals, hv, hc, qi):
-    """Exact type-7 quartiles of (carry multiset + measurements before each query row)."""
-    distinct = np.unique(np.concatenate([hv, vals[is_m]]))
-    size = len(distinct)
-    tree = np.zeros(size + 1, dtype=np.int64)
-    if len(hv):
-        tree[1:] = 0
-        pos = np.searchsorted(distinct, hv)
-        counts = np.zeros(size, dtype=np.int64)
-        np.add.at(counts, pos, hc)
-        tree[1:] = counts
-        for i in range(1, size + 1):  # O(V) Fenwick build
+    def __init__(self, counts: np.ndarray):
+        self.n = len(counts)
+        t = [0] + [int(c) for c in counts]
+        for i in range(1, self.n + 1):
             j = i + (i & -i)
-            if j <= size:
-                tree[j] += tree[i]
+            if j <= self.n:
+                t[j] += t[i]
+        self.t = t
+        self.top = 1 << (self.n.bit_length() - 1) if self.n else 0
+
+    def add(self, i: int) -> None:
+        i += 1
+        while i <= self.n:
+            self.t[i] += 1
+            i += i & -i
+
+    def kth(self, k: int) -> int:
+        pos, step, t = 0, self.top, self.t
+        while step:
+            nxt = pos + step
+            if nxt <= self.n and t[nxt] < k:
+                pos = nxt
+                k -= t[nxt]
+            step >>= 1
+        return pos
+
+
+def _type7(get, n: int, p: float) -> float:
+    h = (n - 1) * p
+    lo = int(h)
+    a = get(lo)
+    if h == lo:
+        return a
+    return a + (h - lo) * (get(lo + 1) - a)
+
+
+def _group_quartiles(kind: np.ndarray, vals: np.ndarray, hv: np.ndarray, hc: np.ndarray):
+    """Median and IQR at every query row of one group (rows in sweep order)."""
+    med = np.full(len(kind), np.nan)
+    iqr = np.full(len(kind), np.nan)
+    if len(hv) == 0:
+        # no carry: a sorted list with binary insertion; order statistics by index
+        sl: list[float] = []
+        for i in range(len(kind)):
+            if kind[i] == _KIND_MEASURE:
+                bisect.insort(sl, vals[i])
+            elif sl:
+                n = len(sl)
+                med[i] = _type7(sl.__getitem__, n, 0.5)
+                iqr[i] = _type7(sl.__getitem__, n, 0.75) - _type7(sl.__getitem__, n, 0.25)
+        return med, iqr
+    distinct = np.unique(np.concatenate([hv, vals[kind == _KIND_MEASURE]]))
+    counts = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(counts, np.searchsorted(distinct, hv), hc)
+    fw = _Fenwick(counts)
     rank = np.searchsorted(distinct, vals)
-    log = 1 << (size.bit_length() - 1) if size else 0
-    tree_l = tree.tolist()
     n = int(hc.sum())
-    qset = set(qi.tolist())
-    med = np.empty(len(qi))
-    iqr = np.empty(len(qi))
-    out_pos = 0
-
-    def kth(k):
-        return distinct[_fenwick_kth(tree_l, size, k, log)]
-
-    def quant(p, n):
-        h = (n - 1) * p
-        lo = int(np.floor(h))
-        hi = int(np.ceil(h))
-        a = kth(lo + 1)
-        if hi == lo:
-            return a
-        b = kth(hi + 1)
-        return a + (h - lo) * (b - a)
-
-    for i in range(len(vals)):
-        if is_m[i]:
-            j = int(rank[i]) + 1
-            while j <= size:
-                tree_l[j] += 1
-                j += j & -j
+
+    def get(j):  # 0-based order statistic
+        return distinct[fw.kth(j + 1)]
+
+    for i in range(len(kind)):
+        if kind[i] == _KIND_MEASURE:
+            fw.add(int(rank[i]))
             n += 1
-        elif i in qset:
-            med[out_pos] = quant(0.5, n)
-            iqr[out_pos] = quant(0.75, n) - quant(0.25, n)
-            out_pos += 1
+        elif n:
+            med[i] = _type7(get, n, 0.5)
+            iqr[i] = _type7(get, n, 0.75) - _type7(get, n, 0.25)
     return med, iqr
 
 
+def _process(pdf: pd.DataFrame, ckeys, out_keys, stats) -> pd.DataFrame:
+    """Sweep a frame of complete groups, each sorted carry rows first, then time order."""
+    g = pdf.groupby(ckeys, sort=False, dropna=False).ngroup().to_numpy()
+    kind = pdf["_kind"].to_numpy()
+    v = pdf["_v"].to_numpy(dtype="float64")
+    c = pdf["_c"].to_numpy(dtype="int64")
+    is_m = kind == _KIND_MEASURE
+    is_h = kind == _KIND_HIST
+    ng = int(g.max()) + 1 if len(g) else 0
+    # group's first measurement: given (multi-chunk plan) or the first measurement row here
+    given = pd.Series(pdf["_first"].to_numpy(dtype="float64")).groupby(g).transform("max")
+    local = pd.Series(np.where(is_m, v, np.nan)).groupby(g).transform("first")
+    first = given.fillna(local).to_numpy()
+    shift = np.nan_to_num(first, nan=0.0)
+
+    x = np.where(is_h | is_m, v - shift, 0.0)
+    w = np.where(is_h, c, np.where(is_m, 1, 0)).astype("float64")
+    df = pd.DataFrame({"g": g, "n": w, "s1": w * x, "s2": w * x * x,
+                       "mn": np.where(is_h | is_m, v, np.inf), "mx": np.where(is_h | is_m, v, -np.inf),
+                       "last": np.where(is_m | (kind == _KIND_LAST), v, np.nan)})
+    grp = df.groupby("g", sort=False)
+    n = grp["n"].cumsum().to_numpy()
+    s1 = grp["s1"].cumsum().to_numpy()
+    s2 = grp["s2"].cumsum().to_numpy()
+    run_min = grp["mn"].cummin().to_numpy()
+    run_max = grp["mx"].cummax().to_numpy()
+    last = grp["last"].ffill().to_numpy()
+
+    q = (kind == _KIND_INDEX) & (n > 0)
+    out = pdf.loc[q, list(out_keys)].reset_index(drop=True)
+    nq = n[q]
+    res = {
+        "mean": shift[q] + s1[q] / nq,
+        "max": run_max[q],
+        "min": run_min[q],
+        "range": run_max[q] - run_min[q],
+        "sd": np.sqrt(np.maximum(np.where(nq > 1, (s2[q] - s1[q] ** 2 / nq) / np.maximum(nq - 1, 1), 0.0), 0.0)),
+        "first": first[q],
+        "last": last[q],
+        "count": nq.astype("int64"),
+    }
+    if "median" in stats or "iqr" in stats:
+        med = np.full(len(kind), np.nan)
+        iqr = np.full(len(kind), np.nan)
+        bounds = np.flatnonzero(np.diff(g)) + 1
+        starts = np.concatenate([[0], bounds])
+        ends = np.concatenate([bounds, [len(g)]])
+        for s0, e0 in zip(starts, ends):
+            k = kind[s0:e0]
+            h = is_h[s0:e0]
+            m_, i_ = _group_quartiles(k, v[s0:e0], v[s0:e0][h], c[s0:e0][h])
+            med[s0:e0] = m_
+            iqr[s0:e0] = i_
+        res["median"] = med[q]
+        res["iqr"] = iqr[q]
+    for st in stats:
+        out[st] = res[st]
+    return out
+
+
+def _sweep_partitions(ckeys, out_keys, stats):
+    """mapInPandas body: batches arrive in sort order; a group may straddle two
+    batches, so the trailing group is held back until the next batch."""
+    out_cols = list(out_keys) + list(stats)
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            same = np.ones(len(pdf), dtype=bool)  # rows equal to the last row's group key
+            for k in ckeys:
+                col = pdf[k]
+                lv = col.iloc[-1]
+                same &= (col.isna() if pd.isna(lv) else (col == lv).fillna(False)).to_numpy(dtype=bool)
+            diff = np.flatnonzero(~same)
+            cut = int(diff.max()) + 1 if len(diff) else 0
+            held = pdf.iloc[cut:].reset_index(drop=True)
+            done = pdf.iloc[:cut].reset_index(drop=True)
+            if len(done):
+                yield _process(done, ckeys, out_keys, stats)[out_cols]
+        if held is not None and len(held):
+            yield _process(held, ckeys, out_keys, stats)[out_cols]
+
+    return run
+
+
 def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
                   test_col: str, time_col: str, value_col: str, order_col: str,
                   index_id: str, index_time: str, tests: Sequence[str],
                   stats: Sequence[str] = STATS, chunk_rows: int = 200_000,
-                  null_safe: bool = True) -> DataFrame:
+                  null_safe: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Long form: (keys, index_id, test, <stats>) for index events with earlier measurements.
 
     ``measures`` must already be filtered (codes, QC); rows with a NULL value or
@@ -210,6 +253,28 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     stream = m.unionByName(ix)
     gkeys = keys + [test_col]
 
+    out_keys = keys + [test_col, index_id]
+    kt = {f.name: f.dataType for f in stream.schema.fields}
+    fields = [T.StructField(k, kt[k]) for k in out_keys]
+    fields += [T.StructField(s, T.LongType() if s == "count" else T.DoubleType()) for s in stats]
+    schema = T.StructType(fields)
+    # an explicit partition count: the sweep is compute-heavy per byte, so the
+    # planner must not coalesce it into a few tasks
+    nparts = num_partitions or int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    # size check (one aggregate, partial counts map-side): if no group exceeds
+    # chunk_rows every group is one chunk and needs no carry
+    biggest = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n").alias("m")).collect()[0]["m"]) or 0
+    if biggest <= chunk_rows:
+        rows = stream.select(*gkeys, F.lit(0).cast("long").alias("_chunk"), "_t", "_ord", "_v",
+                             F.lit(1).cast("long").alias("_c"), "_kind", index_id,
+                             F.lit(None).cast("double").alias("_first"))
+        ckeys = gkeys + ["_chunk"]
+        return (rows.repartition(nparts, *ckeys)
+                .sortWithinPartitions(*ckeys, "_t", "_kind", "_ord")
+                .mapInPandas(_sweep_partitions(ckeys, out_keys, stats), schema))
+
     # (2) chunk geometry per group, from one grouped aggregate (partial agg map-side)
     first_ord = F.when(F.col("_kind") == _KIND_MEASURE, F.struct("_t", "_ord"))
     geo = (stream.groupBy(*gkeys)
@@ -233,32 +298,28 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     meas = chunked.filter(F.col("_kind") == _KIND_MEASURE)
     multi = meas.filter(F.col("_nch") > 1)
     later = F.sequence(F.col("_chunk") + 1, F.col("_nch") - 1)
-    hist = (multi.filter(F.col("_chunk") < F.col("_nch") - 1)
-            .groupBy(*gkeys, "_chunk", "_v", "_nch").agg(F.count(F.lit(1)).alias("_c"))
+    early = multi.filter(F.col("_chunk") < F.col("_nch") - 1)
+    hist = (early.groupBy(*gkeys, "_chunk", "_v", "_nch").agg(F.count(F.lit(1)).alias("_c"))
             .select(*gkeys, F.explode(later).alias("_chunk"), "_v", "_c")
             .groupBy(*gkeys, "_chunk", "_v").agg(F.sum("_c").alias("_c"))
-            .withColumn("_ck", F.lit(0)))
-    last = (multi.filter(F.col("_chunk") < F.col("_nch") - 1)
-            .groupBy(*gkeys, "_chunk", "_nch")
+            .withColumn("_kind", F.lit(_KIND_HIST)))
+    last = (early.groupBy(*gkeys, "_chunk", "_nch")
             .agg(F.max(F.struct("_t", "_ord", "_v")).alias("_l"))
             .select(*gkeys, F.explode(later).alias("_chunk"), "_l")
             .groupBy(*gkeys, "_chunk").agg(F.max("_l").alias("_l"))
-            .select(*gkeys, "_chunk", F.col("_l._v").alias("_v"), F.lit(1).cast("long").alias("_c"),
-                    F.lit(1).alias("_ck")))
-    carry = hist.unionByName(last)
-    # fresh attribute ids: both cogroup sides descend from the same scan
-    carry = carry.select(*[F.col(c).alias(c) for c in carry.columns])
-
-    out_names = keys + [test_col, index_id] + stats
-    kt = {f.name: f.dataType for f in chunked.schema.fields}
-    fields = [T.StructField(k, kt[k]) for k in keys + [test_col, index_id]]
-    fields += [T.StructField(s, T.LongType() if s == "count" else T.DoubleType()) for s in stats]
-    schema = T.StructType(fields)
-
-    stream_cols = chunked.select(*ckeys, "_t", "_ord", "_v", "_kind", index_id, "_first")
-    return (stream_cols.groupBy(*ckeys)
-            .cogroup(carry.groupBy(*ckeys))
-            .applyInPandas(_sweep(keys, test_col, index_id, stats, out_names), schema))
+            .select(*gkeys, "_chunk", F.col("_l._v").alias("_v"), F.lit(0).cast("long").alias("_c"),
+                    F.lit(_KIND_LAST).alias("_kind")))
+    idt = index.schema[index_id].dataType
+    carry = (hist.unionByName(last)
+             .select(*ckeys, F.lit(-(2 ** 63)).alias("_t"), F.lit(0).cast("long").alias("_ord"), "_v", "_c",
+                     "_kind", F.lit(None).cast(idt).alias(index_id), F.lit(None).cast("double").alias("_first")))
+    rows = (chunked.select(*ckeys, "_t", "_ord", "_v", F.lit(1).cast("long").alias("_c"), "_kind", index_id,
+                           "_first")
+            .unionByName(carry))
+
+    return (rows.repartition(nparts, *ckeys)
+            .sortWithinPartitions(*ckeys, "_t", "_kind", "_ord")
+            .mapInPandas(_sweep_partitions(ckeys, out_keys, stats), schema))
 
 
 def pivot_stats(long: DataFrame, id_cols: Sequence[str], test_col: str, tests: Sequence[str],

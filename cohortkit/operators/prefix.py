@@ -21,7 +21,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_OFFSETS_MAX = 2_000_000
+def key_splits(df: DataFrame, key: str, n_chunks: int | None = None) -> list[float]:
+    """Split points for ``running_sums(..., splits=...)`` when one key is reused."""
+    if n_chunks is None:
+        n_chunks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _splits(df.select(F.col(key).cast("double").alias("_k")), "_k", n_chunks)
 
 
 def _splits(df: DataFrame, key: str, n_chunks: int) -> list[float]:
@@ -42,7 +46,7 @@ def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFra
 
 def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool = False,
                  inclusive: bool = True, partition_by: Sequence[str] = (), n_chunks: int | None = None,
-                 prefix: str = "cum_") -> DataFrame:
+                 prefix: str = "cum_", splits: list[float] | None = None) -> DataFrame:
     """Add ``{prefix}{c}`` = sum of ``c`` over rows of the same group whose key is
     before this row's key (and the row itself when ``inclusive``).
 
@@ -56,15 +60,18 @@ def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool
         n_chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = F.col(key).cast("double")
     base = df.withColumn("_k", -k if descending else k)
-    splits = _splits(base, "_k", n_chunks)
+    if splits is None:
+        splits = _splits(base, "_k", n_chunks)
+    elif descending:
+        splits = sorted(-x for x in splits)
     b = bucketize(base, "_k", splits, "_b")
     tot = b.groupBy(*parts, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wt = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*parts, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
                                       for c in cols])
-    # (groups x buckets) rows: broadcast only when that bound is small
-    n_off = offs.limit(BROADCAST_OFFSETS_MAX + 1).count() if parts else len(splits)
-    offs_j = F.broadcast(offs) if n_off <= BROADCAST_OFFSETS_MAX else offs
+    # without groups the offsets table has at most len(splits) rows: broadcast;
+    # with groups its size is (groups x buckets), left to AQE's runtime size check
+    offs_j = offs if parts else F.broadcast(offs)
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
     wi = Window.partitionBy(*parts, "_b").orderBy("_k").rowsBetween(*frame)
     out = b.join(offs_j, [*parts, "_b"], "left")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.operators.prefix import _splits, bucketize, running_sums
+from cohortkit.operators.prefix import _splits, bucketize, key_splits, running_sums
 
 Z_95 = 1.959963984540054  # two-sided 95 % normal quantile
 
@@ -77,55 +77,77 @@ def _fenwick_sum(tree, i):
 
 
 def _sweep_time_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one time chunk: sum over events of #{T_j > t, S_j < s} (strict)."""
+    """One time chunk, rows = distinct (time, score) with counts.  Sweeping time
+    downwards, for the events of each time: partners later in this chunk with a
+    lower / equal score, all partners later in this chunk, and censored partners
+    at the same time with a lower / equal score."""
     pdf = pdf.sort_values(["_t", "_s"], ascending=[False, True], ignore_index=True)
     svals = np.unique(pdf["_s"].to_numpy())
     rank = np.searchsorted(svals, pdf["_s"].to_numpy()) + 1
     tree = [0] * (len(svals) + 1)
-    total = 0.0
     t = pdf["_t"].to_numpy()
-    cnt = pdf["_cnt"].to_numpy()
-    ev = pdf["_ev"].to_numpy()
-    i = 0
-    n = len(pdf)
+    cnt = pdf["_cnt"].to_numpy().astype(np.int64)
+    ev = pdf["_ev"].to_numpy().astype(np.int64)
+    cen = pdf["_cen"].to_numpy().astype(np.int64)
+    lower = equal = later = cen_lower = cen_equal = 0
+    inserted = 0
+    i, n = 0, len(pdf)
     while i < n:
         j = i
         while j < n and t[j] == t[i]:
             j += 1
+        cen_tot = int(cen[i:j].sum())
+        cen_before = 0  # censored at this time with a lower score (rows sorted by score)
         for r in range(i, j):
             if ev[r]:
-                total += ev[r] * _fenwick_sum(tree, int(rank[r]) - 1)
+                e = int(ev[r])
+                below = _fenwick_sum(tree, int(rank[r]) - 1)
+                lower += e * below
+                equal += e * (_fenwick_sum(tree, int(rank[r])) - below)
+                later += e * (inserted + cen_tot)
+                cen_lower += e * cen_before
+                cen_equal += e * int(cen[r])
+            cen_before += int(cen[r])
         for r in range(i, j):
             _fenwick_add(tree, int(rank[r]), int(cnt[r]))
+            inserted += int(cnt[r])
         i = j
-    return pd.DataFrame({"part": [total]})
+    return pd.DataFrame({"lower": [float(lower)], "equal": [float(equal)], "later": [float(later)],
+                         "cen_lower": [float(cen_lower)], "cen_equal": [float(cen_equal)]})
 
 
 def _sweep_score_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one score bucket: sum over events of #{chunk_j > chunk_i, S_j < s}."""
-    pdf = pdf.sort_values("_s", ignore_index=True)
+    """One score bucket: for each event, partners in later time chunks with a lower
+    score (strict) or the same score."""
+    pdf = pdf.sort_values(["_s", "_tb"], ignore_index=True)
     nch = int(pdf["_nch"].iloc[0])
     tree = [0] * (nch + 1)
     inserted = 0
-    total = 0.0
+    lower = equal = 0
     s = pdf["_s"].to_numpy()
     tb = pdf["_tb"].to_numpy().astype(int)
-    cnt = pdf["_cnt"].to_numpy()
-    ev = pdf["_ev"].to_numpy()
-    i = 0
-    n = len(pdf)
+    cnt = pdf["_cnt"].to_numpy().astype(np.int64)
+    ev = pdf["_ev"].to_numpy().astype(np.int64)
+    i, n = 0, len(pdf)
     while i < n:
         j = i
         while j < n and s[j] == s[i]:
             j += 1
+        # same score: rows of this score group in later chunks (group sorted by chunk)
+        grp_tb = tb[i:j]
+        grp_cnt = cnt[i:j]
+        suffix = np.cumsum(grp_cnt[::-1])[::-1]
         for r in range(i, j):
             if ev[r]:
-                total += ev[r] * (inserted - _fenwick_sum(tree, tb[r] + 1))
+                e = int(ev[r])
+                lower += e * (inserted - _fenwick_sum(tree, tb[r] + 1))
+                k = int(np.searchsorted(grp_tb, tb[r], side="right"))
+                equal += e * (int(suffix[k]) if k < len(suffix) else 0)
         for r in range(i, j):
             _fenwick_add(tree, tb[r] + 1, int(cnt[r]))
             inserted += int(cnt[r])
         i = j
-    return pd.DataFrame({"part": [total]})
+    return pd.DataFrame({"lower": [float(lower)], "equal": [float(equal)]})
 
 
 def concordance_index(df: DataFrame, time: str, event: str, score: str,
@@ -136,73 +158,65 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
     with j censored; concordant when S_i > S_j, a score tie counts one half.
     One row: cindex, concordant, discordant, tied_risk, comparable.
 
-    The strict count #{T_j > T_i, S_j < S_i} is split over a (time chunk x
-    score bucket) grid: whole grid cells below-right of a row come from
-    cumulative sums of the (bounded) grid of counts; rows in the same score
-    bucket or the same time chunk are counted by a sort-and-count sweep of that
-    bucket or chunk alone.  Ties come from running sums.
+    Nothing forms pairs.  Rows are reduced to distinct (time, score) counts and
+    laid on a (time chunk x score bucket) grid at approximate quantiles:
+
+    * partners in later chunks and lower buckets: cumulative sums of the grid
+      of counts (a bounded table);
+    * partners in the same chunk: a sort-and-count sweep of that chunk alone
+      (Fenwick tree over score ranks), which also gives same-time partners;
+    * partners in later chunks of the same bucket: a sweep of that bucket alone
+      (Fenwick tree over chunk numbers).
     """
     spark = df.sparkSession
     base = (df.select(F.col(time).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"),
                       F.col(event).cast("int").alias("_e"))
             .filter(F.col("_t").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull()))
-    # one row per distinct (time, score)
     ts = base.groupBy("_t", "_s").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_e").alias("_ev"),
                                       F.sum(1 - F.col("_e")).alias("_cen")).persist()
     try:
-        n_rows = ts.count()
         if n_chunks is None:
-            n_chunks = int(max(1, min(256, math.ceil(n_rows / 200_000))))
-        tsp = bucketize(ts, "_t", _splits(ts, "_t", n_chunks), "_tb")
-        tsp = bucketize(tsp, "_s", _splits(ts, "_s", n_chunks), "_sb")
+            n_chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        probs = [i / n_chunks for i in range(1, n_chunks)]
+        qt, qs = ts.approxQuantile(["_t", "_s"], probs, 0.001) if probs else ([], [])
+        inf = float("inf")
+        st = [-inf] + sorted({float(x) for x in qt}) + [inf]
+        ss = [-inf] + sorted({float(x) for x in qs}) + [inf]
+        k = max(len(st), len(ss))
+        tsp = bucketize(bucketize(ts, "_t", st, "_tb"), "_s", ss, "_sb")
         tsp = tsp.withColumns({"_tb": F.col("_tb").cast("int"), "_sb": F.col("_sb").cast("int"),
-                               "_nch": F.lit(n_chunks + 2)})
-
-        # denominator: events x (later rows + censored at the same time)
-        per_t = ts.groupBy("_t").agg(F.sum("_cnt").alias("_n"), F.sum("_ev").alias("_d"),
-                                     F.sum("_cen").alias("_c"))
-        later = running_sums(per_t, "_t", ["_n"], descending=True, inclusive=False, prefix="after")
-        den = later.agg(F.sum(F.col("_d") * (F.col("after_n") + F.col("_c"))).alias("v")).collect()[0]["v"] or 0
-
-        # same time, censored partner: running censored count over score within each time
-        b_rs = running_sums(ts, "_s", ["_cen"], inclusive=False, partition_by=["_t"], prefix="lt")
-        b_val = b_rs.agg(F.sum(F.col("_ev") * (F.col("lt_cen") + 0.5 * F.col("_cen"))).alias("v"),
-                         F.sum(F.col("_ev") * F.col("lt_cen")).alias("con"),
-                         F.sum(F.col("_ev") * F.col("_cen")).alias("tie")).collect()[0]
-        # later time, equal score: suffix count over time within each score
-        tie_rs = running_sums(ts, "_t", ["_cnt"], descending=True, inclusive=False, partition_by=["_s"],
-                              prefix="gt")
-        tie_later = tie_rs.agg(F.sum(F.col("_ev") * F.col("gt_cnt")).alias("v")).collect()[0]["v"] or 0
-
-        # strict part, (a) whole grid cells: bounded (chunks x buckets) table
-        grid = tsp.groupBy("_tb", "_sb").agg(F.sum("_cnt").alias("n")).collect()
-        k = n_chunks + 2
+                               "_nch": F.lit(k)})
+        # the grid of counts: at most k x k rows
         G = np.zeros((k, k))
-        for r in grid:
+        for r in tsp.groupBy("_tb", "_sb").agg(F.sum("_cnt").alias("n")).collect():
             G[int(r["_tb"]), int(r["_sb"])] = r["n"]
-        # D[a, b] = sum over tb > a, sb < b
-        suffix_t = np.cumsum(G[::-1], axis=0)[::-1]            # sum over tb >= a
-        suffix_t = np.vstack([suffix_t[1:], np.zeros((1, k))])  # tb > a
-        D = np.cumsum(suffix_t, axis=1)
-        D = np.hstack([np.zeros((k, 1)), D[:, :-1]])            # sb < b
-        dgrid = spark.createDataFrame([(a, b, float(D[a, b])) for a in range(k) for b in range(k) if D[a, b]],
-                                      "_tb int, _sb int, _dv double")
-        a_val = (tsp.filter(F.col("_ev") > 0).join(F.broadcast(dgrid), ["_tb", "_sb"], "inner")
-                 .agg(F.sum(F.col("_ev") * F.col("_dv")).alias("v")).collect()[0]["v"] or 0)
-        # (b) same score bucket, later time chunks; (c) same time chunk
-        cols = tsp.select("_t", "_s", "_tb", "_sb", "_cnt", "_ev", "_nch")
-        part_b = (cols.groupBy("_sb").applyInPandas(_sweep_score_bucket, "part double")
-                  .agg(F.sum("part")).collect()[0][0] or 0)
-        part_c = (cols.groupBy("_tb").applyInPandas(_sweep_time_chunk, "part double")
-                  .agg(F.sum("part")).collect()[0][0] or 0)
+        later_t = np.cumsum(G[::-1], axis=0)[::-1]
+        later_t = np.vstack([later_t[1:], np.zeros((1, k))])     # chunks strictly later
+        D = np.hstack([np.zeros((k, 1)), np.cumsum(later_t, axis=1)[:, :-1]])  # and buckets strictly lower
+        Lc = later_t.sum(axis=1)                                  # all rows in later chunks
+        cells = spark.createDataFrame([(a, b, float(D[a, b]), float(Lc[a])) for a in range(k) for b in range(k)],
+                                      "_tb int, _sb int, _dv double, _lv double")
+        cross = (tsp.filter(F.col("_ev") > 0).join(F.broadcast(cells), ["_tb", "_sb"])
+                 .agg(F.sum(F.col("_ev") * F.col("_dv")).alias("a"), F.sum(F.col("_ev") * F.col("_lv")).alias("l"))
+                 .collect()[0])
+        cols = tsp.select("_t", "_s", "_tb", "_sb", "_cnt", "_ev", "_cen", "_nch")
+        tc = (cols.repartition(k, "_tb").groupBy("_tb")
+              .applyInPandas(_sweep_time_chunk,
+                             "lower double, equal double, later double, cen_lower double, cen_equal double")
+              .agg(*[F.sum(c).alias(c) for c in ("lower", "equal", "later", "cen_lower", "cen_equal")])
+              .collect()[0])
+        sb = (cols.repartition(k, "_sb").groupBy("_sb")
+              .applyInPandas(_sweep_score_bucket, "lower double, equal double")
+              .agg(F.sum("lower").alias("lower"), F.sum("equal").alias("equal")).collect()[0])
     finally:
         ts.unpersist()
-    concordant = a_val + part_b + part_c + b_val["con"]
-    tied = tie_later + b_val["tie"]
-    num = concordant + 0.5 * tied
-    cindex = float(num / den) if den else None
+    z = lambda x: float(x or 0.0)
+    concordant = z(cross["a"]) + z(sb["lower"]) + z(tc["lower"]) + z(tc["cen_lower"])
+    tied = z(sb["equal"]) + z(tc["equal"]) + z(tc["cen_equal"])
+    den = z(cross["l"]) + z(tc["later"])
+    cindex = (concordant + 0.5 * tied) / den if den else None
     return spark.createDataFrame(
-        [(cindex, float(concordant), float(den - concordant - tied), float(tied), float(den))],
+        [(cindex, concordant, den - concordant - tied, tied, den)],
         "cindex double, concordant double, discordant double, tied_risk double, comparable double")
 
 
@@ -230,6 +244,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
         scale = standardise_stats(data, feats)
         data = standardise(data, feats, scale)
     data = data.persist()
+    tsplits = key_splits(data, "_t")  # the time key is the same in every iteration
     p = len(feats)
     pairs = _pairs(p)
     beta = np.zeros(p)
@@ -245,7 +260,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             F.sum(F.col("_e") * F.col("_eta")).alias("eeta"),
             *[F.sum(F.col("_e") * F.col(c)).alias(f"ex_{i}") for i, c in enumerate(feats)])
         sums = ["r0"] + [f"r1_{i}" for i in range(p)] + [f"r2_{a}_{bb}" for a, bb in pairs]
-        risk = running_sums(per, "_t", sums, descending=True, prefix="c")
+        risk = running_sums(per, "_t", sums, descending=True, prefix="c", splits=tsplits)
         ev = risk.filter(F.col("d") > 0)
         agg = [F.sum(F.col("eeta") - F.col("d") * F.log("cr0")).alias("ll")]
         agg += [F.sum(F.col(f"ex_{i}") - F.col("d") * F.col(f"cr1_{i}") / F.col("cr0")).alias(f"g_{i}")
