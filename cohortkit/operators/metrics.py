@@ -19,7 +19,8 @@ def _by_score(df: DataFrame, label: str, score: str, group: Sequence[str]) -> Da
     g = list(group)
     per = (df.groupBy(*g, F.col(score).cast("double").alias("threshold"))
            .agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-                F.sum((F.col(label) != 1).cast("long")).alias("neg")))
+                F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+           .persist())  # one row per (group, distinct score); read by every pass below
     cum = running_sums(per, "threshold", ["pos", "neg"], descending=True, partition_by=g)
     tot = per.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row per group
     if not g:  # attach the single totals row

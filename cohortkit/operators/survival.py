@@ -37,7 +37,8 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: Sequence[str] = ()
     """
     g = list(group)
     per = (df.groupBy(*g, F.col(time).cast("double").alias("time"))
-           .agg(F.sum(F.col(event).cast("long")).alias("n_events"), F.count(F.lit(1)).alias("_n")))
+           .agg(F.sum(F.col(event).cast("long")).alias("n_events"), F.count(F.lit(1)).alias("_n"))
+           .persist())  # one row per distinct time; read by both passes below
     risk = running_sums(per, "time", ["_n"], descending=True, partition_by=g, prefix="risk")
     risk = risk.withColumnRenamed("risk_n", "n_at_risk")
     d = F.col("n_events").cast("double")
@@ -46,7 +47,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: Sequence[str] = ()
         "_log": F.when(n > d, F.log1p(-d / n)).otherwise(F.lit(0.0)),
         "_zero": (n == d).cast("long"),
         "_gw": F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0)),
-    })
+    }).persist()
     cum = running_sums(terms, "time", ["_log", "_zero", "_gw"], partition_by=g, prefix="c")
     s = F.when(F.col("c_zero") > 0, F.lit(0.0)).otherwise(F.exp("c_log"))
     out = cum.withColumn("survival", s)
@@ -259,6 +260,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             F.sum("_e").alias("d"),
             F.sum(F.col("_e") * F.col("_eta")).alias("eeta"),
             *[F.sum(F.col("_e") * F.col(c)).alias(f"ex_{i}") for i, c in enumerate(feats)])
+        per = per.persist()
         sums = ["r0"] + [f"r1_{i}" for i in range(p)] + [f"r2_{a}_{bb}" for a, bb in pairs]
         risk = running_sums(per, "_t", sums, descending=True, prefix="c", splits=tsplits)
         ev = risk.filter(F.col("d") > 0)
@@ -269,6 +271,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
                                     - F.col(f"cr1_{a}") * F.col(f"cr1_{bb}") / (F.col("cr0") * F.col("cr0"))))
                 .alias(f"h_{a}_{bb}") for a, bb in pairs]
         row = ev.agg(*agg).collect()[0]
+        per.unpersist()
         grad = np.array([row[f"g_{i}"] or 0.0 for i in range(p)])
         hess = np.zeros((p, p))
         for a, bb in pairs:
