@@ -34,7 +34,7 @@ def fit_boosted(df: DataFrame, label: str, features: str = "features", weight: s
 
 def grid_search(df: DataFrame, label: str, grid: Mapping[str, Sequence], fold_col: str,
                 features: str = "features", weight: str | None = None, seed: int = 0,
-                parallelism: int = 4, metric: str = "areaUnderROC"):
+                parallelism: int = 4, metric: str = "areaUnderROC", num_folds: int | None = None):
     """Exhaustive grid over given folds (``fold_col`` from ``stratified_folds``).
 
     The evaluator computes the exact AUC (``numBins=0``: no down-sampling of the
@@ -46,8 +46,10 @@ def grid_search(df: DataFrame, label: str, grid: Mapping[str, Sequence], fold_co
         b = b.addGrid(est.getParam(name), list(values))
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", metricName=metric,
                                        numBins=0)
+    if num_folds is None:
+        num_folds = int(df.agg(F.max(fold_col)).collect()[0][0]) + 1
     cv = CrossValidator(estimator=est, estimatorParamMaps=b.build(), evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
+                        numFolds=num_folds, parallelism=parallelism, seed=seed)
     return cv.fit(df)
 
 

@@ -45,16 +45,31 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     for r in (math.floor(h) + 1, math.ceil(h) + 1):
                         open_[(c, r)] = (lo, hi, 0, n)
         while open_:
-            big = {}
+            # searches whose interval is small enough are finished together in one
+            # collect; the per-search cap keeps the whole fetch under max_collect rows
+            cap = max(256, max_collect // max(1, len(open_)))
+            big, small = {}, {}
             for (c, r), (lo, hi, below, cnt) in open_.items():
                 if lo == hi:
                     found[(c, r)] = lo
-                elif cnt <= max_collect:
-                    vals = sorted(x[0] for x in long.filter((F.col("_c") == c) & (F.col("_x") >= lo)
-                                                             & (F.col("_x") <= hi)).select("_x").collect())
-                    found[(c, r)] = vals[r - below - 1]  # bounded by max_collect rows
+                elif cnt <= cap:
+                    small[(c, r)] = (lo, hi, below, cnt)
                 else:
                     big[(c, r)] = (lo, hi, below, cnt)
+            if small:
+                ivals = sorted({(c, lo, hi) for (c, _), (lo, hi, _, _) in small.items()})
+                cond = None
+                for c, lo, hi in ivals:
+                    one = (F.col("_c") == c) & (F.col("_x") >= lo) & (F.col("_x") <= hi)
+                    cond = one if cond is None else (cond | one)
+                fetched: dict[str, list[float]] = {}
+                for row in long.filter(cond).select("_c", "_x").collect():  # <= max_collect rows
+                    fetched.setdefault(row[0], []).append(row[1])
+                for v in fetched.values():
+                    v.sort()
+                for (c, r), (lo, hi, below, cnt) in small.items():
+                    vals = [x for x in fetched.get(c, []) if lo <= x <= hi]
+                    found[(c, r)] = vals[r - below - 1]
             open_ = _narrow(long, big, bins) if big else {}
         out = {}
         for c in cols:

@@ -222,62 +222,128 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
 
 
 # ------------------------------------------------------------------------- Cox
-def _pairs(p):
-    return [(a, b) for a in range(p) for b in range(a, p)]
+def _cox_time_stats(feats, beta):
+    """mapInPandas body: per-time partial sums of w, w x, w x x', events, event x, event eta."""
+    p = len(feats)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[feats].to_numpy(dtype="float64")
+            e = pdf["_e"].to_numpy(dtype="float64")
+            eta = X @ beta if p else np.zeros(len(pdf))
+            w = np.exp(np.minimum(eta, 700.0))
+            t, inv = np.unique(pdf["_t"].to_numpy(dtype="float64"), return_inverse=True)
+            m = len(t)
+
+            def gsum(v):
+                out = np.zeros((m,) + v.shape[1:])
+                np.add.at(out, inv, v)
+                return out
+
+            r0 = gsum(w)
+            r1 = gsum(w[:, None] * X)
+            r2 = gsum(w[:, None, None] * X[:, :, None] * X[:, None, :]).reshape(m, p * p)
+            d = gsum(e)
+            ex = gsum(e[:, None] * X)
+            ee = gsum(e * eta)
+            yield pd.DataFrame({"_t": t, "_b": pdf["_b"].to_numpy()[np.unique(inv, return_index=True)[1]],
+                                "r0": r0, "r1": list(r1), "r2": list(r2), "d": d, "ex": list(ex), "ee": ee})
+
+    return run
+
+
+def _cox_bucket_totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"_b": [pdf["_b"].iloc[0]], "r0": [pdf["r0"].sum()],
+                         "r1": [np.sum(np.stack(pdf["r1"].to_numpy()), axis=0)],
+                         "r2": [np.sum(np.stack(pdf["r2"].to_numpy()), axis=0)]})
+
+
+def _cox_bucket_terms(p: int, offsets: dict):
+    """Per time bucket: merge partials per time, suffix sums seeded by later buckets,
+    then this bucket's share of log-likelihood, gradient and Hessian."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = pdf["_b"].iloc[0]
+        t, inv = np.unique(pdf["_t"].to_numpy(), return_inverse=True)
+        m = len(t)
+
+        def merge(col, shape):
+            out = np.zeros((m,) + shape)
+            np.add.at(out, inv, np.stack(pdf[col].to_numpy()) if shape else pdf[col].to_numpy())
+            return out
+
+        r0, r1, r2 = merge("r0", ()), merge("r1", (p,)), merge("r2", (p * p,))
+        d, ex, ee = merge("d", ()), merge("ex", (p,)), merge("ee", ())
+        o0, o1, o2 = offsets.get(b, (0.0, np.zeros(p), np.zeros(p * p)))
+        # risk set at time t: rows with time >= t (suffix sums over descending time)
+        c0 = np.cumsum(r0[::-1])[::-1] + o0
+        c1 = np.cumsum(r1[::-1], axis=0)[::-1] + o1
+        c2 = np.cumsum(r2[::-1], axis=0)[::-1] + o2
+        k = d > 0
+        ll = float(np.sum(ee[k] - d[k] * np.log(c0[k])))
+        mu = c1[k] / c0[k][:, None]
+        grad = (ex[k] - d[k][:, None] * mu).sum(axis=0)
+        hess = (d[k][:, None] * (c2[k] / c0[k][:, None]
+                                 - (mu[:, :, None] * mu[:, None, :]).reshape(-1, p * p))).sum(axis=0)
+        return pd.DataFrame({"ll": [ll], "g": [grad], "h": [hess]})
+
+    return run
 
 
 def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_iter: int = 100,
-            tol: float = 1e-9, standardize: bool = False) -> dict:
+            tol: float = 1e-9, standardize: bool = False, n_buckets: int | None = None) -> dict:
     """Cox proportional hazards, Breslow ties, no penalty, Newton-Raphson with step halving.
 
-    Each iteration is one grouped aggregate by distinct time (sums of w, w x,
-    w x x' with w = exp(x.b)), suffix sums over time, and one sum over event
-    times; only p + p^2 numbers reach the driver, where the p x p system is
-    solved.  Returns {features, coef, loglik, n_iter, scale}.
+    Per iteration two passes over the (cached) rows: (1) per-time sums of w,
+    w x, w x x' with w = exp(x.b), computed with NumPy inside each task and
+    merged per fixed time bucket; only bucket totals (buckets x p^2 numbers)
+    reach the driver to form the suffix offsets; (2) per bucket, suffix sums
+    over time and the bucket's share of the log-likelihood, gradient and
+    Hessian.  The p x p Newton system is solved on the driver.
+    Returns {features, coef, loglik, n_iter, scale}.
     """
     from cohortkit.operators.prep import standardise, standardise_stats
 
     feats = list(features)
     scale = None
+    spark = df.sparkSession
     data = df.select(*[F.col(c).cast("double") for c in feats], F.col(time).cast("double").alias("_t"),
                      F.col(event).cast("int").alias("_e")).dropna()
     if standardize:
         scale = standardise_stats(data, feats)
         data = standardise(data, feats, scale)
-    data = data.persist()
-    tsplits = key_splits(data, "_t")  # the time key is the same in every iteration
+    if n_buckets is None:
+        n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    splits = key_splits(data, "_t", n_buckets)  # fixed for every iteration
+    data = bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int")).persist()
     p = len(feats)
-    pairs = _pairs(p)
-    beta = np.zeros(p)
-
-    def evaluate(b):
-        eta = sum(F.col(c) * float(b[i]) for i, c in enumerate(feats)) if p else F.lit(0.0)
-        w = F.exp(F.least(eta, F.lit(700.0)))
-        per = data.withColumn("_eta", eta).withColumn("_w", w).groupBy("_t").agg(
-            F.sum("_w").alias("r0"),
-            *[F.sum(F.col("_w") * F.col(c)).alias(f"r1_{i}") for i, c in enumerate(feats)],
-            *[F.sum(F.col("_w") * F.col(feats[a]) * F.col(feats[bb])).alias(f"r2_{a}_{bb}") for a, bb in pairs],
-            F.sum("_e").alias("d"),
-            F.sum(F.col("_e") * F.col("_eta")).alias("eeta"),
-            *[F.sum(F.col("_e") * F.col(c)).alias(f"ex_{i}") for i, c in enumerate(feats)])
-        per = per.persist()
-        sums = ["r0"] + [f"r1_{i}" for i in range(p)] + [f"r2_{a}_{bb}" for a, bb in pairs]
-        risk = running_sums(per, "_t", sums, descending=True, prefix="c", splits=tsplits)
-        ev = risk.filter(F.col("d") > 0)
-        agg = [F.sum(F.col("eeta") - F.col("d") * F.log("cr0")).alias("ll")]
-        agg += [F.sum(F.col(f"ex_{i}") - F.col("d") * F.col(f"cr1_{i}") / F.col("cr0")).alias(f"g_{i}")
-                for i in range(p)]
-        agg += [F.sum(F.col("d") * (F.col(f"cr2_{a}_{bb}") / F.col("cr0")
-                                    - F.col(f"cr1_{a}") * F.col(f"cr1_{bb}") / (F.col("cr0") * F.col("cr0"))))
-                .alias(f"h_{a}_{bb}") for a, bb in pairs]
-        row = ev.agg(*agg).collect()[0]
+    nb = len(splits)
+    per_schema = ("_t double, _b int, r0 double, r1 array<double>, r2 array<double>, d double, "
+                  "ex array<double>, ee double")
+
+    def evaluate(beta):
+        per = (data.mapInPandas(_cox_time_stats(feats, np.asarray(beta, dtype="float64")), per_schema)
+               .repartition(nb, "_b").persist())
+        tot = {r["_b"]: (r["r0"], np.asarray(r["r1"]), np.asarray(r["r2"])) for r in
+               per.groupBy("_b").applyInPandas(_cox_bucket_totals,
+                                               "_b int, r0 double, r1 array<double>, r2 array<double>")
+               .collect()}  # one row per bucket
+        offsets, acc = {}, (0.0, np.zeros(p), np.zeros(p * p))
+        for b in sorted(tot, reverse=True):  # later buckets first
+            offsets[b] = acc
+            acc = (acc[0] + tot[b][0], acc[1] + tot[b][1], acc[2] + tot[b][2])
+        parts = (per.groupBy("_b").applyInPandas(_cox_bucket_terms(p, offsets),
+                                                 "ll double, g array<double>, h array<double>")
+                 .collect())  # one row per bucket
         per.unpersist()
-        grad = np.array([row[f"g_{i}"] or 0.0 for i in range(p)])
-        hess = np.zeros((p, p))
-        for a, bb in pairs:
-            hess[a, bb] = hess[bb, a] = row[f"h_{a}_{bb}"] or 0.0
-        return (row["ll"] or 0.0), grad, hess
+        ll = sum(r["ll"] for r in parts)
+        grad = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(p)
+        hess = (np.sum([np.asarray(r["h"]) for r in parts], axis=0) if parts else np.zeros(p * p)).reshape(p, p)
+        return ll, grad, hess
 
+    beta = np.zeros(p)
     try:
         ll, grad, hess = evaluate(beta)
         it = 0
@@ -285,13 +351,13 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             step = np.linalg.solve(hess, grad) if p else np.zeros(0)
             t = 1.0
             while True:
-                nb = beta + t * step
-                nll, ng, nh = evaluate(nb)
+                nb_ = beta + t * step
+                nll, ng, nh = evaluate(nb_)
                 if nll >= ll - 1e-12 or t < 1e-6:
                     break
                 t *= 0.5
-            done = abs(nll - ll) <= tol * (abs(ll) + tol) or np.max(np.abs(nb - beta), initial=0.0) < tol
-            beta, ll, grad, hess = nb, nll, ng, nh
+            done = abs(nll - ll) <= tol * (abs(ll) + tol) or np.max(np.abs(nb_ - beta), initial=0.0) < tol
+            beta, ll, grad, hess = nb_, nll, ng, nh
             if done:
                 break
     finally:

@@ -409,3 +409,63 @@ SPARK = {
     "value_density": q_value_density,
     "training_table": q_training_table,
 }
+
+
+# ------------------------------------------------- modelling on the cohort table
+MODEL_GRID = {"maxIter": [5, 10], "maxDepth": [3]}  # reduced grid; the reference grid is model.REFERENCE_GRID
+
+
+def _cohort_with_keys(spark, d):
+    from cohortkit.plans.cohort import build_training_table
+
+    t = build_training_table(*training_frames(spark, d), drop_roles=False)
+    return t.withColumn("row_key", C.paste("antibiotic_key", C.epoch_micros("cdiff_charttime")))
+
+
+def _feature_cols(t: DataFrame) -> list:
+    from cohortkit.plans.cohort import Roles
+
+    return [c for c in Roles().features(t) if c not in ("row_key",)]
+
+
+def q_boosted_horizon_eval(spark, d):
+    from cohortkit.plans.modelling import develop
+
+    t = _cohort_with_keys(spark, d)
+    res = develop(t, _feature_cols(t), ["row_key"], grid=MODEL_GRID, folds=2, parallelism=4)
+    m = res["metrics"]
+    return _r(m["roc_auc"].join(m["average_precision"], "horizon"))
+
+
+def q_split_importance(spark, d):
+    from cohortkit.operators import model as MD
+    from cohortkit.operators.prep import assemble, impute_median
+
+    from cohortkit.session import materialize
+
+    t = materialize(_cohort_with_keys(spark, d), "cohort")
+    feats = _feature_cols(t)
+    x = assemble(impute_median(t, feats), feats)
+    m = MD.fit_boosted(x, "cdiff_30d_flag", maxIter=10, maxDepth=3)
+    return MD.split_count_importance(m, feats, k=30)
+
+
+def q_cox_cohort_study(spark, d):
+    from cohortkit.plans.modelling import survival_study
+
+    res = survival_study(_cohort_with_keys(spark, d), ["row_key"])
+    return _r(res["cindex"])
+
+
+def q_elapsed_odds_ratio(spark, d):
+    from cohortkit.plans.modelling import odds_ratio
+
+    return _r(odds_ratio(_cohort_with_keys(spark, d), "cdiff_30d_flag", "admin_time_since_admission"))
+
+
+SPARK.update({
+    "boosted_horizon_eval": q_boosted_horizon_eval,
+    "split_importance": q_split_importance,
+    "cox_cohort_study": q_cox_cohort_study,
+    "elapsed_odds_ratio": q_elapsed_odds_ratio,
+})
