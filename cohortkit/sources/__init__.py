@@ -1,0 +1 @@
+"""Sources and sinks: CSV / gzip CSV / Parquet / catalog tables, lookups, models."""

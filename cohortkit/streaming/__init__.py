@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, windowed or stateful operator
+(every step is a batch read of whole files), so nothing is built here.  The
+batch operators are DataFrame functions; applied inside ``foreachBatch`` they
+work on micro-batches unchanged, except the history statistics, whose carry
+between chunks would need state across batches.
+"""
