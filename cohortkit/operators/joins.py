@@ -106,10 +106,11 @@ def filter_by_threshold(df: DataFrame, key: str, value: str, thresholds, strict:
     without a cutoff are dropped by the inner join; NULL values fail.
     """
     spark = df.sparkSession
-    if isinstance(thresholds, Mapping):
-        thr = spark.createDataFrame([(k, float(v)) for k, v in thresholds.items()], f"{key} string, _cutoff double")
+    if isinstance(thresholds, Mapping):  # size known on the driver: one row per key
+        thr = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in thresholds.items()],
+                                                f"{key} string, _cutoff double"))
     else:
-        thr = thresholds.toDF(key, "_cutoff")
-    out = df.join(broadcast_if_small(thr), key, "inner")
+        thr = broadcast_if_small(thresholds.toDF(key, "_cutoff"))
+    out = df.join(thr, key, "inner")
     cond = (F.col(value) < F.col("_cutoff")) if strict else (F.col(value) <= F.col("_cutoff"))
     return out.filter(cond).drop("_cutoff")
