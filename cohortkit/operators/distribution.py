@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators.quantiles import exact_quantiles
+from cohortkit.operators.quantiles import grouped_quantiles
 
 
 def histogram(df: DataFrame, c: str, lo: float, hi: float, bins: int, group: Sequence[str] = ()) -> DataFrame:
@@ -49,8 +49,9 @@ def kde(df: DataFrame, c: str, group: str | None = None, grid_points: int = 512,
     st = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                                 F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()  # one row per group
     params = []
+    qs = grouped_quantiles(base.select(F.col("_g").alias("_c"), "_x"), [r["_g"] for r in st], [0.25, 0.75])
     for r in st:
-        q = exact_quantiles(base.filter(F.col("_g") == r["_g"]), ["_x"], [0.25, 0.75])["_x"]
+        q = qs[r["_g"]]
         bw = bw_nrd0(r["n"], r["sd"] or 0.0, (q[1] - q[0]) if q[0] is not None else 0.0)
         params.append((r["_g"], float(r["lo"] - cut * bw), float(r["hi"] + cut * bw), float(bw), int(r["n"])))
     spark = df.sparkSession

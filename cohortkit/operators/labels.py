@@ -95,3 +95,11 @@ def qc_filter(df: DataFrame, age: str = "age_at_admin", elapsed: str = "admin_ti
               max_age: float = 100.0, max_hours: float = 60 * 24) -> DataFrame:
     """``age < max_age`` and ``elapsed <= max_hours``; NULL fails both."""
     return df.filter((F.col(age) < max_age) & (F.col(elapsed) <= max_hours))
+
+
+def composite_label(df: DataFrame, test_t: str, t0: str, code_col: str, code: str, horizon: float = 30,
+                    lag: float = LAG_DAYS, name: str = "composite_{h}d") -> DataFrame:
+    """Positive test in [t0+lag, t0+horizon] AND a second code present (e.g. a
+    diarrhoea diagnosis), as 1/0 with NULL filled by 0."""
+    cond = test_window(test_t, t0, horizon, lag) & (F.col(code_col) == F.lit(code))
+    return df.withColumn(name.format(h=int(horizon)), F.coalesce(flag(cond), F.lit(0)))

@@ -28,8 +28,14 @@ def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     bins: int = 1024, max_collect: int = 50_000) -> dict[str, list[float | None]]:
     """{column: [quantile per prob]}; None for an all-null column."""
-    cols = list(cols)
-    long = _long_form(df, cols).persist()
+    return grouped_quantiles(_long_form(df, list(cols)), list(cols), probs, bins, max_collect)
+
+
+def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], probs: Sequence[float],
+                      bins: int = 1024, max_collect: int = 50_000) -> dict[str, list[float | None]]:
+    """Same search over a long frame ``(_c string, _x double)``: quantiles per group ``_c``."""
+    cols = list(groups)
+    long = long_df.persist()
     try:
         stats = {r["_c"]: (r["n"], r["lo"], r["hi"]) for r in
                  long.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),

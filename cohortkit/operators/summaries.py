@@ -21,7 +21,7 @@ def stat_columns(value: str, order: Sequence[str], stats: Sequence[str] = STAT_N
     key = F.when(v.isNotNull(), F.struct(*[F.col(o) for o in order]))
     exprs = {
         "mean": F.avg(v),
-        "median": F.percentile(v, 0.5),
+        "median": F.percentile(v, 0.5),  # replaced below by one shared value map
         "max": F.max(v),
         "min": F.min(v),
         "range": F.max(v) - F.min(v),
@@ -40,10 +40,22 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[st
               stats: Sequence[str] = STAT_NAMES, quantiles: Sequence[float] = ()) -> DataFrame:
     """Ten statistics of ``value`` per group, in one ``groupBy``.
 
-    The exact percentile keeps a value-count map per group; groups here are
-    bounded per key.  For an unbounded group use ``percentile_approx``.
+    Median, IQR and extra quantiles come from one exact ``percentile`` over an
+    array of probabilities (one value-count map per group, not one per
+    statistic).  Groups here are bounded per key; for an unbounded group use
+    ``percentile_approx``.
     """
-    return df.groupBy(*keys).agg(*stat_columns(value, order, stats, quantiles))
+    stats = list(stats)
+    probs = [0.25, 0.5, 0.75] + list(quantiles)
+    plain = [s for s in stats if s not in ("median", "iqr")]
+    aggs = stat_columns(value, order, plain)
+    aggs.append(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    out = df.groupBy(*keys).agg(*aggs)
+    q = F.col("_q")
+    extra = {"median": q[1], "iqr": q[2] - q[0]}
+    extra.update({f"q{int(round(p * 100))}": q[3 + i] for i, p in enumerate(quantiles)})
+    names = list(keys) + stats + [f"q{int(round(p * 100))}" for p in quantiles]
+    return out.withColumns({k: v for k, v in extra.items() if k in names}).select(*names)
 
 
 def count_by(df: DataFrame, c: str) -> DataFrame:

@@ -160,6 +160,16 @@ def q_label_windows_as_executed(spark, d):
     return _r(x.select("user_id", "event_id", *[f"flag_{h}d" for h in L.HORIZONS], "surv_flag", "surv_days"))
 
 
+def q_composite_label(spark, d):
+    ev = _t(spark, d, "events")
+    diar = (ev.filter((F.col("event_type") == "click") & (F.col("value") > 400))
+            .select("user_id").distinct().withColumn("dcode", F.lit("C400")))
+    x = J.enrich(J.enrich(purchases(spark, d).withColumnRenamed("ts", "t0"), outcomes(spark, d), ["user_id"]),
+                 diar, ["user_id"])
+    x = L.composite_label(x, "test_ts", "t0", "dcode", "C400", 30, name="composite_{h}d")
+    return x.groupBy("user_id", "event_id").agg(F.max("composite_30d").alias("composite_30d"))
+
+
 def q_stay_interval(spark, d):
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     od = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
@@ -378,6 +388,7 @@ SPARK = {
     "outcome_tests": q_outcome_tests,
     "label_windows": q_label_windows,
     "label_windows_as_executed": q_label_windows_as_executed,
+    "composite_label": q_composite_label,
     "stay_interval": q_stay_interval,
     "elapsed_features": q_elapsed_features,
     "cardinality_check": q_cardinality_check,

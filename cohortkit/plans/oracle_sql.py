@@ -292,6 +292,15 @@ SELECT user_id, event_id,
   {_label_cols_exec}
 FROM x""",
 
+    "composite_label": f"""
+WITH idx AS (SELECT user_id, event_id, ts AS t0 FROM events WHERE event_type = 'purchase'),
+  tst AS (SELECT user_id, ts AS test_ts FROM events WHERE event_type = 'error' AND value > 100),
+  dia AS (SELECT DISTINCT user_id, 'C400' AS dcode FROM events WHERE event_type = 'click' AND value > 400)
+SELECT idx.user_id, idx.event_id,
+  max(coalesce(CAST({_flag_sql('tst.test_ts', 'idx.t0', 30)} AND dia.dcode = 'C400' AS INTEGER), 0)) AS composite_30d
+FROM idx LEFT JOIN tst ON idx.user_id = tst.user_id LEFT JOIN dia ON idx.user_id = dia.user_id
+GROUP BY idx.user_id, idx.event_id""",
+
     "stay_interval": """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey,
   CAST(l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY AS INTEGER) AS in_stay
