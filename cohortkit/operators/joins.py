@@ -109,6 +109,7 @@ def filter_by_threshold(df: DataFrame, key: str, value: str, thresholds, strict:
     if isinstance(thresholds, Mapping):  # size known on the driver: one row per key
         thr = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in thresholds.items()],
                                                 f"{key} string, _cutoff double"))
+        df = df.filter(F.col(key).isin(list(thresholds)))  # pushed to the scan as an IN filter
     else:
         thr = broadcast_if_small(thresholds.toDF(key, "_cutoff"))
     out = df.join(thr, key, "inner")

@@ -37,20 +37,30 @@ def stat_columns(value: str, order: Sequence[str], stats: Sequence[str] = STAT_N
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-              stats: Sequence[str] = STAT_NAMES, quantiles: Sequence[float] = ()) -> DataFrame:
+              stats: Sequence[str] = STAT_NAMES, quantiles: Sequence[float] = (),
+              hot_rows: int = 1_000_000) -> DataFrame:
     """Ten statistics of ``value`` per group, in one ``groupBy``.
 
     Median, IQR and extra quantiles come from one exact ``percentile`` over an
     array of probabilities (one value-count map per group, not one per
-    statistic).  Groups here are bounded per key; for an unbounded group use
-    ``percentile_approx``.
+    statistic).  That map lives in one task, so groups with more than
+    ``hot_rows`` rows (found by one grouped count; at most rows / hot_rows of
+    them) take their quantiles from the distributed narrowing search instead,
+    while their other statistics stay partial aggregates.
     """
+    keys = list(keys)
     stats = list(stats)
     probs = [0.25, 0.5, 0.75] + list(quantiles)
     plain = [s for s in stats if s not in ("median", "iqr")]
+    hot = [] if hot_rows is None else (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(*keys).collect())  # bounded: rows / hot_rows groups at most
     aggs = stat_columns(value, order, plain)
-    aggs.append(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    out = df.groupBy(*keys).agg(*aggs)
+    if not hot:
+        aggs.append(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        out = df.groupBy(*keys).agg(*aggs)
+    else:
+        out = _with_hot_groups(df, keys, value, aggs, probs, hot)
     q = F.col("_q")
     extra = {"median": q[1], "iqr": q[2] - q[0]}
     extra.update({f"q{int(round(p * 100))}": q[3 + i] for i, p in enumerate(quantiles)})
@@ -82,3 +92,23 @@ def schema_profile(df: DataFrame) -> DataFrame:
     rows = [(c, t) for c, t in df.dtypes]
     prof = spark.createDataFrame(rows, "column string, type string")
     return prof.groupBy("type").agg(F.count(F.lit(1)).alias("n_columns")).orderBy("type")
+
+
+def _with_hot_groups(df: DataFrame, keys, value, aggs, probs, hot) -> DataFrame:
+    from cohortkit.operators.quantiles import grouped_quantiles
+
+    spark = df.sparkSession
+    tag = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    names = ["\u0001".join("\u0000" if r[k] is None else str(r[k]) for k in keys) for r in hot]
+    hot_df = F.broadcast(spark.createDataFrame([(n,) for n in names], "_tag string"))  # bounded list
+    tagged = df.withColumn("_tag", tag)
+    cold = (tagged.join(hot_df, "_tag", "left_anti").groupBy(*keys)
+            .agg(*aggs, F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q")))
+    qs = grouped_quantiles(tagged.join(hot_df, "_tag", "left_semi")
+                           .select(F.col("_tag").alias("_c"), F.col(value).cast("double").alias("_x"))
+                           .filter(F.col("_x").isNotNull()), names, probs)
+    qdf = spark.createDataFrame([(n, [float(x) if x is not None else None for x in qs[n]]) for n in names],
+                                "_tag string, _q array<double>")
+    warm = (tagged.join(hot_df, "_tag", "left_semi").groupBy(*keys, "_tag").agg(*aggs)
+            .join(F.broadcast(qdf), "_tag").drop("_tag"))
+    return cold.unionByName(warm)

@@ -366,7 +366,8 @@ def training_frames(spark, d):
                        C.add_days("admittime", 7).alias("icu_outtime"))
     meas = measures(spark, d).select(F.col("user_id").alias("subject_id"), F.col("user_id").alias("hadm_id"),
                                      "event_type", "ts", "event_id", "value")
-    long = history_stats(meas, index.select("subject_id", "hadm_id", "antibiotic_key", "ab_startdate"),
+    # the pre-pivot rows carry the same unique keys; using them skips the pivot's shuffle here
+    long = history_stats(meas, idx0.select("subject_id", "hadm_id", "antibiotic_key", "ab_startdate"),
                          ["subject_id", "hadm_id"], test_col="event_type", time_col="ts", value_col="value",
                          order_col="event_id", index_id="antibiotic_key", index_time="ab_startdate", tests=TESTS)
     feats = pivot_stats(long, ["subject_id", "hadm_id", "antibiotic_key"], "event_type", TESTS, STATS)

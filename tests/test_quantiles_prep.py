@@ -71,3 +71,18 @@ def test_weights_standardise_assemble(spark):
     nan = spark.createDataFrame([(float("nan"),)], "x double")
     assert PR.normalise_missing(nan).first()["x"] is None
     assert F
+
+
+def test_summarise_hot_groups_equal_plain(spark):
+    from cohortkit.operators.summaries import summarise
+
+    rng = np.random.default_rng(9)
+    rows = [(0 if i < 600 else int(rng.integers(1, 20)), float(rng.integers(0, 50)), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, v double, o int")
+    a = summarise(df, ["k"], "v", ["o"], quantiles=[0.9]).toPandas().set_index("k").sort_index()
+    b = summarise(df, ["k"], "v", ["o"], quantiles=[0.9], hot_rows=100).toPandas().set_index("k").sort_index()
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-12)
+    ref = pd.DataFrame(rows, columns=["k", "v", "o"])
+    g = ref[ref.k == 0]["v"].to_numpy()
+    assert abs(b.loc[0, "median"] - np.median(g)) < 1e-12
+    assert abs(b.loc[0, "iqr"] - (np.quantile(g, .75) - np.quantile(g, .25))) < 1e-12
