@@ -26,7 +26,8 @@ def _by_score(df: DataFrame, label: str, score: str, group: Sequence[str]) -> Da
     if not g:  # attach the single totals row
         cum, tot, g = cum.withColumn("_one", F.lit(1)), tot.withColumn("_one", F.lit(1)), ["_one"]
         return cum.join(F.broadcast(tot), g, "left").drop("_one")
-    return cum.join(F.broadcast(tot), g, "left")
+    # one row per group: no hint, AQE broadcasts it after measuring its size
+    return cum.join(tot, g, "left")
 
 
 def roc_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:

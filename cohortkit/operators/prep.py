@@ -111,8 +111,8 @@ def stratified_folds(df: DataFrame, key_cols: Sequence[str], label: str, k: int
 
     d = df.withColumn("_h", hash_rank_key(key_cols, seed))
     d = with_row_index(d, "_r", [label, "_h"])
-    offs = d.groupBy(label).agg(F.min("_r").alias("_o"))  # one row per class
-    return (d.join(F.broadcast(offs), label).withColumn(name, ((F.col("_r") - F.col("_o")) % k).cast("int"))
+    offs = d.groupBy(label).agg(F.min("_r").alias("_o"))  # one row per class; AQE sizes the join
+    return (d.join(offs, label).withColumn(name, ((F.col("_r") - F.col("_o")) % k).cast("int"))
             .drop("_h", "_r", "_o"))
 
 
