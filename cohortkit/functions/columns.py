@@ -175,3 +175,18 @@ def round_cols(df: DataFrame, digits: int = 6, cols: Sequence[str] | None = None
     """Round floating columns (used only for stable comparisons)."""
     targets = cols or [n for n, t in df.dtypes if t in ("double", "float")]
     return df.withColumns({c: F.round(F.col(c), digits) for c in targets})
+
+
+def cast_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Cast named columns (e.g. a 0/1 flag to boolean, counts to double)."""
+    return df.withColumns({c: F.col(c).cast(t) for c, t in mapping.items()})
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """First rows (a limit; the feature is the head, not a cap on results)."""
+    return df.limit(n)
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """(rows, columns): one count job plus schema metadata."""
+    return df.count(), len(df.columns)

@@ -27,6 +27,13 @@ def survival_window(df: DataFrame, time: str = "survival_time", event: str = "cd
             .withColumn(event, F.col(event).cast("boolean")))
 
 
+def as_structured(df: DataFrame, event: str = "cdiff_survival_flag", time: str = "survival_time",
+                  name: str = "y") -> DataFrame:
+    """Survival target as one struct column (status boolean, survival_in_days double)."""
+    return df.withColumn(name, F.struct(F.col(event).cast("boolean").alias("status"),
+                                        F.col(time).cast("double").alias("survival_in_days")))
+
+
 # ---------------------------------------------------------------- Kaplan-Meier
 def kaplan_meier(df: DataFrame, time: str, event: str, group: Sequence[str] = (),
                  conf_level_z: float = Z_95) -> DataFrame:

@@ -64,3 +64,13 @@ def test_composite_label(spark):
     got = {r["id"]: r["composite_30d"] for r in L.composite_label(df, "test_ts", "t0", "code", "C").collect()}
     assert got == {1: 1, 2: 0, 3: 0}
     assert F
+
+
+def test_cast_preview_shape_struct(spark):
+    from cohortkit.operators.survival import as_structured
+
+    df = spark.createDataFrame([(1, 2.5), (0, 3.0)], "cdiff_survival_flag int, survival_time double")
+    assert dict(C.cast_columns(df, {"cdiff_survival_flag": "boolean"}).dtypes)["cdiff_survival_flag"] == "boolean"
+    assert C.preview(df, 1).count() == 1 and C.shape(df) == (2, 2)
+    y = as_structured(df).select("y.status", "y.survival_in_days").collect()
+    assert (y[0][0], y[0][1]) == (True, 2.5)
