@@ -127,3 +127,23 @@ def test_empty_inputs_keep_schema(spark):
     out = history_stats(ms.limit(0), ix, ["sid", "hid"], test_col="test", time_col="t", value_col="v",
                         order_col="rid", index_id="iid", index_time="t0", tests=["alt"])
     assert out.count() == 0 and "median" in out.columns
+
+
+def test_groups_straddling_arrow_batches(spark):
+    rng = np.random.default_rng(12)
+    meas, idx = [], []
+    for sid in range(4):
+        for r in range(40):
+            meas.append((sid, sid, "x", T0 + dt.timedelta(hours=int(rng.integers(0, 300))), sid * 100 + r,
+                         float(rng.integers(0, 9))))
+        for j in range(6):
+            idx.append((sid, sid, f"{sid}-{j}", T0 + dt.timedelta(hours=int(rng.integers(0, 320)))))
+    m, i, ms, ix = make(spark, meas, idx)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = history_stats(ms, ix, ["sid", "hid"], test_col="test", time_col="t", value_col="v", order_col="rid",
+                            index_id="iid", index_time="t0", tests=["x"], num_partitions=1).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    check(out.sort_values(["iid", "test"]).reset_index(drop=True), brute(m, i, ["sid", "hid"]))
