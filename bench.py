@@ -49,7 +49,7 @@ def main():
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus * 2,
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", cpus * 2)),
                       extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g"),
                              "spark.ui.enabled": "false"})
     out = {}
