@@ -326,15 +326,10 @@ def pivot_stats(long: DataFrame, id_cols: Sequence[str], test_col: str, tests: S
                 stats: Sequence[str] = STATS, sep: str = "_") -> DataFrame:
     """Wide form: one row per id, columns ``{stat}{sep}{test}``; absent stays NULL.
 
-    Pivot values are given, so no distinct-value discovery job runs and the
-    output schema is static.
+    (id, test) is unique in the long form, so each cell is a conditional
+    ``max`` — a code-generated hash aggregate with partial aggregation — and the
+    given test list fixes the output schema (no distinct-value discovery job).
     """
-    aggs = [F.first(s).alias(s) for s in stats]
-    wide = long.groupBy(*id_cols).pivot(test_col, list(tests)).agg(*aggs)
-    ren = {}
-    for t in tests:
-        for s in stats:
-            ren[f"{t}_{s}"] = f"{s}{sep}{t}"
-    if len(stats) == 1:
-        ren = {t: f"{stats[0]}{sep}{t}" for t in tests}
-    return wide.withColumnsRenamed(ren)
+    aggs = [F.max(F.when(F.col(test_col) == F.lit(t), F.col(s))).alias(f"{s}{sep}{t}")
+            for t in tests for s in stats]
+    return long.groupBy(*id_cols).agg(*aggs)
