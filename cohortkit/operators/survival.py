@@ -183,8 +183,9 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
     ts = base.groupBy("_t", "_s").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_e").alias("_ev"),
                                       F.sum(1 - F.col("_e")).alias("_cen")).persist()
     try:
-        if n_chunks is None:
-            n_chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if n_chunks is None:  # ~50k distinct (time, score) rows per chunk, at most one per partition
+            n_rows = ts.count()  # also fills the cache
+            n_chunks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 50_000)))
         probs = [i / n_chunks for i in range(1, n_chunks)]
         qt, qs = ts.approxQuantile(["_t", "_s"], probs, 0.001) if probs else ([], [])
         inf = float("inf")
@@ -321,10 +322,13 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     if standardize:
         scale = standardise_stats(data, feats)
         data = standardise(data, feats, scale)
-    if n_buckets is None:
-        n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    data = data.persist()
+    if n_buckets is None:  # ~200k rows per time bucket, at most one bucket per shuffle partition
+        n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-data.count() // 200_000)))
     splits = key_splits(data, "_t", n_buckets)  # fixed for every iteration
+    cached = data
     data = bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int")).persist()
+    cached.unpersist()
     p = len(feats)
     nb = len(splits)
     per_schema = ("_t double, _b int, r0 double, r1 array<double>, r2 array<double>, d double, "
