@@ -201,10 +201,10 @@ def q_first_index_per_key(spark, d):
 
 def q_dose_merge(spark, d):
     """Purchases of a user less than one hour apart merge into one administration."""
-    p = purchases(spark, d)
-    s = p.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("doses"), F.min("event_id").alias("first_event_id"))
-    return s.select("user_id", "first_event_id", "doses")
+    from cohortkit.operators.sessions import merge_within
+
+    s = merge_within(purchases(spark, d), "user_id", "ts", "event_id", 3600)
+    return s.select("user_id", F.col("first_order").alias("first_event_id"), F.col("n_events").alias("doses"))
 
 
 def q_prior_outcome_flag(spark, d):

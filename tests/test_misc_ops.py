@@ -74,3 +74,33 @@ def test_cast_preview_shape_struct(spark):
     assert C.preview(df, 1).count() == 1 and C.shape(df) == (2, 2)
     y = as_structured(df).select("y.status", "y.survival_in_days").collect()
     assert (y[0][0], y[0][1]) == (True, 2.5)
+
+
+def test_merge_within_matches_sequential_rule(spark):
+    import numpy as np
+
+    from cohortkit.operators.sessions import merge_within
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(3):
+        n = 200 if k == 0 else 15  # one hot key
+        ts = sorted(T0 + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 60 * 48, n))
+        rows += [(k, t, k * 1000 + i) for i, t in enumerate(ts)]
+    rows.append((1, T0 + dt.timedelta(hours=100), 5000))
+    rows.append((1, T0 + dt.timedelta(hours=101), 5001))  # exactly one gap later: a new session
+    df = spark.createDataFrame(rows, "k int, t timestamp, o long")
+    got = sorted((r["k"], r["first_order"], r["n_events"]) for r in merge_within(df, "k", "t", "o").collect())
+    ref = []
+    for k in range(3):
+        rs = sorted((t, o) for kk, t, o in rows if kk == k)
+        cur = None
+        for t, o in rs:
+            if cur is None or (t - prev) >= dt.timedelta(hours=1):
+                if cur:
+                    ref.append((k, min(cur), len(cur)))
+                cur = []
+            cur.append(o)
+            prev = t
+        ref.append((k, min(cur), len(cur)))
+    assert got == sorted(ref)
