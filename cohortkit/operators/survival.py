@@ -317,18 +317,19 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     feats = list(features)
     scale = None
     spark = df.sparkSession
-    data = df.select(*[F.col(c).cast("double") for c in feats], F.col(time).cast("double").alias("_t"),
-                     F.col(event).cast("int").alias("_e")).dropna()
+    # the selected rows are cached once; scaling, counting and every Newton pass read the cache
+    base = df.select(*[F.col(c).cast("double") for c in feats], F.col(time).cast("double").alias("_t"),
+                     F.col(event).cast("int").alias("_e")).dropna().persist()
+    n_rows = base.count()
+    data = base
     if standardize:
-        scale = standardise_stats(data, feats)
-        data = standardise(data, feats, scale)
-    data = data.persist()
+        scale = standardise_stats(base, feats)
+        data = standardise(base, feats, scale)
     if n_buckets is None:  # ~200k rows per time bucket, at most one bucket per shuffle partition
-        n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-data.count() // 200_000)))
-    splits = key_splits(data, "_t", n_buckets)  # fixed for every iteration
-    cached = data
-    data = bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int")).persist()
-    cached.unpersist()
+        n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 200_000)))
+    # fixed for every iteration; one bucket needs no split points (no quantile job)
+    splits = key_splits(data, "_t", n_buckets) if n_buckets > 1 else [float("-inf"), float("inf")]
+    data = bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int"))
     p = len(feats)
     nb = len(splits)
     per_schema = ("_t double, _b int, r0 double, r1 array<double>, r2 array<double>, d double, "
@@ -337,10 +338,13 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     def evaluate(beta):
         per = (data.mapInPandas(_cox_time_stats(feats, np.asarray(beta, dtype="float64")), per_schema)
                .repartition(nb, "_b").persist())
-        tot = {r["_b"]: (r["r0"], np.asarray(r["r1"]), np.asarray(r["r2"])) for r in
-               per.groupBy("_b").applyInPandas(_cox_bucket_totals,
-                                               "_b int, r0 double, r1 array<double>, r2 array<double>")
-               .collect()}  # one row per bucket
+        if nb <= 2:  # a single bucket: no later buckets, so no offsets and no totals job
+            tot = {}
+        else:
+            tot = {r["_b"]: (r["r0"], np.asarray(r["r1"]), np.asarray(r["r2"])) for r in
+                   per.groupBy("_b").applyInPandas(_cox_bucket_totals,
+                                                   "_b int, r0 double, r1 array<double>, r2 array<double>")
+                   .collect()}  # one row per bucket
         offsets, acc = {}, (0.0, np.zeros(p), np.zeros(p * p))
         for b in sorted(tot, reverse=True):  # later buckets first
             offsets[b] = acc
@@ -372,7 +376,7 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             if done:
                 break
     finally:
-        data.unpersist()
+        base.unpersist()
     return {"features": feats, "coef": [float(x) for x in beta], "loglik": float(ll), "n_iter": it,
             "scale": scale}
 
