@@ -195,6 +195,15 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
         tsp = bucketize(bucketize(ts, "_t", st, "_tb"), "_s", ss, "_sb")
         tsp = tsp.withColumns({"_tb": F.col("_tb").cast("int"), "_sb": F.col("_sb").cast("int"),
                                "_nch": F.lit(k)})
+        cols = tsp.select("_t", "_s", "_tb", "_sb", "_cnt", "_ev", "_cen", "_nch")
+        if len(st) == 2 and len(ss) == 2:  # one chunk and one bucket: the chunk sweep sees every pair
+            tc = (cols.groupBy("_tb")
+                  .applyInPandas(_sweep_time_chunk,
+                                 "lower double, equal double, later double, cen_lower double, cen_equal double")
+                  .collect()[0])
+            cross = {"a": 0.0, "l": 0.0}
+            sb = {"lower": 0.0, "equal": 0.0}
+            return _cindex_row(spark, cross, sb, tc)
         # the grid of counts: at most k x k rows
         G = np.zeros((k, k))
         for r in tsp.groupBy("_tb", "_sb").agg(F.sum("_cnt").alias("n")).collect():
@@ -208,7 +217,6 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
         cross = (tsp.filter(F.col("_ev") > 0).join(F.broadcast(cells), ["_tb", "_sb"])
                  .agg(F.sum(F.col("_ev") * F.col("_dv")).alias("a"), F.sum(F.col("_ev") * F.col("_lv")).alias("l"))
                  .collect()[0])
-        cols = tsp.select("_t", "_s", "_tb", "_sb", "_cnt", "_ev", "_cen", "_nch")
         tc = (cols.repartition(k, "_tb").groupBy("_tb")
               .applyInPandas(_sweep_time_chunk,
                              "lower double, equal double, later double, cen_lower double, cen_equal double")
@@ -219,6 +227,10 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
               .agg(F.sum("lower").alias("lower"), F.sum("equal").alias("equal")).collect()[0])
     finally:
         ts.unpersist()
+    return _cindex_row(spark, cross, sb, tc)
+
+
+def _cindex_row(spark, cross, sb, tc) -> DataFrame:
     z = lambda x: float(x or 0.0)
     concordant = z(cross["a"]) + z(sb["lower"]) + z(tc["lower"]) + z(tc["cen_lower"])
     tied = z(sb["equal"]) + z(tc["equal"]) + z(tc["cen_equal"])
