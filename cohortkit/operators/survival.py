@@ -6,7 +6,6 @@ All three reduce to aggregates over distinct times plus running sums over time
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.operators.prefix import _splits, bucketize, key_splits, running_sums
+from cohortkit.operators.prefix import bucketize, key_splits, running_sums
 
 Z_95 = 1.959963984540054  # two-sided 95 % normal quantile
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.columns import flag, paste
 from cohortkit.operators.history import STATS, history_stats, pivot_stats
-from cohortkit.operators.joins import enrich, lookup_join, semi_join
+from cohortkit.operators.joins import enrich, semi_join
 from cohortkit.operators.labels import (HORIZONS, age_at, hours_since, in_stay, label_by_source,
                                         label_windows, qc_filter, survival_target, time_of_day)
 from cohortkit.operators.pivots import one_hot_pivot
