@@ -126,3 +126,20 @@ def load_model(path: str, cls=None):
     if cls is None:
         from pyspark.ml import PipelineModel as cls  # noqa: N813
     return cls.load(path)
+
+
+def stage_as_parquet(spark: SparkSession, src: str, dst: str, schema=None, num_partitions: int | None = None,
+                     partition_by: Sequence[str] | None = None) -> DataFrame:
+    """Convert a (gzip) CSV to Parquet once and return the Parquet-backed frame.
+
+    A ``.csv.gz`` file is read by a single task (gzip is not splittable);
+    repartitioning before the write spreads every later scan over many tasks
+    and gives later steps column pruning and filter pushdown.
+    """
+    df = read_table(spark, src, schema=schema)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = df.repartition(n).write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(dst)
+    return spark.read.parquet(dst)

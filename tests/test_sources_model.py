@@ -104,3 +104,12 @@ def test_unpivot_long(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
     out = unpivot_long(df, ["id"], ["a", "b"]).collect()
     assert sorted((r["variable"], r["value"]) for r in out) == [("a", 2.0), ("b", 3.0)]
+
+
+def test_stage_gzip_csv_as_parquet(spark, tmp_path):
+    p = tmp_path / "rx.csv.gz"
+    with gzip.open(p, "wt") as f:
+        f.write("ROW_ID,DRUG\n" + "".join(f"{i},d{i % 3}\n" for i in range(50)))
+    out = io.stage_as_parquet(spark, str(p), str(tmp_path / "rx_pq"), num_partitions=4)
+    assert out.count() == 50 and out.columns == ["row_id", "drug"]
+    assert out.rdd.getNumPartitions() >= 1 and any(x.endswith(".parquet") for x in os.listdir(tmp_path / "rx_pq"))
