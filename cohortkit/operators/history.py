@@ -16,8 +16,13 @@ group, and all ten statistics are prefix statistics:
 1. Measurements and index events are unioned into one stream per
    (keys, test).  Index events sort before measurements at the same instant,
    which gives the strict ``<``.
-2. Each group is cut into time chunks of about ``chunk_rows`` rows (from one
-   grouped count).  A hot key therefore spreads over many tasks.
+2. One grouped count finds the largest (keys, test) group.  If none exceeds
+   ``chunk_rows`` each group is a single chunk and steps 3 and the geometry
+   join are skipped.  Otherwise every group is cut into ``ceil(n/chunk_rows)``
+   time-uniform chunks between its first and last time (from one grouped
+   count/min/max), so a hot key spreads over many tasks.  The chunk is a
+   function of the time alone, so equal times share a chunk (needed for the
+   strict ``<``); rows piled up in a narrow time range give uneven chunks.
 3. The state a chunk inherits from earlier chunks of its group is computed by
    Spark aggregates: a value histogram (value, count) of earlier chunks and the
    last earlier value.  Its size is bounded by the number of distinct values of
