@@ -178,7 +178,8 @@ def concordance_index(df: DataFrame, time: str, event: str, score: str,
     spark = df.sparkSession
     base = (df.select(F.col(time).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"),
                       F.col(event).cast("int").alias("_e"))
-            .filter(F.col("_t").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull()))
+            .filter(F.col("_t").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull()
+                    & ~F.isnan("_t") & ~F.isnan("_s")))
     ts = base.groupBy("_t", "_s").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_e").alias("_ev"),
                                       F.sum(1 - F.col("_e")).alias("_cen")).persist()
     try:

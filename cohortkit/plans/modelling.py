@@ -37,7 +37,7 @@ def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str],
     labels = [label.format(h=h) for h in horizons]
     num_cols = feats if impute == "features" else [c for c, t in table.dtypes if t in ("double", "int", "bigint")
                                                    and c not in key_cols]
-    t = PR.split_exact(materialize(table, "cohort"), key_cols, test_frac, seed=seed)
+    t = PR.split_exact(materialize(PR.normalise_missing(table), "cohort"), key_cols, test_frac, seed=seed)
     if impute_before_split:
         t = PR.impute_median(t, num_cols)
     else:
@@ -69,7 +69,7 @@ def survival_study(table: DataFrame, key_cols: Sequence[str], *, time: str = "su
                    seed: int = 1, patterns: Sequence[str] = ("_is_", "mean_")) -> dict:
     """Window (0, horizon), features by name pattern, split, Kaplan-Meier on the
     validation part, Cox fit on standardised features, concordance, hazard ratios."""
-    w = materialize(SV.survival_window(table, time, event, 0, horizon), "survival-window")
+    w = materialize(SV.survival_window(PR.normalise_missing(table), time, event, 0, horizon), "survival-window")
     feats = [c for c in select_features(w, patterns, SURVIVAL_EXTRA) if c not in (time, event)]
     # constant columns make the Cox Hessian singular: keep features that vary
     sd = w.agg(*[F.stddev_pop(c).alias(c) for c in feats]).collect()[0]
