@@ -228,7 +228,8 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
                   test_col: str, time_col: str, value_col: str, order_col: str,
                   index_id: str, index_time: str, tests: Sequence[str],
                   stats: Sequence[str] = STATS, chunk_rows: int = 200_000,
-                  null_safe: bool = True, num_partitions: int | None = None) -> DataFrame:
+                  null_safe: bool = True, num_partitions: int | None = None,
+                  rows_per_task: int = 20_000) -> DataFrame:
     """Long form: (keys, index_id, test, <stats>) for index events with earlier measurements.
 
     ``measures`` must already be filtered (codes, QC); rows with a NULL value or
@@ -265,12 +266,14 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     schema = T.StructType(fields)
     # an explicit partition count: the sweep is compute-heavy per byte, so the
     # planner must not coalesce it into a few tasks
-    nparts = num_partitions or int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     # size check (one aggregate, partial counts map-side): if no group exceeds
     # chunk_rows every group is one chunk and needs no carry
-    biggest = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n").alias("m")).collect()[0]["m"]) or 0
+    sizes = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
+             .agg(F.max("_n").alias("m"), F.sum("_n").alias("t")).collect()[0])
+    biggest, total = sizes["m"] or 0, sizes["t"] or 0
+    # sweep tasks: ~rows_per_task rows each, at most one per shuffle partition
+    cap = int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nparts = num_partitions or max(1, min(cap, -(-total // rows_per_task)))
     if biggest <= chunk_rows:
         rows = stream.select(*gkeys, F.lit(0).cast("long").alias("_chunk"), "_t", "_ord", "_v",
                              F.lit(1).cast("long").alias("_c"), "_kind", index_id,

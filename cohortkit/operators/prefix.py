@@ -46,7 +46,8 @@ def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFra
 
 def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool = False,
                  inclusive: bool = True, partition_by: Sequence[str] = (), n_chunks: int | None = None,
-                 prefix: str = "cum_", splits: list[float] | None = None) -> DataFrame:
+                 prefix: str = "cum_", splits: list[float] | None = None,
+                 keys_per_chunk: int = 50_000) -> DataFrame:
     """Add ``{prefix}{c}`` = sum of ``c`` over rows of the same group whose key is
     before this row's key (and the row itself when ``inclusive``).
 
@@ -56,8 +57,10 @@ def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool
     cols = list(cols)
     parts = list(partition_by)
     spark = df.sparkSession
-    if n_chunks is None:
-        n_chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_chunks is None and splits is None:
+        # ~keys_per_chunk keys per bucket, at most one bucket per shuffle partition
+        cap = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        n_chunks = max(1, min(cap, -(-df.count() // keys_per_chunk)))
     k = F.col(key).cast("double")
     base = df.withColumn("_k", -k if descending else k)
     if splits is None:

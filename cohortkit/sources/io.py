@@ -95,10 +95,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", compression: str
         w.format(fmt).save(path)
 
 
-def with_row_index(df: DataFrame, name: str, order_by: Sequence[str]) -> DataFrame:
+def with_row_index(df: DataFrame, name: str, order_by: Sequence[str],
+                   rows_per_partition: int = 1_000_000) -> DataFrame:
     """Dense 0-based index over ``order_by`` using range partitions + per-partition offsets."""
     spark = df.sparkSession
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cap = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nparts = max(1, min(cap, -(-df.count() // rows_per_partition)))  # ~rows_per_partition rows each
     ranged = df.repartitionByRange(nparts, *order_by).sortWithinPartitions(*order_by)
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
     from cohortkit.session import materialize
