@@ -85,6 +85,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, N_KINDS:N_KINDS + 81] = np.bincount((p_byte[:-1] * 81 + pair)[own],
                                                minlength=total * 81).reshape(total, -1) / n_bytes
     c = N_KINDS + 81
+    out[:, -1] = np.log1p(1)
     if len(at):
         # a word's hash: the sum of its bytes, each times an odd number of its place
         place = np.arange(len(buf)) - np.maximum.accumulate(np.where(begins, np.arange(len(buf)), 0))

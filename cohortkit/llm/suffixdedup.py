@@ -99,7 +99,11 @@ def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int)
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, s, id, th, pos, left, right) for each anchor of (id, th, text) rows."""
+    """Anchors of (id, th, text) rows, and the spans that are settled where they are read.
+
+    A batch is pre-aggregated: a segment found n times in it is one row (h, s, n, id, th, pos, l, r) of its first
+    occurrence; with n > 1 all its occurrences repeat, and their spans come as rows with NULL h, from pos to ``b``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - GRAM
@@ -118,13 +122,34 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             x = Hashes(buf)
             h = x.of(at, at + GRAM)
             s = _mix(x.of(at - left, at + GRAM + right) ^ left.astype(np.uint64))
-            take = pa.array(own)
+            o = np.lexsort((at, s, h))
+            begin = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (s[o][1:] != s[o][:-1])])
+            first = np.flatnonzero(begin)
+            size = np.diff(np.concatenate([first, [len(o)]]))
+            rep = o[first]
+            again = np.sort(o[np.repeat(size > 1, size)])  # spans in order of place, touching ones merged
+            a, e = at[again] - left[again], at[again] + GRAM + right[again]
+            if len(a):
+                # an anchor's segment may begin before and end after its neighbour's, never the reverse
+                new = np.concatenate([[True], (a[1:] > np.maximum.accumulate(e)[:-1]) | (own[again][1:] != own[again][:-1])])
+                lo = np.minimum.reduceat(a, np.flatnonzero(new))
+                hi = np.maximum.reduceat(e, np.flatnonzero(new))
+                who = own[again][new]
+            else:
+                lo = hi = who = np.zeros(0, np.int64)
+            none = pa.nulls(len(lo), pa.int64())
+            place = pa.array(np.concatenate([at[rep] - starts[own[rep]], lo - starts[who]]))
+            take = pa.array(np.concatenate([own[rep], who]))
+            pad = np.zeros(len(lo), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), b.column(0).take(take), b.column(1).take(take),
-                 pa.array(at - starts[own], pa.int64()), pa.array(left, pa.int16()), pa.array(right, pa.int16())],
-                ["h", "s", "id", "th", "pos", "l", "r"])
+                [pa.concat_arrays([pa.array(h[rep].view(np.int64)), none]),
+                 pa.array(np.concatenate([s[rep].view(np.int64), pad])), pa.array(np.concatenate([size, pad])),
+                 b.column(0).take(take), b.column(1).take(take), place,
+                 pa.array(np.concatenate([left[rep], pad]), pa.int16()), pa.array(np.concatenate([right[rep], pad]), pa.int16()),
+                 pa.array(np.concatenate([np.zeros(len(rep), np.int64), hi - starts[who]]))],
+                ["h", "s", "n", "id", "th", "pos", "l", "r", "b"])
 
-    return docs.mapInArrow(run, "h long, s long, id long, th long, pos long, l short, r short")
+    return docs.mapInArrow(run, "h long, s long, n long, id long, th long, pos long, l short, r short, b long")
 
 
 UNIT = 40  # bytes that one rank stands for: 5 doubled three times
@@ -318,13 +343,15 @@ def _spans(rows: DataFrame, a, b) -> DataFrame:
 def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000,
                    block_bytes: int = 1 << 20) -> DataFrame:
     """(id, th, a, b): spans whose bytes go, of texts keyed by (id, th); spans may overlap."""
-    rows = materialize(anchor_rows(keyed, length), "sa-anchors")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    cand = materialize(rows.join(often, "h"), "sa-candidates")
-    by_s = materialize(cand.groupBy("h", "s").agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.struct("id", "th", "pos", "l", "r")).alias("u")), "sa-segments")
-    found = _spans(cand.join(by_s.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi"),
-                   F.col("pos") - F.col("l"), F.col("pos") + GRAM + F.col("r"))
+    read = materialize(anchor_rows(keyed, length), "sa-anchors")
+    rows = read.filter("h is not null")
+    by_s = materialize(rows.groupBy("h", "s").agg(
+        F.sum("n").alias("n"), F.first(F.struct("id", "th", "pos", "l", "r")).alias("u")), "sa-segments")
+    # occurrences that were alone in their batch and are not in the corpus
+    met = rows.filter("n = 1").select("h", "s", "id", "th", "pos", "l", "r").join(
+        by_s.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi")
+    found = _spans(met, F.col("pos") - F.col("l"), F.col("pos") + GRAM + F.col("r")).unionByName(
+        _spans(read.filter("h is null"), F.col("pos"), F.col("b")))
 
     mixed = by_s.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("h")
     reps = by_s.join(mixed, "h").select("h", "n", "u.*")
