@@ -67,7 +67,7 @@ def _matrix(col: pa.ChunkedArray, dtype) -> np.ndarray:
 def search_block(index: pa.Table, queries: pa.Table, prefix: int, n_pivots: int, budget: float, keep: int) -> list:
     """[(query number, [(-score, id)])]: the ``keep`` best ids of a block for each query of a block."""
     x, perm = _matrix(index.column("vec"), np.float64), _matrix(index.column("perm"), np.int64)
-    q, qperm = _matrix(queries.column("vec"), np.float64), _matrix(queries.column("perm"), np.int64)
+    q, qperm = _matrix(queries.column("qvec"), np.float64), _matrix(queries.column("qperm"), np.int64)
     ids = index.column("ids").to_pylist()
     n = len(x)
     take = min(n, max(keep, math.ceil(budget * n)))
@@ -135,8 +135,9 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     budget = max(share, least / max(n_ent, 1))
     left = index.select("vec", "ids", "perm", F.pmod(F.xxhash64("vec"), F.lit(nv)).alias("vb"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
-    right = queries.select("vec", "perm", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(nq)).alias("qb"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("vb"))
+    # new names: both sides of the cogroup come from the index
+    right = queries.select(F.col("vec").alias("qvec"), F.col("perm").alias("qperm"), F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(nq)).alias("qqb"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("qvb"))
     n_pivots = len(p)
 
     def cell(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -145,10 +146,10 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                              "best": pa.array([], pa.list_(pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())])))})
         found = search_block(a, b, prefix, n_pivots, budget, keep)
         best = [[{"neg": s, "vec_id": v} for s, v in f] for f in found]
-        return pa.table({"vec": b.column("vec"),
+        return pa.table({"vec": b.column("qvec"),
                          "best": pa.array(best, pa.list_(pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())])))})
 
-    cells = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(
+    cells = left.groupBy("vb", "qb").cogroup(right.groupBy("qvb", "qqb")).applyInArrow(
         cell, f"vec {vec_type}, best {RESULT}")
     top = cells.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, keep).alias("best"))
     ask = asked.select(F.col("id").alias("query_id"), "vec").distinct()
