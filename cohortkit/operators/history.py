@@ -224,6 +224,11 @@ def _sweep_partitions(ckeys, out_keys, stats):
     return run
 
 
+def _no_id(t: T.DataType):
+    """Id of rows that have none; not NULL for whole numbers, which pandas would turn into floats."""
+    return F.lit(0).cast(t) if isinstance(t, T.IntegralType) else F.lit(None).cast(t)
+
+
 def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
                   test_col: str, time_col: str, value_col: str, order_col: str,
                   index_id: str, index_time: str, tests: Sequence[str],
@@ -244,7 +249,7 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
                  F.col(order_col).cast("long").alias("_ord"),
                  F.col(value_col).cast("double").alias("_v"),
                  F.lit(_KIND_MEASURE).alias("_kind"),
-                 F.lit(None).cast(index.schema[index_id].dataType).alias(index_id)))
+                 _no_id(index.schema[index_id].dataType).alias(index_id)))
     ix = (index
           .filter(F.col(index_time).isNotNull())
           .select(*keys, F.explode(F.array(*[F.lit(t) for t in tests])).alias(test_col),
@@ -268,8 +273,21 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     # planner must not coalesce it into a few tasks
     # size check (one aggregate, partial counts map-side): if no group exceeds
     # chunk_rows every group is one chunk and needs no carry
-    sizes = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
-             .agg(F.max("_n").alias("m"), F.sum("_n").alias("t")).collect()[0])
+    # whole-number keys or ids with NULLs go through pandas as text: exact at any size
+    whole = [c for c in [*keys, index_id] if isinstance(kt[c], T.IntegralType)]
+    sizes = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(index_id).isNull()).alias("_i"))
+             .agg(F.max("_n").alias("m"), F.sum("_n").alias("t"), F.max("_i").alias("_null_id"),
+                  *[F.max(F.col(k).isNull()).alias(f"_null_{i}") for i, k in enumerate(keys)]).collect()[0])
+    has_null = {**{k: sizes[f"_null_{i}"] for i, k in enumerate(keys)}, index_id: sizes["_null_id"]}
+    as_text = [c for c in whole if has_null[c]]
+    swept_schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in as_text else f for f in schema])
+
+    def sweep(rows: DataFrame, ckeys: list[str]) -> DataFrame:
+        rows = rows.withColumns({c: F.col(c).cast("string") for c in as_text})
+        out = (rows.repartition(nparts, *ckeys).sortWithinPartitions(*ckeys, "_t", "_kind", "_ord")
+               .mapInPandas(_sweep_partitions(ckeys, out_keys, stats), swept_schema))
+        return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
     biggest, total = sizes["m"] or 0, sizes["t"] or 0
     # sweep tasks: ~rows_per_task rows each, at most one per shuffle partition
     cap = int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -279,9 +297,7 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
                              F.lit(1).cast("long").alias("_c"), "_kind", index_id,
                              F.lit(None).cast("double").alias("_first"))
         ckeys = gkeys + ["_chunk"]
-        return (rows.repartition(nparts, *ckeys)
-                .sortWithinPartitions(*ckeys, "_t", "_kind", "_ord")
-                .mapInPandas(_sweep_partitions(ckeys, out_keys, stats), schema))
+        return sweep(rows, ckeys)
 
     # (2) chunk geometry per group, from one grouped aggregate (partial agg map-side)
     first_ord = F.when(F.col("_kind") == _KIND_MEASURE, F.struct("_t", "_ord"))
@@ -320,14 +336,12 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     idt = index.schema[index_id].dataType
     carry = (hist.unionByName(last)
              .select(*ckeys, F.lit(-(2 ** 63)).alias("_t"), F.lit(0).cast("long").alias("_ord"), "_v", "_c",
-                     "_kind", F.lit(None).cast(idt).alias(index_id), F.lit(None).cast("double").alias("_first")))
+                     "_kind", _no_id(idt).alias(index_id), F.lit(None).cast("double").alias("_first")))
     rows = (chunked.select(*ckeys, "_t", "_ord", "_v", F.lit(1).cast("long").alias("_c"), "_kind", index_id,
                            "_first")
             .unionByName(carry))
 
-    return (rows.repartition(nparts, *ckeys)
-            .sortWithinPartitions(*ckeys, "_t", "_kind", "_ord")
-            .mapInPandas(_sweep_partitions(ckeys, out_keys, stats), schema))
+    return sweep(rows, ckeys)
 
 
 def pivot_stats(long: DataFrame, id_cols: Sequence[str], test_col: str, tests: Sequence[str],

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators.prefix import running_sums
+from cohortkit.operators.prefix import null_safe_join, running_sums
 
 
 def _by_score(df: DataFrame, label: str, score: str, group: Sequence[str]) -> DataFrame:
     g = list(group)
+    # rows without a score or label cannot be ranked
+    df = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
     per = (df.groupBy(*g, F.col(score).cast("double").alias("threshold"))
            .agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
                 F.sum((F.col(label) != 1).cast("long")).alias("neg"))
@@ -27,22 +29,22 @@ def _by_score(df: DataFrame, label: str, score: str, group: Sequence[str]) -> Da
         cum, tot, g = cum.withColumn("_one", F.lit(1)), tot.withColumn("_one", F.lit(1)), ["_one"]
         return cum.join(F.broadcast(tot), g, "left").drop("_one")
     # one row per group: no hint, AQE broadcasts it after measuring its size
-    return cum.join(tot, g, "left")
+    return null_safe_join(cum, tot, g)
 
 
 def roc_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """(group, threshold, fpr, tpr): one point per distinct score, ties grouped."""
+    """(group, threshold, fpr, tpr): one point per distinct score, ties grouped; NULL rates without that class."""
     c = _by_score(df, label, score, group)
     return c.select(*group, "threshold",
-                    (F.col("cum_neg") / F.col("N")).alias("fpr"),
-                    (F.col("cum_pos") / F.col("P")).alias("tpr"))
+                    F.try_divide("cum_neg", "N").alias("fpr"),
+                    F.try_divide("cum_pos", "P").alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """Exact ROC AUC with ties counted one half (Mann-Whitney)."""
+    """Exact ROC AUC with ties counted one half (Mann-Whitney); NULL for a group of one class."""
     c = _by_score(df, label, score, group)
     term = F.col("pos") * (F.col("N") - F.col("cum_neg") + 0.5 * F.col("neg"))
-    agg = (F.sum(term) / (F.first("P") * F.first("N"))).alias("roc_auc")
+    agg = F.try_divide(F.sum(term), F.first("P") * F.first("N")).alias("roc_auc")
     return c.groupBy(*group).agg(agg) if group else c.agg(agg)
 
 
@@ -51,13 +53,13 @@ def pr_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -
     c = _by_score(df, label, score, group)
     return c.select(*group, "threshold",
                     (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                    (F.col("cum_pos") / F.col("P")).alias("recall"))
+                    F.try_divide("cum_pos", "P").alias("recall"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """Step-wise AP: sum over thresholds of (recall gain) x precision."""
     c = _by_score(df, label, score, group)
-    term = (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    term = F.try_divide("pos", "P") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     agg = F.sum(term).alias("average_precision")
     return c.groupBy(*group).agg(agg) if group else c.agg(agg)
 

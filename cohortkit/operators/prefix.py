@@ -21,6 +21,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the keys of ``left`` are kept."""
+    on = list(on)
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on]
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in on])
+
+
 def key_splits(df: DataFrame, key: str, n_chunks: int | None = None) -> list[float]:
     """Split points for ``running_sums(..., splits=...)`` when one key is reused."""
     if n_chunks is None:
@@ -77,7 +85,7 @@ def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool
     offs_j = offs if parts else F.broadcast(offs)
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
     wi = Window.partitionBy(*parts, "_b").orderBy("_k").rowsBetween(*frame)
-    out = b.join(offs_j, [*parts, "_b"], "left")
+    out = null_safe_join(b, offs_j, [*parts, "_b"])
     out = out.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))
                            for c in cols})
     return out.drop("_k", "_b", *[f"_o_{c}" for c in cols])

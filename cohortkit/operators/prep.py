@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.columns import nan_to_null
+from cohortkit.operators.prefix import null_safe_join
 from cohortkit.operators.quantiles import exact_quantiles
 
 
@@ -63,7 +64,8 @@ def split_exact(df: DataFrame, key_cols: Sequence[str], test_frac: float = 0.2,
     """Exact-size shuffled split: the ``ceil(test_frac * n)`` rows with the smallest
     ``md5(seed:key)`` form the test set (``name`` = 1).
 
-    The cut point is the k-th smallest hash, found from bounded per-prefix
+    Rows that share a key fall on the same side, so with repeated keys the test set is the
+    smallest one of at least that size.  The cut point is the k-th smallest hash, found from bounded per-prefix
     counts (``split_cut``), so no global sort or single-task window runs.
     """
     h = hash_rank_key(key_cols, seed)
@@ -85,6 +87,8 @@ def kth_hash(df: DataFrame, hcol: str, k: int, max_collect: int = 50_000) -> str
     prefix = ""
     below = 0
     while True:
+        if len(prefix) == 32:  # one key with more rows than are fetched
+            return prefix
         cand = df.filter(F.col(hcol).startswith(prefix)) if prefix else df
         cnt = cand.count()
         if cnt <= max_collect:
@@ -104,16 +108,16 @@ def stratified_folds(df: DataFrame, key_cols: Sequence[str], label: str, k: int
     """Fold id in [0, k): rows ranked by ``md5(seed:key)`` within each class, fold = rank mod k.
 
     Every fold keeps the class ratio (sizes differ by at most one per class).
-    The per-class rank is a global rank over (label, hash) minus the class
-    offset, computed with range partitions (no one-task window per class).
+    The hash is uniform: rows are numbered inside (class, first three hex digits), after
+    the prefix sum of the 4,096 counts before, so no class is numbered in one task.  NULL is a class.
     """
-    from cohortkit.sources.io import with_row_index
-
-    d = df.withColumn("_h", hash_rank_key(key_cols, seed))
-    d = with_row_index(d, "_r", [label, "_h"])
-    offs = d.groupBy(label).agg(F.min("_r").alias("_o"))  # one row per class; AQE sizes the join
-    return (d.join(offs, label).withColumn(name, ((F.col("_r") - F.col("_o")) % k).cast("int"))
-            .drop("_h", "_r", "_o"))
+    d = df.withColumn("_h", hash_rank_key(key_cols, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offs = offs.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h")) - 1
+    return (null_safe_join(d, offs, [label, "_b"]).withColumn(name, ((F.col("_o") + rank) % k).cast("int"))
+            .drop("_h", "_b", "_o"))
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

@@ -88,7 +88,7 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], probs: Sequence
                 h = (n - 1) * p
                 a = found[(c, math.floor(h) + 1)]
                 b = found[(c, math.ceil(h) + 1)]
-                res.append(a + (h - math.floor(h)) * (b - a))
+                res.append(a if a == b else a + (h - math.floor(h)) * (b - a))
             out[c] = res
         return out
     finally:
@@ -104,8 +104,18 @@ def _narrow(long: DataFrame, big: dict, bins: int) -> dict:
     searches = list(big.items())
     parts = []
     for i, ((c, r), (lo, hi, below, cnt)) in enumerate(searches):
-        width = (hi - lo) / bins
-        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+        if not math.isfinite(hi - lo):
+            # infinite ends, or a range beyond a double: split them off and by sign
+            b = (F.when(F.col("_x") == float("-inf"), 0).when(F.col("_x") == float("inf"), 3)
+                 .when(F.col("_x") < 0, 1).otherwise(2))
+        elif lo > 0 and hi / lo > 1e6:
+            width = (math.log(hi) - math.log(lo)) / bins
+            b = F.least(F.greatest(F.floor((F.log("_x") - F.lit(math.log(lo))) / F.lit(width)).cast("int"), F.lit(0)),
+                        F.lit(bins - 1))
+        else:
+            # quarters: in a narrow range a bin's width may not be a double
+            width = max((hi - lo) / bins, math.ulp(max(abs(lo), abs(hi))) / 4)
+            b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
         parts.append(long.filter((F.col("_c") == c) & (F.col("_x") >= lo) & (F.col("_x") <= hi))
                      .select(F.lit(i).alias("_s"), b.alias("_b"), "_x"))
     u = parts[0]

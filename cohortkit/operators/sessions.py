@@ -36,7 +36,7 @@ def merge_within(df: DataFrame, key: str, t: str, order: str, gap_seconds: float
     per = x.groupBy(key, "_hb").agg(F.min(F.struct("_us", "_o")).alias("_first"), F.max("_us").alias("_last"),
                                     F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_omin"))
     prev = per.select(F.col(key).alias("_pk"), (F.col("_hb") + 1).alias("_pb"), F.col("_last").alias("_plast"))
-    flagged = (per.join(prev, (F.col(key) == F.col("_pk")) & (F.col("_hb") == F.col("_pb")), "left")
+    flagged = (per.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & (F.col("_hb") == F.col("_pb")), "left")
                .withColumn("_start", F.when(F.col("_plast").isNull()
                                             | (F.col("_first._us") - F.col("_plast") >= F.lit(gap)), 1)
                            .otherwise(0))

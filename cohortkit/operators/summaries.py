@@ -54,7 +54,7 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[st
     plain = [s for s in stats if s not in ("median", "iqr")]
     hot = [] if hot_rows is None else (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(*keys).collect())  # bounded: rows / hot_rows groups at most
+        .select(_tag(keys)).collect())  # bounded: rows / hot_rows groups at most
     aggs = stat_columns(value, order, plain)
     if not hot:
         aggs.append(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q"))
@@ -94,18 +94,23 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return prof.groupBy("type").agg(F.count(F.lit(1)).alias("n_columns")).orderBy("type")
 
 
+def _tag(keys):
+    """A group's keys as one string, made by the engine on both sides."""
+    return F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]).alias("_tag")
+
+
 def _with_hot_groups(df: DataFrame, keys, value, aggs, probs, hot) -> DataFrame:
     from cohortkit.operators.quantiles import grouped_quantiles
 
     spark = df.sparkSession
-    tag = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
-    names = ["\u0001".join("\u0000" if r[k] is None else str(r[k]) for k in keys) for r in hot]
+    names = [r["_tag"] for r in hot]
     hot_df = F.broadcast(spark.createDataFrame([(n,) for n in names], "_tag string"))  # bounded list
-    tagged = df.withColumn("_tag", tag)
+    tagged = df.withColumn("_tag", _tag(keys))
     cold = (tagged.join(hot_df, "_tag", "left_anti").groupBy(*keys)
             .agg(*aggs, F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q")))
     qs = grouped_quantiles(tagged.join(hot_df, "_tag", "left_semi")
-                           .select(F.col("_tag").alias("_c"), F.col(value).cast("double").alias("_x"))
+                           .select(F.col("_tag").alias("_c"), F.when(F.isnan(F.col(value).cast("double")), float("inf"))
+                                   .otherwise(F.col(value).cast("double")).alias("_x"))  # NaN sorts last, as in percentile
                            .filter(F.col("_x").isNotNull()), names, probs)
     qdf = spark.createDataFrame([(n, [float(x) if x is not None else None for x in qs[n]]) for n in names],
                                 "_tag string, _q array<double>")

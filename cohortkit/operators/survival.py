@@ -42,6 +42,8 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: Sequence[str] = ()
     survival, ci_lower, ci_upper.
     """
     g = list(group)
+    # a row without a time or event says nothing about the curve
+    df = df.filter(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double")) & F.col(event).isNotNull())
     per = (df.groupBy(*g, F.col(time).cast("double").alias("time"))
            .agg(F.sum(F.col(event).cast("long")).alias("n_events"), F.count(F.lit(1)).alias("_n"))
            .persist())  # one row per distinct time; read by both passes below

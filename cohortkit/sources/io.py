@@ -16,13 +16,16 @@ LOOKUP_MAX_ROWS = 1_000_000
 
 def read_table(spark: SparkSession, path_or_name: str, schema: T.StructType | str | None = None,
                fmt: str | None = None, columns: Sequence[str] | None = None,
-               lower: bool = True) -> DataFrame:
+               lower: bool = True, multi_line: bool = False) -> DataFrame:
     """Read a CSV (``.csv``/``.csv.gz``), Parquet file/folder or catalog table.
 
     * CSV: header row; an explicit ``schema`` is used when given (no inference
       pass over the data), else types are inferred.  Gzip is decoded by
       extension; gzip is not splittable, so large gzip inputs should be
       converted to Parquet once (``write_table``) and read from there.
+      Quotes inside quoted cells are doubled, ``NA`` and empty cells are NULL.  With a
+      schema, a row that does not fit it fails the read instead of shifting columns;
+      ``multi_line`` allows line ends inside quoted cells (such files are not split).
     * A name without a path separator or extension is a catalog table.
     * ``columns`` keeps a subset; with Parquet the scan reads only those.
     """
@@ -30,7 +33,8 @@ def read_table(spark: SparkSession, path_or_name: str, schema: T.StructType | st
     if fmt == "table":
         df = spark.table(path_or_name)
     elif fmt == "csv":
-        r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        r = (spark.read.option("header", True).option("escape", '"').option("nullValue", "NA")
+             .option("mode", "PERMISSIVE" if schema is None else "FAILFAST").option("multiLine", multi_line))
         if schema is not None:
             r = r.schema(schema)
         else:
