@@ -211,7 +211,7 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24 << 20) -> DataFrame:
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """(bucket, edge, id, text) dealt and sorted so that a row's next document is the row after it.
 
     Buckets are ranges of ids, walked downwards.  Each also gets, as its last row with ``edge`` set, the

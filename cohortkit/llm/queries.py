@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm import digest, kdshards, langid, mixing, permindex, pieces, quality, secrets, simhash, suffixdedup
 from cohortkit.llm.common import table
+from cohortkit.llm.oracle_sql import ORACLE  # noqa: F401  (registered beside the queries)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +55,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARK = {f.__name__: f for f in (
     op1_sentencepiece, op2_fingerprints, op3_language_id, op4_simhash, op5_suffix_dedup, op6_permutation_index,
     op7_kd_shards, op8_secrets, op9_quality, op10_mixing)}
-
-ORACLE: dict[str, str] = {}
