@@ -365,12 +365,16 @@ def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000
         F.lit(0).cast("long").alias("s"), F.col("u.n").alias("n"), "id", "th", (F.col("u.pos") - F.col("u.l")).alias("pos"),
         (-F.col("u.l")).cast("long").alias("lo"),
         F.expr(f"substring(bytes, int(u.pos - u.l + 1), int(u.l + {GRAM} + u.r))").alias("seg"))
+    whole = True  # every group of whole segments has two or more, of their parts not
     while True:
         units = materialize(units, "sa-units")
         sizes = units.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("d"))
-        small = units.join(sizes.filter(F.col("d").between(2, max_segments)).drop("d"), GROUP, "left_semi")
+        # written: few and narrow, so the engine sees the size and need not shuffle the segments for this join
+        large = materialize(sizes.filter((F.col("d") > max_segments) & (F.col("glo") < F.col("ghi"))).drop("d"), "sa-large")
+        small = units.join(large, GROUP, "left_anti") if whole else units.join(
+            sizes.filter(F.col("d").between(2, max_segments)).drop("d"), GROUP, "left_semi")
         found = found.unionByName(materialize(block_spans(small, length, block_bytes), "sa-spans"))
-        large = sizes.filter((F.col("d") > max_segments) & (F.col("glo") < F.col("ghi"))).drop("d")
+        whole = False
         if large.isEmpty():
             return found
         parts = materialize(divide(units.join(large, GROUP, "left_semi"), length), "sa-parts")
