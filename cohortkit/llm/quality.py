@@ -7,7 +7,7 @@ their encodings goes through a logistic unit.  Only documents have labels, so at
 passages decide.  Encoder, attention and output are fitted together by Adam.
 
 The classifier is fitted on a bounded sample: about ``max_docs`` labelled texts of at most ``max_chars``
-characters.  Scoring reads every passage of every text, streaming; a text's attention sums are kept, not its passages.
+characters.  Scoring reads every passage of every text, a batch of about 1 MB at a time (one text at least, so memory grows with the longest).
 
 Defined cases: NULL and empty texts are one passage without words; a text's repeated rows are independent;
 labels that are NULL teach nothing, of several labels of an id the least counts; without labels
