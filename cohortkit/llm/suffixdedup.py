@@ -98,11 +98,15 @@ def anchors(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int)
     return np.unique(low[fresh])
 
 
+ROWS = "h long, s long, n long, id long, th long, pos long, l short, r short, b long"
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """Anchors of (id, th, text) rows, and the spans that are settled where they are read.
 
     A batch is pre-aggregated: a segment found n times in it is one row (h, s, n, id, th, pos, l, r) of its first
-    occurrence; with n > 1 all its occurrences repeat, and their spans come as rows with NULL h, from pos to ``b``.
+    occurrence; with n > 1 all its occurrences repeat, and their spans come as rows with NULL h, from pos to ``b``
+    (s then only spreads them).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +145,56 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             place = pa.array(np.concatenate([at[rep] - starts[own[rep]], lo - starts[who]]))
             take = pa.array(np.concatenate([own[rep], who]))
             pad = np.zeros(len(lo), np.int64)
+            spread = _mix(np.concatenate([s[rep], lo.astype(np.uint64)]))[len(rep):]
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([pa.array(h[rep].view(np.int64)), none]),
-                 pa.array(np.concatenate([s[rep].view(np.int64), pad])), pa.array(np.concatenate([size, pad])),
+                 pa.array(np.concatenate([s[rep], spread]).view(np.int64)), pa.array(np.concatenate([size, pad])),
                  b.column(0).take(take), b.column(1).take(take), place,
                  pa.array(np.concatenate([left[rep], pad]), pa.int16()), pa.array(np.concatenate([right[rep], pad]), pa.int16()),
                  pa.array(np.concatenate([np.zeros(len(rep), np.int64), hi - starts[who]]))],
                 ["h", "s", "n", "id", "th", "pos", "l", "r", "b"])
 
-    return docs.mapInArrow(run, "h long, s long, n long, id long, th long, pos long, l short, r short, b long")
+    return docs.mapInArrow(run, ROWS)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """One row per distinct segment (n: its occurrences), and a row with NULL h per span that repeats as a whole.
+
+    One shuffle by segment, then a pass over sorted rows that holds one row of the segment at hand.  A segment has one row
+    a batch at most, and a batch of 1 MB some 13,000 rows, so no segment is more than a small part of all rows.
+    """
+    def close(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table | None]:
+        h, s, n = (np.asarray(t.column(c)) for c in ("h", "s", "n"))
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])]))
+        total = np.add.reduceat(n, first)
+        alone = np.flatnonzero((n == 1) & (np.repeat(total, np.diff(np.append(first, len(n)))) > 1))
+        x = t.take(pa.array(alone))
+        pos, left, right = (np.asarray(x.column(c)).astype(np.int64) for c in ("pos", "l", "r"))
+        spans = pa.table([pa.nulls(len(alone), pa.int64()), x.column("s"), pa.array(np.zeros(len(alone), np.int64)),
+                          x.column("id"), x.column("th"), pa.array(pos - left), x.column("l"), x.column("r"),
+                          pa.array(pos + GRAM + right)], schema=t.schema)
+        one = t.take(pa.array(first)).set_column(2, t.schema.field("n"), pa.array(total))
+        if last:
+            return pa.concat_tables([one, spans]), None
+        # a segment that goes on has its occurrences so far settled if it has several, as n then says
+        return pa.concat_tables([one.slice(0, len(one) - 1), spans]), one.slice(len(one) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            done = t.filter(pa.compute.is_null(t.column("h")))
+            yield from done.to_batches()
+            t = t.filter(pa.compute.is_valid(t.column("h")))
+            if not len(t):
+                continue
+            t = t if open_ is None else pa.concat_tables([open_, t])
+            out, open_ = close(t.combine_chunks(), last=False)
+            yield from out.to_batches()
+        if open_ is not None:
+            yield from close(open_.combine_chunks(), last=True)[0].to_batches()
+
+    return rows.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(run, ROWS)
 
 
 UNIT = 40  # bytes that one rank stands for: 5 doubled three times
@@ -341,23 +386,17 @@ def _spans(rows: DataFrame, a, b) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000,
-                   block_bytes: int = 1 << 20) -> DataFrame:
-    """(id, th, a, b): spans whose bytes go, of texts keyed by (id, th); spans may overlap."""
-    read = materialize(anchor_rows(keyed, length), "sa-anchors")
-    rows = read.filter("h is not null")
-    by_s = materialize(rows.groupBy("h", "s").agg(
-        F.sum("n").alias("n"), F.first(F.struct("id", "th", "pos", "l", "r")).alias("u")), "sa-segments")
-    # occurrences that were alone in their batch and are not in the corpus
-    met = rows.filter("n = 1").select("h", "s", "id", "th", "pos", "l", "r").join(
-        by_s.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi")
-    found = _spans(met, F.col("pos") - F.col("l"), F.col("pos") + GRAM + F.col("r")).unionByName(
-        _spans(read.filter("h is null"), F.col("pos"), F.col("b")))
-
-    mixed = by_s.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("h")
-    reps = by_s.join(mixed, "h").select("h", "n", "u.*")
+                   block_bytes: int = 1 << 20, unique: bool = False) -> DataFrame:
+    """(id, th, a, b): spans whose bytes go, of texts keyed by (id, th); spans may overlap.  unique: no key repeats."""
+    read = materialize(settled(anchor_rows(keyed, length)), "sa-segments")
+    found = _spans(read.filter("h is null"), F.col("pos"), F.col("b"))
+    segments = read.filter("h is not null")
+    mixed = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("h")
+    reps = segments.select("h", "n", "id", "th", "pos", "l", "r").join(mixed, "h")
     per_text = reps.groupBy("id", "th").agg(F.collect_list(F.struct("h", "n", "pos", "l", "r")).alias("us"))
     k = keyed.alias("k").join(per_text.alias("p"), F.col("k.id").eqNullSafe(F.col("p.id")) & (F.col("k.th") == F.col("p.th")))
-    k = k.select("k.id", "k.th", F.encode("text", "UTF-8").alias("bytes"), "us").dropDuplicates(["id", "th"])
+    k = k.select("k.id", "k.th", F.encode("text", "UTF-8").alias("bytes"), "us")
+    k = k if unique else k.dropDuplicates(["id", "th"])
     k = k.select("id", "th", "bytes", F.explode("us").alias("u"))
     reach = length - GRAM
     units = k.select(
@@ -385,18 +424,18 @@ def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000
         units = same.select(*GROUP, "s", F.col("m").alias("n"), "u.*")
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, text); th is the text's hash if ids repeat or are NULL, else 0, so that rows stay narrow."""
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(id, th, text), and whether no key repeats; th is the text's hash if ids repeat or are NULL, else 0 (narrow rows)."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     once = d.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or id is null").isEmpty()
-    return d.select("id", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("th"), "text")
+    return d.select("id", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("th"), "text"), once
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
                    max_segments: int = 4000, block_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary)."""
-    keyed = keyed_texts(docs, id_col, text_col)
-    spans = repeated_spans(keyed, length, max_segments, block_bytes)
+    keyed, once = keyed_texts(docs, id_col, text_col)
+    spans = repeated_spans(keyed, length, max_segments, block_bytes, unique=once)
     lists = spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     j = keyed.alias("k").join(lists.alias("l"), F.col("k.id").eqNullSafe(F.col("l.id")) & (F.col("k.th") == F.col("l.th")),
                               "left").select("k.id", "text", "spans")

@@ -64,3 +64,14 @@ def test_suffix_array_sorts_and_finds_repeats(monkeypatch):
 
 def test_empty(no_docs):
     assert suffixdedup.digests(no_docs).count() == 0
+
+
+def test_segments_that_go_on_over_arrow_batches(spark, small_docs, small_rows):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = suffixdedup.digests(small_docs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = sorted((r[0] if r[0] is not None else -1, *x) for r, x in zip(small_rows, _brute([r[1] for r in small_rows], 200)))
+    assert sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in got) == want
