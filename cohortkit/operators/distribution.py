@@ -35,15 +35,18 @@ def bw_nrd0(n: int, sd: float, iqr: float) -> float:
 
 
 def kde(df: DataFrame, c: str, group: str | None = None, grid_points: int = 512, cut: float = 3.0,
-        log10: bool = False) -> DataFrame:
+        log10: bool = False, floor: float | None = None) -> DataFrame:
     """Gaussian density on a grid per group, as R's ``density`` does it: values are
     linearly binned onto the grid (a grouped aggregate, so only grid-sized
     vectors per group move), then the binned weights are convolved with the
     kernel inside one task per group (bounded: grid_points^2 work).
 
-    The bandwidth is R's nrd0 rule from exact per-group sd and IQR.
+    The bandwidth is R's nrd0 rule from exact per-group sd and IQR.  ``floor`` raises smaller values to it
+    first; without it ``log10`` has no value for zero and less, and such rows are left out.
     """
-    x = F.log10(F.col(c).cast("double")) if log10 else F.col(c).cast("double")
+    v = F.col(c).cast("double")
+    v = v if floor is None else F.when(v.isNotNull(), F.greatest(v, F.lit(float(floor))))
+    x = F.log10(v) if log10 else v
     base = df.select(*([F.col(group).cast("string").alias("_g")] if group else [F.lit("all").alias("_g")]),
                      x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     st = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),

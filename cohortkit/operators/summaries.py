@@ -87,11 +87,11 @@ def case_rate(df: DataFrame, label: str, group: Sequence[str] = ()) -> DataFrame
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """Number of columns per Spark type (driver-side metadata only, no data scan)."""
-    spark = df.sparkSession
-    rows = [(c, t) for c, t in df.dtypes]
-    prof = spark.createDataFrame(rows, "column string, type string")
-    return prof.groupBy("type").agg(F.count(F.lit(1)).alias("n_columns")).orderBy("type")
+    """Per Spark type: number of columns and of their non-null values (one scan)."""
+    counts = df.agg(F.array(*[F.struct(F.lit(t).alias("type"), F.count(F.col(f"`{c}`")).alias("n")) for c, t in df.dtypes])
+                    .alias("cols"))
+    return (counts.select(F.explode("cols").alias("c")).groupBy("c.type")
+            .agg(F.count(F.lit(1)).alias("n_columns"), F.sum("c.n").alias("n_values")).orderBy("type"))
 
 
 def _tag(keys):

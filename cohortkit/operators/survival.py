@@ -244,7 +244,7 @@ def _cindex_row(spark, cross, sb, tc) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- Cox
-def _cox_time_stats(feats, beta):
+def _cox_time_stats(feats, beta, shift=0.0):
     """mapInPandas body: per-time partial sums of w, w x, w x x', events, event x, event eta."""
     p = len(feats)
 
@@ -254,8 +254,8 @@ def _cox_time_stats(feats, beta):
                 continue
             X = pdf[feats].to_numpy(dtype="float64")
             e = pdf["_e"].to_numpy(dtype="float64")
-            eta = X @ beta if p else np.zeros(len(pdf))
-            w = np.exp(np.minimum(eta, 700.0))
+            eta = (X @ beta if p else np.zeros(len(pdf))) - shift  # a common shift leaves the likelihood as it is
+            w = np.exp(eta)
             t, inv = np.unique(pdf["_t"].to_numpy(dtype="float64"), return_inverse=True)
             m = len(t)
 
@@ -324,7 +324,8 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     reach the driver to form the suffix offsets; (2) per bucket, suffix sums
     over time and the bucket's share of the log-likelihood, gradient and
     Hessian.  The p x p Newton system is solved on the driver.
-    Returns {features, coef, loglik, n_iter, scale}.
+    Rows with a missing feature, time or event take no part; ``n_dropped`` counts them.
+    Returns {features, coef, loglik, n_iter, scale, n_rows, n_dropped}.
     """
     from cohortkit.operators.prep import standardise, standardise_stats
 
@@ -332,8 +333,10 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     scale = None
     spark = df.sparkSession
     # the selected rows are cached once; scaling, counting and every Newton pass read the cache
-    base = df.select(*[F.col(c).cast("double") for c in feats], F.col(time).cast("double").alias("_t"),
-                     F.col(event).cast("int").alias("_e")).dropna().persist()
+    cached = df.select(*[F.col(c).cast("double") for c in feats], F.col(time).cast("double").alias("_t"),
+                       F.col(event).cast("int").alias("_e")).persist()
+    n_all = cached.count()
+    base = cached.dropna()
     n_rows = base.count()
     data = base
     if standardize:
@@ -349,8 +352,17 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     per_schema = ("_t double, _b int, r0 double, r1 array<double>, r2 array<double>, d double, "
                   "ex array<double>, ee double")
 
+    ends = data.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(feats) for n, f in (("lo", F.min), ("hi", F.max))]
+                    ).first() if p and n_rows else None
+
+    def shift_of(beta):
+        """0 while no weight can overflow, else the largest linear predictor."""
+        if ends is None or sum(max(b * ends[f"lo{i}"], b * ends[f"hi{i}"]) for i, b in enumerate(beta)) < 600:
+            return 0.0
+        return data.agg(F.max(sum(F.col(c) * F.lit(float(b)) for c, b in zip(feats, beta)))).first()[0]
+
     def evaluate(beta):
-        per = (data.mapInPandas(_cox_time_stats(feats, np.asarray(beta, dtype="float64")), per_schema)
+        per = (data.mapInPandas(_cox_time_stats(feats, np.asarray(beta, dtype="float64"), shift_of(beta)), per_schema)
                .repartition(nb, "_b").persist())
         if nb <= 2:  # a single bucket: no later buckets, so no offsets and no totals job
             tot = {}
@@ -390,9 +402,9 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             if done:
                 break
     finally:
-        base.unpersist()
+        cached.unpersist()
     return {"features": feats, "coef": [float(x) for x in beta], "loglik": float(ll), "n_iter": it,
-            "scale": scale}
+            "scale": scale, "n_rows": n_rows, "n_dropped": n_all - n_rows}
 
 
 def cox_predict(model: dict, df: DataFrame, name: str = "risk_score") -> DataFrame:

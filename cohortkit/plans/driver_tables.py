@@ -324,7 +324,7 @@ def q_cox_concordance(spark, d):
 
 
 def q_value_density(spark, d):
-    return _r(kde(measures(spark, d), "value", "event_type", log10=True))
+    return _r(kde(measures(spark, d), "value", "event_type", log10=True, floor=1.0))
 
 
 # ------------------------------------------------------------ the full table

@@ -360,8 +360,10 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang""",
     "schema_profile": """
 SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
          WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type,
-       count(*) AS n_columns
-FROM (DESCRIBE lineitem) GROUP BY 1""",
+       count(*) AS n_columns, CAST(sum(n) AS BIGINT) AS n_values
+FROM (DESCRIBE lineitem) JOIN (UNPIVOT (SELECT count(COLUMNS(*)) AS "\\0" FROM lineitem) ON COLUMNS(*)
+                               INTO NAME column_name VALUE n) USING (column_name)
+GROUP BY 1""",
 
     "impute_mean": """
 SELECT c_custkey, round(coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END,

@@ -52,8 +52,10 @@ def test_counts_balance_rate_profile(spark):
     assert (cb["negatives"], cb["positives"], cb["ratio"]) == (3, 1, 3.0)
     rates = {r["g"]: r["case_rate"] for r in SM.case_rate(df, "y", ["g"]).collect()}
     assert rates == {"a": 0.5, "b": 0.0}
-    prof = {r["type"]: r["n_columns"] for r in SM.schema_profile(df).collect()}
-    assert prof == {"int": 1, "string": 1}
+    prof = {r["type"]: (r["n_columns"], r["n_values"]) for r in SM.schema_profile(df).collect()}
+    assert prof == {"int": (1, 4), "string": (1, 4)}
+    some = spark.createDataFrame([(1, None, "x"), (None, 2, "y")], "a int, b int, s string")
+    assert {tuple(r) for r in SM.schema_profile(some).collect()} == {("int", 2, 2), ("string", 1, 2)}
     none = spark.createDataFrame([(0,)], "y int")
     assert SM.class_balance(none, "y").first()["ratio"] is None
 

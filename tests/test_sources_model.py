@@ -98,6 +98,8 @@ def test_histogram_and_kde(spark):
     assert np.max(np.abs(dens["density"].to_numpy() - exact)) < 5e-3  # linear binning approximation
     assert abs(np.trapezoid(dens["density"], grid) - 1) < 1e-2
     assert set(kde(df, "x", "g").toPandas()["group"]) == {"0", "1"}
+    low = kde(df, "x", log10=True, floor=1.0).toPandas()  # nothing falls out at zero or less
+    assert abs(np.trapezoid(low["density"], low["x"]) - 1) < 2e-2
 
 
 def test_unpivot_long(spark):

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortkit.operators import survival as SV
 
@@ -107,3 +108,16 @@ def test_cox_save_load_with_scaling(spark, tmp_path):
     a = SV.cox_predict(m, df).select("risk_score").toPandas()["risk_score"]
     b = SV.cox_predict(m2, df).select("risk_score").toPandas()["risk_score"]
     np.testing.assert_allclose(a, b, atol=1e-12)
+
+
+def test_cox_large_predictors_and_missing_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=120)
+    t = np.ceil(rng.exponential(np.exp(-x)) * 20)
+    rows = [(float(a), float(b), int(i % 4 > 0)) for i, (a, b) in enumerate(zip(x, t))]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1)], "x double, t double, e int")
+    near = SV.fit_cox(df, ["x"], "t", "e")
+    assert (near["n_rows"], near["n_dropped"]) == (120, 1)
+    # moved far away, the same coefficient needs weights beyond a double without the shift
+    far = SV.fit_cox(df.withColumn("x", F.col("x") + 2000), ["x"], "t", "e")
+    assert far["coef"][0] == pytest.approx(near["coef"][0], abs=1e-6)
