@@ -136,7 +136,3 @@ def _narrow(long: DataFrame, big: dict, bins: int) -> dict:
                 break
             acc += n
     return nxt
-
-
-def exact_median(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
