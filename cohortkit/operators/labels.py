@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.functions.columns import (add_days, case_first, days_between, flag, hour_of_day,
+from cohortkit.functions.columns import (add_days, case_first, days_between, epoch_micros, flag, hour_of_day,
                                          hours_between, in_interval, pmax, to_day, years_between)
+from cohortkit.operators.prefix import null_safe_join
 
 HORIZONS = (2, 7, 30)
 LAG_DAYS = 1
@@ -103,3 +104,41 @@ def composite_label(df: DataFrame, test_t: str, t0: str, code_col: str, code: st
     diarrhoea diagnosis), as 1/0 with NULL filled by 0."""
     cond = test_window(test_t, t0, horizon, lag) & (F.col(code_col) == F.lit(code))
     return df.withColumn(name.format(h=int(horizon)), F.coalesce(flag(cond), F.lit(0)))
+
+
+def outcome_within(index: DataFrame, tests: DataFrame, key: str, t0: str, test_t: str,
+                   horizon: float = 30, lag: float = LAG_DAYS, name: str = "outcome") -> DataFrame:
+    """``index`` with ``name``: 1 if some test of the same key lies in [t0+lag, t0+horizon], else 0.
+
+    No index-test pairs: a window of (horizon - lag) days starting at t0+lag touches at most two buckets of that
+    width, so the next test is the first later one in the row's own (key, bucket) or else the earliest of the
+    following bucket.  NULL keys and times have no test.
+    """
+    width = max(1, int((horizon - lag) * 86_400_000_000))
+    start = epoch_micros(add_days(t0, lag))
+    i = index.withColumns({"_s": start, "_b": F.floor(start / width)})
+    t = (tests.select(F.col(key).alias("_k"), epoch_micros(test_t).alias("_u"))
+         .filter(F.col("_k").isNotNull() & F.col("_u").isNotNull()).withColumn("_b", F.floor(F.col("_u") / width)))
+    first = t.groupBy("_k", "_b").agg(F.min("_u").alias("_next"))
+    x = i.select(F.col(key).alias("_k"), "_b", F.col("_s").alias("_at"), F.lit(1).alias("_i"), F.struct(*index.columns).alias("_r"))
+    later = F.min(F.when(F.col("_i") == 0, F.col("_at"))).over(
+        Window.partitionBy("_k", "_b").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    both = x.unionByName(t.groupBy("_k", "_b", F.col("_u").alias("_at")).agg(F.lit(0).alias("_i")), allowMissingColumns=True)
+    both = both.withColumn("_own", later).filter(F.col("_i") == 1).withColumn("_after", F.col("_b") + 1)
+    both = both.join(first.select("_k", F.col("_b").alias("_after"), "_next"), ["_k", "_after"], "left")
+    hit = F.coalesce("_own", "_next") <= epoch_micros(add_days(F.col(f"_r.{t0}"), horizon))
+    return both.select("_r.*", F.coalesce(hit.cast("int"), F.lit(0)).alias(name))
+
+
+def prior_code_flags(index: DataFrame, codes: DataFrame, keys: Sequence[str], t0: str, code_t: str, code_col: str,
+                     values: Sequence[str], prefix: str = "prior_") -> DataFrame:
+    """``index`` with ``{prefix}{value}``: 1 if the key had that code strictly before ``t0``, else 0.
+
+    One row per key (first time of each code) is joined, so no rows multiply; a NULL key meets the NULL key.
+    """
+    first = codes.groupBy(*keys).agg(*[F.min(F.when(F.col(code_col) == F.lit(v), F.col(code_t))).alias(f"_t{n}")
+                                       for n, v in enumerate(values)])
+    x = null_safe_join(index, first, keys)
+    x = x.withColumns({f"{prefix}{v}": F.coalesce((F.col(f"_t{n}") < F.col(t0)).cast("int"), F.lit(0))
+                       for n, v in enumerate(values)})
+    return x.drop(*[f"_t{n}" for n in range(len(values))])

@@ -82,27 +82,17 @@ def classification_report(df: DataFrame, label: str, pred: str, group: Sequence[
         F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
         F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
         F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"))
-    rows = []
-    for cls, tp, fp, fn in (("1", "tp", "fp", "fn"), ("0", "tn", "fn", "fp")):
-        prec = _safe_div(F.col(tp), F.col(tp) + F.col(fp))
-        rec = _safe_div(F.col(tp), F.col(tp) + F.col(fn))
-        rows.append(cm.select(*g, F.lit(cls).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                              _safe_div(2 * prec * rec, prec + rec).alias("f1_score"),
-                              (F.col(tp) + F.col(fn)).alias("support")))
-    per = rows[1].unionByName(rows[0])
-    total = F.sum("support")
-    avg = per.groupBy(*g).agg(
-        F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1_score").alias("m_f"),
-        (F.sum(F.col("precision") * F.col("support")) / total).alias("w_p"),
-        (F.sum(F.col("recall") * F.col("support")) / total).alias("w_r"),
-        (F.sum(F.col("f1_score") * F.col("support")) / total).alias("w_f"),
-        total.alias("n"))
-    acc = cm.select(*g, F.lit("accuracy").alias("class"),
-                    *[_safe_div(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
-                      .alias(m) for m in ("precision", "recall", "f1_score")],
-                    (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("support"))
-    macro = avg.select(*g, F.lit("macro avg").alias("class"), F.col("m_p").alias("precision"),
-                       F.col("m_r").alias("recall"), F.col("m_f").alias("f1_score"), F.col("n").alias("support"))
-    weighted = avg.select(*g, F.lit("weighted avg").alias("class"), F.col("w_p").alias("precision"),
-                          F.col("w_r").alias("recall"), F.col("w_f").alias("f1_score"), F.col("n").alias("support"))
-    return per.unionByName(acc).unionByName(macro).unionByName(weighted)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    per = []
+    for cls, t, f, miss in (("0", tn, fn, fp), ("1", tp, fp, fn)):
+        prec, rec = _safe_div(t, t + f), _safe_div(t, t + miss)
+        per.append((cls, [prec, rec, _safe_div(2 * prec * rec, prec + rec)], t + miss))
+    (_, m0, s0), (_, m1, s1) = per
+    rows = per + [("accuracy", [_safe_div(tp + tn, n)] * 3, n),
+                  ("macro avg", [(a + b) / 2 for a, b in zip(m0, m1)], n),
+                  ("weighted avg", [F.try_divide(a * s0 + b * s1, n) for a, b in zip(m0, m1)], n)]
+    names = ("precision", "recall", "f1_score")
+    out = F.array(*[F.struct(F.lit(c).alias("class"), *[v.alias(m) for v, m in zip(vals, names)], sup.alias("support"))
+                    for c, vals, sup in rows])
+    return cm.select(*g, F.explode(out).alias("_m")).select(*g, "_m.*")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.operators.metrics import average_precision, classification_report, roc_auc
+from cohortkit.operators.summaries import top_k
 
 # Reference grid (trees x depth x learning rate = 4 x 4 x 2 points).
 REFERENCE_GRID = {"maxIter": [50, 70, 100, 150], "maxDepth": [3, 5, 7, 9], "stepSize": [0.1, 0.2]}
@@ -109,6 +110,5 @@ def split_count_importance(model, feature_names: Sequence[str], k: int | None =
            .filter(F.col("feature_index") >= 0)
            .groupBy("feature_index").agg(F.count(F.lit(1)).alias("splits"))
            .join(F.broadcast(names), "feature_index", "left")
-           .select("feature", "splits")
-           .orderBy(F.desc("splits"), "feature"))
-    return out.limit(k) if k else out
+           .select("feature", "splits"))
+    return top_k(out, "splits", k, ["feature"]) if k else out.orderBy(F.desc("splits"), "feature")

@@ -3,7 +3,7 @@ weights, feature assembly and standardisation."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -66,41 +66,38 @@ def split_exact(df: DataFrame, key_cols: Sequence[str], test_frac: float = 0.2,
 
     Rows that share a key fall on the same side, so with repeated keys the test set is the
     smallest one of at least that size.  The cut point is the k-th smallest hash, found from bounded per-prefix
-    counts (``split_cut``), so no global sort or single-task window runs.
+    counts (``kth_hash``), so no global sort or single-task window runs.
     """
-    h = hash_rank_key(key_cols, seed)
-    d = df.withColumn("_h", h)
-    n = d.count()
-    k = int(-(-test_frac * n // 1))  # ceil
-    cut = kth_hash(d, "_h", k)
+    d = df.withColumn("_h", hash_rank_key(key_cols, seed))
+    cut = kth_hash(d, "_h", lambda n: int(-(-test_frac * n // 1)))  # ceil
     return d.withColumn(name, (F.col("_h") <= F.lit(cut)).cast("int") if cut is not None else F.lit(0)).drop("_h")
 
 
-def kth_hash(df: DataFrame, hcol: str, k: int, max_collect: int = 50_000) -> str | None:
-    """The k-th smallest value of a hex string column by prefix narrowing.
+def kth_hash(df: DataFrame, hcol: str, k: int | Callable[[int], int]) -> str | None:
+    """The k-th smallest value of a hex string column; ``k`` may be a function of the row count.
 
-    Each round counts rows per next hex digit under the current prefix (at most
-    16 groups), until the candidates fit in ``max_collect`` rows.
+    Each round counts rows per next three hex digits under the prefix found so far (4,096 rows at
+    most) with their least and greatest hash, until the group that holds rank k has one hash only.
+    Repeated hashes are counted, never fetched.
     """
-    if k <= 0:
-        return None
-    prefix = ""
-    below = 0
+    prefix, below = "", 0
     while True:
-        if len(prefix) == 32:  # one key with more rows than are fetched
-            return prefix
-        cand = df.filter(F.col(hcol).startswith(prefix)) if prefix else df
-        cnt = cand.count()
-        if cnt <= max_collect:
-            vals = sorted(r[0] for r in cand.select(hcol).collect())  # bounded
-            return vals[k - below - 1]
-        digits = (cand.groupBy(F.substring(hcol, len(prefix) + 1, 1).alias("d"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect())  # <= 16 rows
-        for d, n in sorted((r["d"], r["n"]) for r in digits):
+        cand = df.filter(F.col(hcol).startswith(prefix)) if prefix else df.filter(F.col(hcol).isNotNull())
+        groups = sorted(tuple(r) for r in cand.groupBy(F.substring(hcol, len(prefix) + 1, 3).alias("d"))
+                        .agg(F.count(F.lit(1)).alias("n"), F.min(hcol).alias("lo"), F.max(hcol).alias("hi")).collect())
+        if callable(k):
+            k = k(sum(g[1] for g in groups))
+        if k <= 0:
+            return None
+        for digits, n, lo, hi in groups:
             if below + n >= k:
-                prefix += d
                 break
             below += n
+        else:
+            return groups[-1][3] if groups else None  # k beyond the rows: all of them
+        if lo == hi:
+            return lo
+        prefix += digits
 
 
 def stratified_folds(df: DataFrame, key_cols: Sequence[str], label: str, k: int = 4, seed: int = 0,

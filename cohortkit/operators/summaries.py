@@ -73,6 +73,11 @@ def count_by(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(c))
 
 
+def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` rows with the largest ``by`` (NULL last), ties by the ``ties`` columns ascending."""
+    return df.orderBy(F.col(by).desc_nulls_last(), *[F.asc(c) for c in ties]).limit(k)
+
+
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """One row: negatives, positives, ratio neg/pos (NULL when there are no positives)."""
     return (df.agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("negatives"),

@@ -164,10 +164,11 @@ def q_composite_label(spark, d):
     ev = _t(spark, d, "events")
     diar = (ev.filter((F.col("event_type") == "click") & (F.col("value") > 400))
             .select("user_id").distinct().withColumn("dcode", F.lit("C400")))
-    x = J.enrich(J.enrich(purchases(spark, d).withColumnRenamed("ts", "t0"), outcomes(spark, d), ["user_id"]),
-                 diar, ["user_id"])
-    x = L.composite_label(x, "test_ts", "t0", "dcode", "C400", 30, name="composite_{h}d")
-    return x.groupBy("user_id", "event_id").agg(F.max("composite_30d").alias("composite_30d"))
+    x = L.outcome_within(purchases(spark, d).withColumnRenamed("ts", "t0"), outcomes(spark, d), "user_id",
+                         "t0", "test_ts", 30, name="has_test")
+    x = J.enrich(x, diar, ["user_id"])
+    return x.select("user_id", "event_id", F.coalesce(C.flag((F.col("has_test") == 1) & (F.col("dcode") == "C400")), F.lit(0))
+                    .alias("composite_30d"))
 
 
 def q_stay_interval(spark, d):
