@@ -244,88 +244,111 @@ def _cindex_row(spark, cross, sb, tc) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- Cox
-def _cox_time_stats(feats, beta, shift=0.0):
-    """mapInPandas body: per-time partial sums of w, w x, w x x', events, event x, event eta."""
-    p = len(feats)
+def _cox_totals(feats, beta, shift):
+    """mapInPandas body: sums of w, w x, w x x' of each time bucket met in a task."""
 
     def run(batches):
+        tot = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = pdf[feats].to_numpy(dtype="float64")
-            e = pdf["_e"].to_numpy(dtype="float64")
-            eta = (X @ beta if p else np.zeros(len(pdf))) - shift  # a common shift leaves the likelihood as it is
-            w = np.exp(eta)
-            t, inv = np.unique(pdf["_t"].to_numpy(dtype="float64"), return_inverse=True)
-            m = len(t)
-
-            def gsum(v):
-                out = np.zeros((m,) + v.shape[1:])
-                np.add.at(out, inv, v)
-                return out
-
-            r0 = gsum(w)
-            r1 = gsum(w[:, None] * X)
-            r2 = gsum(w[:, None, None] * X[:, :, None] * X[:, None, :]).reshape(m, p * p)
-            d = gsum(e)
-            ex = gsum(e[:, None] * X)
-            ee = gsum(e * eta)
-            yield pd.DataFrame({"_t": t, "_b": pdf["_b"].to_numpy()[np.unique(inv, return_index=True)[1]],
-                                "r0": r0, "r1": list(r1), "r2": list(r2), "d": d, "ex": list(ex), "ee": ee})
+            for b, rows in pdf.groupby("_b"):
+                X = rows[feats].to_numpy(dtype="float64")
+                w = np.exp(X @ beta - shift)
+                old = tot.get(b, (0.0, 0.0, 0.0))
+                tot[b] = (old[0] + w.sum(), old[1] + w @ X, old[2] + X.T @ (X * w[:, None]))
+        for b, (r0, r1, r2) in tot.items():
+            yield pd.DataFrame({"_b": [b], "r0": [r0], "r1": [r1], "r2": [r2.ravel()]})
 
     return run
 
 
-def _cox_bucket_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"_b": [pdf["_b"].iloc[0]], "r0": [pdf["r0"].sum()],
-                         "r1": [np.sum(np.stack(pdf["r1"].to_numpy()), axis=0)],
-                         "r2": [np.sum(np.stack(pdf["r2"].to_numpy()), axis=0)]})
+class _CoxSums:
+    """Log-likelihood, gradient and Hessian of rows that arrive by bucket, latest time first."""
+
+    def __init__(self, p: int):
+        self.ll, self.grad, self.hess = 0.0, np.zeros(p), np.zeros((p, p))
+        self.bucket = None
+        self.open(None, (0.0, np.zeros(p), np.zeros((p, p))))
+
+    def open(self, bucket, later) -> None:
+        """Start a bucket; ``later`` holds the risk sums of all later buckets."""
+        self.close_time()
+        self.bucket, self.time = bucket, None
+        self.s0, self.s1, self.s2 = later
+
+    def close_time(self) -> None:
+        """Count the events of the current time, whose rows are all in the risk sums now."""
+        if self.bucket is not None and self.d > 0:
+            mu = self.s1 / self.s0
+            self.ll += self.ee - self.d * np.log(self.s0)
+            self.grad += self.ex - self.d * mu
+            self.hess += self.d * (self.s2 / self.s0 - np.outer(mu, mu))
+        self.d, self.ex, self.ee = 0.0, np.zeros(len(self.grad)), 0.0
+
+    def add(self, t: np.ndarray, X: np.ndarray, e: np.ndarray, eta: np.ndarray) -> None:
+        """Rows of one bucket in order; the last time stays open, as its rows may go on."""
+        if t[0] != self.time:
+            self.close_time()
+        w = np.exp(eta)
+        at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(t)]))
+        c0 = self.s0 + np.cumsum(np.add.reduceat(w, at))
+        c1 = self.s1 + np.cumsum(np.add.reduceat(w[:, None] * X, at, axis=0), axis=0)
+        d, ex, ee = np.add.reduceat(e, at), np.add.reduceat(e[:, None] * X, at, axis=0), np.add.reduceat(e * eta, at)
+        d[0], ex[0], ee[0] = d[0] + self.d, ex[0] + self.ex, ee[0] + self.ee
+        self.time, self.d, self.ex, self.ee = t[-1], d[-1], ex[-1], ee[-1]
+        done = d.copy()
+        done[-1] = 0
+        k = done > 0
+        mu = c1[k] / c0[k][:, None]
+        self.ll += float(np.sum(ee[k] - d[k] * np.log(c0[k])))
+        self.grad += (ex[k] - d[k][:, None] * mu).sum(axis=0)
+        # sum over times of d S2 / S0, with the sums swapped: each row counts for its own and all earlier times
+        rate = done / c0
+        reach = np.cumsum(rate[::-1])[::-1]
+        self.hess += self.s2 * rate.sum() + X.T @ (X * (w * reach[of])[:, None]) - mu.T @ (mu * d[k][:, None])
+        self.s0, self.s1, self.s2 = c0[-1], c1[-1], self.s2 + X.T @ (X * w[:, None])
 
 
-def _cox_bucket_terms(p: int, offsets: dict):
-    """Per time bucket: merge partials per time, suffix sums seeded by later buckets,
-    then this bucket's share of log-likelihood, gradient and Hessian."""
+def _cox_terms(feats, beta, shift, offsets):
+    """mapInPandas body: a task's share of log-likelihood, gradient and Hessian, in one row."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf["_b"].iloc[0]
-        t, inv = np.unique(pdf["_t"].to_numpy(), return_inverse=True)
-        m = len(t)
+    def run(batches):
+        sums = _CoxSums(len(feats))
+        for pdf in batches:
+            for b, rows in pdf.groupby("_b", sort=False):
+                if b != sums.bucket:
+                    sums.open(b, offsets[b])
+                X = rows[feats].to_numpy(dtype="float64")
+                sums.add(rows["_t"].to_numpy(dtype="float64"), X, rows["_e"].to_numpy(dtype="float64"), X @ beta - shift)
+        sums.close_time()
+        yield pd.DataFrame({"ll": [sums.ll], "g": [sums.grad], "h": [sums.hess.ravel()]})
 
-        def merge(col, shape):
-            out = np.zeros((m,) + shape)
-            np.add.at(out, inv, np.stack(pdf[col].to_numpy()) if shape else pdf[col].to_numpy())
-            return out
+    return run
 
-        r0, r1, r2 = merge("r0", ()), merge("r1", (p,)), merge("r2", (p * p,))
-        d, ex, ee = merge("d", ()), merge("ex", (p,)), merge("ee", ())
-        o0, o1, o2 = offsets.get(b, (0.0, np.zeros(p), np.zeros(p * p)))
-        # risk set at time t: rows with time >= t (suffix sums over descending time)
-        c0 = np.cumsum(r0[::-1])[::-1] + o0
-        c1 = np.cumsum(r1[::-1], axis=0)[::-1] + o1
-        c2 = np.cumsum(r2[::-1], axis=0)[::-1] + o2
-        k = d > 0
-        ll = float(np.sum(ee[k] - d[k] * np.log(c0[k])))
-        mu = c1[k] / c0[k][:, None]
-        grad = (ex[k] - d[k][:, None] * mu).sum(axis=0)
-        hess = (d[k][:, None] * (c2[k] / c0[k][:, None]
-                                 - (mu[:, :, None] * mu[:, None, :]).reshape(-1, p * p))).sum(axis=0)
-        return pd.DataFrame({"ll": [ll], "g": [grad], "h": [hess]})
 
-    return run
+def _independent(hess: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Features, in order, that are no linear combination of those kept before (Cholesky pivots)."""
+    keep: list[int] = []
+    for i in range(len(hess)):
+        rest = hess[i, i]
+        if keep:
+            rest -= hess[i, keep] @ np.linalg.solve(hess[np.ix_(keep, keep)], hess[keep, i])
+        if rest > tol * hess[i, i] and hess[i, i] > 0:
+            keep.append(i)
+    return keep
 
 
 def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_iter: int = 100,
             tol: float = 1e-9, standardize: bool = False, n_buckets: int | None = None) -> dict:
     """Cox proportional hazards, Breslow ties, no penalty, Newton-Raphson with step halving.
 
-    Per iteration two passes over the (cached) rows: (1) per-time sums of w,
-    w x, w x x' with w = exp(x.b), computed with NumPy inside each task and
-    merged per fixed time bucket; only bucket totals (buckets x p^2 numbers)
-    reach the driver to form the suffix offsets; (2) per bucket, suffix sums
-    over time and the bucket's share of the log-likelihood, gradient and
-    Hessian.  The p x p Newton system is solved on the driver.
+    The rows are dealt by time bucket and sorted once; no iteration shuffles.  Per iteration one pass sums
+    w, w x, w x x' (w = exp(x.b)) per bucket, and one streams each bucket from its latest time down with running
+    sums that start at those of the later buckets; bucket totals and one row per task reach the driver.
+    The p x p Newton system is solved there.  Features that others determine within the risk sets
+    (one-hots that sum to one, constants) keep coefficient 0 and are listed in ``aliased``.
     Rows with a missing feature, time or event take no part; ``n_dropped`` counts them.
-    Returns {features, coef, loglik, n_iter, scale, n_rows, n_dropped}.
+    Returns {features, coef, loglik, n_iter, scale, n_rows, n_dropped, aliased}.
     """
     from cohortkit.operators.prep import standardise, standardise_stats
 
@@ -346,11 +369,10 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
         n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 200_000)))
     # fixed for every iteration; one bucket needs no split points (no quantile job)
     splits = key_splits(data, "_t", n_buckets) if n_buckets > 1 else [float("-inf"), float("inf")]
-    data = bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int"))
     p = len(feats)
-    nb = len(splits)
-    per_schema = ("_t double, _b int, r0 double, r1 array<double>, r2 array<double>, d double, "
-                  "ex array<double>, ee double")
+    nb = len(splits) - 1
+    data = (bucketize(data, "_t", splits, "_b").withColumn("_b", F.col("_b").cast("int")).repartition(nb, "_b")
+            .sortWithinPartitions("_b", F.desc("_t")).persist())
 
     ends = data.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(feats) for n, f in (("lo", F.min), ("hi", F.max))]
                     ).first() if p and n_rows else None
@@ -362,23 +384,18 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
         return data.agg(F.max(sum(F.col(c) * F.lit(float(b)) for c, b in zip(feats, beta)))).first()[0]
 
     def evaluate(beta):
-        per = (data.mapInPandas(_cox_time_stats(feats, np.asarray(beta, dtype="float64"), shift_of(beta)), per_schema)
-               .repartition(nb, "_b").persist())
-        if nb <= 2:  # a single bucket: no later buckets, so no offsets and no totals job
-            tot = {}
-        else:
-            tot = {r["_b"]: (r["r0"], np.asarray(r["r1"]), np.asarray(r["r2"])) for r in
-                   per.groupBy("_b").applyInPandas(_cox_bucket_totals,
-                                                   "_b int, r0 double, r1 array<double>, r2 array<double>")
-                   .collect()}  # one row per bucket
-        offsets, acc = {}, (0.0, np.zeros(p), np.zeros(p * p))
+        beta = np.asarray(beta, dtype="float64")
+        shift = shift_of(beta)
+        tot = {r["_b"]: (r["r0"], np.asarray(r["r1"]), np.asarray(r["r2"]).reshape(p, p)) for r in
+               data.mapInPandas(_cox_totals(feats, beta, shift), "_b int, r0 double, r1 array<double>, r2 array<double>")
+               .collect()} if nb > 1 else {0: None}  # one row per bucket
+        offsets, acc = {}, (0.0, np.zeros(p), np.zeros((p, p)))
         for b in sorted(tot, reverse=True):  # later buckets first
             offsets[b] = acc
-            acc = (acc[0] + tot[b][0], acc[1] + tot[b][1], acc[2] + tot[b][2])
-        parts = (per.groupBy("_b").applyInPandas(_cox_bucket_terms(p, offsets),
-                                                 "ll double, g array<double>, h array<double>")
-                 .collect())  # one row per bucket
-        per.unpersist()
+            if nb > 1:
+                acc = tuple(x + y for x, y in zip(acc, tot[b]))
+        parts = data.mapInPandas(_cox_terms(feats, beta, shift, offsets),
+                                 "ll double, g array<double>, h array<double>").collect()  # one row per task
         ll = sum(r["ll"] for r in parts)
         grad = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(p)
         hess = (np.sum([np.asarray(r["h"]) for r in parts], axis=0) if parts else np.zeros(p * p)).reshape(p, p)
@@ -387,9 +404,11 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
     beta = np.zeros(p)
     try:
         ll, grad, hess = evaluate(beta)
+        keep = _independent(hess)
         it = 0
         for it in range(1, max_iter + 1):
-            step = np.linalg.solve(hess, grad) if p else np.zeros(0)
+            step = np.zeros(p)
+            step[keep] = np.linalg.solve(hess[np.ix_(keep, keep)], grad[keep])
             t = 1.0
             while True:
                 nb_ = beta + t * step
@@ -402,9 +421,11 @@ def fit_cox(df: DataFrame, features: Sequence[str], time: str, event: str, max_i
             if done:
                 break
     finally:
+        data.unpersist()
         cached.unpersist()
     return {"features": feats, "coef": [float(x) for x in beta], "loglik": float(ll), "n_iter": it,
-            "scale": scale, "n_rows": n_rows, "n_dropped": n_all - n_rows}
+            "scale": scale, "n_rows": n_rows, "n_dropped": n_all - n_rows,
+            "aliased": [f for i, f in enumerate(feats) if i not in keep]}
 
 
 def cox_predict(model: dict, df: DataFrame, name: str = "risk_score") -> DataFrame:

@@ -121,3 +121,26 @@ def test_cox_large_predictors_and_missing_rows(spark):
     # moved far away, the same coefficient needs weights beyond a double without the shift
     far = SV.fit_cox(df.withColumn("x", F.col("x") + 2000), ["x"], "t", "e")
     assert far["coef"][0] == pytest.approx(near["coef"][0], abs=1e-6)
+
+
+def test_cox_many_buckets_ties_and_aliased_columns(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    X = rng.normal(size=(n, 4))
+    t = rng.integers(1, 25, n).astype(float)  # day-resolution times: long ties
+    e = (rng.random(n) < 0.6).astype(int)
+    ref = cox_newton(X, t, e)
+    pdf = pd.DataFrame(X, columns=list("abcd")).assign(t=t, e=e)
+    pdf["same"], pdf["one"] = 2 * pdf["a"] - pdf["b"], 1.0
+    df = spark.createDataFrame(pdf)
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # times run over batches
+    try:
+        for buckets in (1, 6):
+            m = SV.fit_cox(df, list("abcd"), "t", "e", n_buckets=buckets)
+            assert np.allclose(m["coef"], ref, atol=1e-6) and m["aliased"] == []
+        m = SV.fit_cox(df, ["a", "one", "b", "same", "c", "d"], "t", "e", n_buckets=6)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    assert m["aliased"] == ["one", "same"]
+    assert np.allclose(m["coef"], [ref[0], 0, ref[1], 0, ref[2], ref[3]], atol=1e-6)
