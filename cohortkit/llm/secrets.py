@@ -7,6 +7,11 @@ held by more than ``max_owners`` owners is a copied example; one that stays with
 few owners and looks random is ``live``.  Both verdicts are added as spans over
 the value; base spans always stay.
 
+With ``by_content`` (as ``redact`` counts) copies of one document are not separate
+holders: exact copies and near copies (texts that share two least hashes of their
+word runs, and what they connect) are one repository with one owner, so a secret in a
+copied document stays ``live``.  Only texts whose verdict would be ``example`` are compared.
+
 Spans of a text are found by splitting it at the pattern: piece and match lengths,
 summed along the text, are the offsets (code points).  Rows are keyed by
 (id, text hash), so repeated rows are scanned once and each gets the result; a
@@ -22,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import sha256_hex, text_or_empty
+from cohortkit.llm.common import WORD, sha256_hex, text_or_empty
+from cohortkit.llm.simhash import components
 from cohortkit.session import materialize
 
 # ---- fixed values: the patterns of the contract, letters of `assign` in either case ----
@@ -71,8 +77,8 @@ def looks_random(v: Column) -> Column:
 
 
 def candidate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                    source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents that may hold a span keyed by id and text hash, their matches)."""
+                    source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(owners of documents that may hold a span, keyed by id and text hash; their matches; their texts)."""
     hit = docs.filter(F.col(text_col).rlike(ANY)).select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"),
         F.col(source_col).alias("owner"))
@@ -85,28 +91,73 @@ def candidate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         m = _matches(once, kind)
         found = m if found is None else found.unionByName(m)
     found = found.filter((F.col("kind") != "generic") | looks_random(F.col("value")))
-    return materialize(owners, "secret-owners"), materialize(found, "secret-spans")
+    return materialize(owners, "secret-owners"), materialize(found, "secret-spans"), once
 
 
-def ownership(owners: DataFrame, found: DataFrame) -> DataFrame:
-    """value hash -> distinct repositories (documents) and owners (sources) that hold it."""
+def holders(owners: DataFrame, found: DataFrame) -> DataFrame:
+    """vh, th, repo, owner: each value's hash with the texts, documents and sources that hold it."""
     key = (F.col("o.id").eqNullSafe(F.col("f.id"))) & (F.col("o.th") == F.col("f.th"))
-    held = found.alias("f").join(owners.alias("o"), key).select(
-        sha256_hex(F.col("f.value")).alias("vh"), F.col("f.id").alias("repo"), F.col("o.owner").alias("owner"))
+    return found.alias("f").join(owners.alias("o"), key).select(
+        sha256_hex(F.col("f.value")).alias("vh"), F.col("f.th").alias("th"), F.col("f.id").alias("repo"),
+        F.col("o.owner").alias("owner"))
+
+
+def near_copies(texts: DataFrame, width: int = 4, bands: int = 16) -> DataFrame:
+    """(th, root) of texts (th, text) that are near copies of another; root is the least hash of their group.
+
+    The hashes of a text's runs of ``width`` words fall into 2 ``bands`` classes; texts whose least hash agrees in
+    both classes of a band are linked.  Runs with a word that could be a value are left out, so that an example
+    copied into short texts does not link them.
+    """
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("words") - (width - 1)),
+        lambda i: F.slice("words", i, width))
+    plain = F.filter(runs, lambda r: ~F.exists(r, lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]") & (F.length(w) >= 8)))
+    d = texts.select("th", words.alias("words")).filter(F.size("words") >= width)
+    h = d.select("th", F.explode(F.transform(plain, lambda r: F.xxhash64(r))).alias("h"))
+    h = h.groupBy("th", F.pmod("h", F.lit(2 * bands)).alias("c")).agg(F.min("h").alias("h"))
+    band = h.groupBy("th", F.floor(F.col("c") / 2).alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("h")).alias("key")).filter("n = 2")
+    band = materialize(band.select("th", "band", "key"), "secret-bands")
+    first = band.groupBy("band", "key").agg(F.min("th").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = band.join(first, ["band", "key"]).select(F.col("th").alias("a"), F.col("low").alias("b"))
+    return components(edges).select(F.col("node").alias("th"), "root")
+
+
+def ownership(held: DataFrame) -> DataFrame:
+    """value hash -> distinct repositories and owners that hold it."""
+    held = held.select("vh", "repo", "owner")
     # distinct (value, owner, repository) first, then per owner, then per value: no hot key at the last step
     per_repo = held.distinct()
     per_owner = per_repo.groupBy("vh", "owner").agg(F.count(F.lit(1)).alias("repos"))
     return per_owner.groupBy("vh").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
+def by_content_only(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """``held`` with one row per value and group of copies: the group is the repository, its least owner the owner."""
+    held = materialize(held, "secret-holders")
+    doubtful = texts.join(held.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"])
+    held = held.join(near_copies(doubtful), "th", "left").withColumn("repo", F.coalesce("root", "th"))
+    per_owner = held.groupBy("vh", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return per_owner.groupBy("vh", "repo").agg(F.min("owner").alias("owner"))
+
+
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
-         max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+         max_owners: int = 1, max_repos: int = 3, by_content: bool = False) -> DataFrame:
     """id, th, kind, rank, start, end: base spans, and a ``live`` or ``example`` span over each candidate value.
 
-    ``example``: more than ``max_owners`` owners, or more than ``max_repos`` repositories hold the value.
+    ``example``: more than ``max_owners`` owners, or more than ``max_repos`` repositories hold the value, by
+    sources and documents or, with ``by_content``, by groups of copies.
     """
-    owners, found = candidate_spans(docs, text_col, id_col, source_col)
-    freq = ownership(owners, found)
+    owners, found, texts = candidate_spans(docs, text_col, id_col, source_col)
+    held = holders(owners, found)
+    freq = ownership(held)
+    if by_content:
+        freq = materialize(freq, "secret-counts")
+        many = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
+        again = ownership(by_content_only(held.join(freq.filter(many), "vh", "left_semi"), texts))
+        freq = freq.filter(~many).unionByName(again)
     base = found.filter(F.col("kind") != "generic").select("id", "th", "rank", "kind", "start", "end")
     j = found.filter(looks_random(F.col("value"))).withColumn("vh", sha256_hex(F.col("value"))).join(freq, "vh")
     copied = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
@@ -148,8 +199,11 @@ def scan_digests(docs: DataFrame, **kw) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **kw) -> DataFrame:
-    """Rows of ``docs`` with the value of every live secret replaced by ``mark`` (``n_chars`` follows)."""
-    live = scan(docs, **kw).filter("kind = 'live'")
+    """Rows of ``docs`` with the value of every live secret (copies of a document counted once) replaced by ``mark``.
+
+    ``n_chars`` follows.
+    """
+    live = scan(docs, **{"by_content": True, **kw}).filter("kind = 'live'")
     lists = span_lists(live).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__s"))
     # spans of one text that overlap (a value inside a longer run) are merged
     merged = F.aggregate(

@@ -41,6 +41,28 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert out[3]["text"] == rows[3][1] and out[101]["text"] == "nothing here" and len(out) == len(rows)
 
 
+def test_secrets_of_copied_documents_are_redacted(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+
+    def text(value, start, changed=()):
+        w = [words[(start + 7 * i * i + i) % 400] for i in range(150)]
+        for c in changed:
+            w[c] = "other"
+        return " ".join(w[:75]) + f" password = {value} " + " ".join(w[75:])
+
+    rows = [("A1b2C3d4E5f6", text("A1b2C3d4E5f6", 0), s) for s in ("src0", "src1", None)]  # exact copies, three owners
+    rows += [("Q7r8S9t0U1v2", text("Q7r8S9t0U1v2", 50), "src2") for _ in range(4)]  # exact copies, one owner
+    rows += [("M3n4O5p6R7s8", text("M3n4O5p6R7s8", 90, (k, 40 + k, 140 - k)), f"src{k % 3}") for k in range(6)]
+    rows += [("E9x8A7m6P5l4", " ".join(f"{chr(97 + k)}{w}" for w in words[:99]) + " token = E9x8A7m6P5l4", f"src{k % 3}")
+             for k in range(6)]  # an example: different texts and owners
+    d = spark.createDataFrame([(i, t, None, s, len(t)) for i, (_, t, s) in enumerate(rows)],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()}
+    assert len(out) == len(rows)
+    for i, (v, t, _) in enumerate(rows):
+        assert out[i] == (t if v.startswith("E9") else t.replace(v, "[SECRET]"))
+
+
 def test_pipeline_stages(spark, tmp_path, small_docs):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
