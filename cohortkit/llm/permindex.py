@@ -6,6 +6,10 @@ its own nearest pivots; for a pivot that both lists hold at ranks a and b the fo
 the end of the list drops by 2 (prefix - max(a, b)), so the files give the ranking by footrule.  The best ``share`` of the vectors (never
 fewer than ``least``) are reranked by the exact inner product in double precision.
 
+Ranking by distance to pivots fits the inner product only for vectors of one norm, so vectors are scaled by the largest
+norm and get sqrt(1 - norm^2) as a further component, queries 0: all index vectors then have norm 1, and the
+products of a query with them are as before.
+
 The index lies in blocks of vectors and queries in blocks of queries; each pair of blocks is one bounded task.
 Equal vectors are one entry that keeps its k + 1 smallest ids, as later ids of the same vector cannot enter any result.
 
@@ -59,6 +63,12 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(near, axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    """Rows scaled by the largest norm ``top`` with the component that makes their norm 1."""
+    x = x / top
+    return np.hstack([x, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))[:, None]])
+
+
 def _matrix(col: pa.ChunkedArray, dtype) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return np.asarray(col.flatten()).astype(dtype).reshape(len(col), -1) if len(col) else np.zeros((0, 0), dtype)
@@ -102,7 +112,7 @@ def search_block(index: pa.Table, queries: pa.Table, prefix: int, n_pivots: int,
 
 
 def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20,
-            pivots: int = 512, prefix: int = 64, share: float = 0.08, least: int = 2048,
+            pivots: int = 512, prefix: int = 64, share: float = 0.2, least: int = 2048,
             index_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
@@ -115,27 +125,39 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     drawn = ent.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()  # bounded: ``pivots`` vectors
     p = np.array([r["vec"] for r in drawn], np.float64)
     prefix = min(prefix, len(p))
-    shared = spark.sparkContext.broadcast(p)
-
-    def represent(batches):
-        for b in batches:
-            perm = permutations(_matrix(b.column(0), np.float64), shared.value, prefix) if b.num_rows else np.zeros((0, prefix), np.int16)
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * prefix)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.ListArray.from_arrays(offsets, pa.array(perm.ravel(), pa.int16()))], ["vec", "ids", "perm"])
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    top = ent.agg(F.max(norm)).head()[0] or 1.0
+    shared = spark.sparkContext.broadcast(lifted(p, top) if len(p) else p)
+
+    def represent(as_query: bool):
+        def run(batches):
+            for b in batches:
+                perm = np.zeros((0, prefix), np.int16)
+                if b.num_rows:
+                    x = _matrix(b.column(0), np.float64)
+                    x = np.hstack([x / top, np.zeros((len(x), 1))]) if as_query else lifted(x, top)
+                    perm = permutations(x, shared.value, prefix)
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * prefix)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.ListArray.from_arrays(offsets, pa.array(perm.ravel(), pa.int16()))],
+                    [*b.schema.names, "perm"])
+        return run
+
+    def with_perm(d: DataFrame, as_query: bool, schema: str) -> DataFrame:
+        return d.mapInArrow(represent(as_query), f"{schema}, perm array<short>") if n_ent else \
+            d.withColumn("perm", F.array().cast("array<short>"))
 
     vec_type = ent.schema["vec"].dataType.simpleString()
-    index = ent.mapInArrow(represent, f"vec {vec_type}, ids array<long>, perm array<short>") if n_ent else \
-        ent.withColumn("perm", F.array().cast("array<short>"))
-    index = materialize(index, "perm-index")
+    index = materialize(with_perm(ent, False, f"vec {vec_type}, ids array<long>"), "perm-index")
     asked = vecs.filter(F.col("id") % every == 0)
-    queries = index.join(asked.select("vec").distinct(), "vec", "left_semi").select("vec", "perm")
+    queries = ent.join(asked.select("vec").distinct(), "vec", "left_semi").select("vec")
+    queries = materialize(with_perm(queries, True, f"vec {vec_type}"), "perm-queries")
     n_q = queries.count()
     nv, nq = max(1, math.ceil(n_ent / index_block)), max(1, math.ceil(n_q / query_block))
     budget = max(share, least / max(n_ent, 1))
     left = index.select("vec", "ids", "perm", F.pmod(F.xxhash64("vec"), F.lit(nv)).alias("vb"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
-    # new names: both sides of the cogroup come from the index
+    # new names: both sides of the cogroup hold the same vectors
     right = queries.select(F.col("vec").alias("qvec"), F.col("perm").alias("qperm"), F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(nq)).alias("qqb"),
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("qvb"))
     n_pivots = len(p)

@@ -41,3 +41,24 @@ def test_recall_scores_and_odd_vectors(spark):
         assert hits >= 0.9 * 20 * len(want)
     assert permindex.nearest(d.limit(0)).count() == 0
     assert permindex.nearest(d.filter(F.col("vec_id") < 3)).count() == 2
+
+
+def test_recall_of_the_shipped_share_with_varying_norms(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(26_000, 64))
+    x *= (np.exp(0.3 * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1)[:, None])
+    x = x.astype(np.float32)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    y = np.array([r[0] for r in given.select("embedding").orderBy("vec_id").collect()], np.float32)
+    y_ids = np.array([r[0] for r in given.select("vec_id").orderBy("vec_id").collect()])
+    for table, ids, m, every in ((d, np.arange(len(x)), x.astype(np.float64), 260), (given, y_ids, y.astype(np.float64), 20)):
+        got = {}
+        for r in permindex.nearest(table, every=every, least=0).collect():  # the share alone, as in a large table
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q, found in got.items():
+            s = m @ m[np.searchsorted(ids, q)]
+            s[ids == q] = -np.inf
+            hits += len(found & set(ids[np.argsort(-s)[:20]].tolist()))
+        assert len(got) == sum(ids % every == 0) and hits >= 0.94 * 20 * len(got), hits / (20 * len(got))
