@@ -425,9 +425,6 @@ SPARK = {
 
 
 # ------------------------------------------------- modelling on the cohort table
-MODEL_GRID = {"maxIter": [5, 10], "maxDepth": [3]}  # reduced grid; the reference grid is model.REFERENCE_GRID
-
-
 def _cohort_with_keys(spark, d):
     from cohortkit.plans.cohort import build_training_table
 
@@ -442,25 +439,23 @@ def _feature_cols(t: DataFrame) -> list:
 
 
 def q_boosted_horizon_eval(spark, d):
+    """Reference grid (32 points) and 4 stratified folds, a model per horizon."""
     from cohortkit.plans.modelling import develop
 
     t = _cohort_with_keys(spark, d)
-    res = develop(t, _feature_cols(t), ["row_key"], grid=MODEL_GRID, folds=2, parallelism=4)
-    m = res["metrics"]
+    m = develop(t, _feature_cols(t), ["row_key"])["metrics"]
     return _r(m["roc_auc"].join(m["average_precision"], "horizon"))
 
 
 def q_split_importance(spark, d):
+    """Splits per feature in the 30-day model that the reference grid chooses."""
     from cohortkit.operators import model as MD
-    from cohortkit.operators.prep import assemble, impute_median
-
-    from cohortkit.session import materialize
+    from cohortkit.plans.modelling import develop
 
-    t = materialize(_cohort_with_keys(spark, d), "cohort")
+    t = _cohort_with_keys(spark, d)
     feats = _feature_cols(t)
-    x = assemble(impute_median(t, feats), feats)
-    m = MD.fit_boosted(x, "cdiff_30d_flag", maxIter=10, maxDepth=3)
-    return MD.split_count_importance(m, feats, k=30)
+    model = develop(t, feats, ["row_key"], horizons=(30,))["models"][30]
+    return MD.split_count_importance(model, feats, k=30)
 
 
 def q_cox_cohort_study(spark, d):

@@ -56,3 +56,26 @@ def test_survival_study_and_odds_ratio(spark):
     assert abs(res["cindex"].first()["cindex"] - ref) < 1e-12
     o = odds_ratio(t, "cdiff_30d_flag", "mean_lab").first()
     assert o["odds_ratio"] > 1
+
+
+def test_registered_models_search_the_reference_grid(spark, monkeypatch):
+    from cohortkit.operators import model as MD
+    from cohortkit.plans import driver_tables
+
+    asked = []
+
+    def grid_search(df, label, grid, fold_col, **kw):
+        asked.append((label, grid, df.select(fold_col).distinct().count(), kw["num_folds"]))
+        raise StopIteration  # the search itself takes hours
+
+    monkeypatch.setattr(MD, "grid_search", grid_search)
+    monkeypatch.setattr(driver_tables, "_cohort_with_keys", lambda *_: cohort(spark).selectExpr(
+        "antibiotic_key as row_key", "mean_lab", "cdiff_2d_flag", "cdiff_30d_flag"))
+    for query, first in (("boosted_horizon_eval", "cdiff_2d_flag"), ("split_importance", "cdiff_30d_flag")):
+        try:
+            driver_tables.SPARK[query](spark, None)
+        except StopIteration:
+            pass
+        label, grid, folds, asked_folds = asked.pop()
+        assert label == first and folds == asked_folds == 4
+        assert grid == {"maxIter": [50, 70, 100, 150], "maxDepth": [3, 5, 7, 9], "stepSize": [0.1, 0.2]}
