@@ -31,6 +31,13 @@ def crc32_mod(id_col: Column, m: int) -> Column:
     return F.crc32(id_col.cast("string")) % m
 
 
+def text_span(text: Column, key: Column, max_chars: int) -> Column:
+    """``text``, or of a longer one ``max_chars`` characters from a place chosen by a hash of ``key``."""
+    n = F.length(text)
+    start = F.pmod(F.xxhash64(F.lit("span"), key), F.greatest(n - F.lit(max_chars - 1), F.lit(1))).cast("int") + 1
+    return F.when(n > max_chars, F.substring(text, start, F.lit(max_chars))).otherwise(text)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str,
                  max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` of text (one row at least)."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import crc32_mod, ranges, text_batches
+from cohortkit.llm.common import crc32_mod, ranges, text_batches, text_span
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -263,15 +263,16 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.5,
 
 
 def training_sample(docs: DataFrame, label_col: str, text_col: str, max_docs: int, max_chars: int) -> DataFrame:
-    """(text, label): about ``max_docs`` rows per label, chosen by a hash of the text and id."""
-    d = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
+    """(text, label): about ``max_docs`` rows per label, chosen by a hash of the id; of long texts ``max_chars`` characters."""
+    d = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in d.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return d.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).limit(0)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, max_docs / n))]),
                          F.col(label_col))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    return d.filter(draw < share).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    return d.filter(draw < share).select(
+        text_span(F.col(text_col), F.col("doc_id"), max_chars).alias("text"), F.col(label_col).alias("label"))
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", max_docs: int = 300,

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import crc32_mod, text_batches
+from cohortkit.llm.common import crc32_mod, text_batches, text_span
 
 PASSAGE = 64  # words
 HASHED = 64
@@ -137,9 +137,10 @@ class Model:
 
 
 def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 250,
-        rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Full-batch Adam on the documents' log loss."""
+        rate: float = 0.02, decay: float = 1e-4, seed: int = 3, weight: np.ndarray | None = None) -> Model:
+    """Full-batch Adam on the documents' (weighted) log loss."""
     y = y.astype(np.float32)
+    weight = np.ones(len(y), np.float32) if weight is None else weight.astype(np.float32)
     if not len(y) or y.min() == y.max():
         return Model(mean=[], std=[], W=[], b=[], V=[], U=[], a=[], o=[], c=[float(y.mean()) if len(y) else 1.0])
     rng = np.random.default_rng(seed)
@@ -160,7 +161,7 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
         w = np.exp(s - np.maximum.reduceat(s, first)[doc])
         w /= np.add.reduceat(w, first)[doc]
         z = np.add.reduceat(h * w[:, None], first, axis=0)
-        dy = (_sigmoid(z @ q["o"] + q["c"]) - y) / len(y)
+        dy = (_sigmoid(z @ q["o"] + q["c"]) - y) * weight / weight.sum()
         dz = dy[:, None] * q["o"]
         dw = (h * dz[doc]).sum(axis=1)
         ds = w * (dw - np.add.reduceat(w * dw, first)[doc])
@@ -176,22 +177,38 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return Model(mean=mean, std=std, **q)
 
 
+def class_shares(sizes: dict[int, int], most: int) -> dict[int, float]:
+    """Share of each class to draw: ``most`` rows in all, dealt evenly, what small classes leave goes to the others."""
+    out, left = {}, most
+    for k, (c, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[c] = min(1.0, left / (len(sizes) - k) / n)
+        left -= min(n, left / (len(sizes) - k))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
           label_col: str = "quality", max_docs: int = 3000, max_chars: int = 40_000, rounds: int = 250) -> Model:
-    """Fit in one task on about ``max_docs`` labelled texts, drawn by a hash of the id."""
+    """Fit in one task on about ``max_docs`` labelled texts, drawn per class by a hash of the id.
+
+    A class of few rows is drawn whole; rows weigh as many labelled ones as they stand for, so the loss is that of all.
+    Of long texts ``max_chars`` characters are read.
+    """
     lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__y"))
-    n = lab.count()
+    sizes = {r[0]: r[1] for r in lab.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    shares = class_shares(sizes, max_docs)
+    share = F.element_at(F.create_map(*[F.lit(v) for kv in shares.items() for v in kv]), F.col("__y")) if shares else F.lit(1.0)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("__id")), F.lit(1 << 20)) / float(1 << 20)
-    lab = lab.filter(draw < min(1.0, max_docs / max(n, 1)))  # about max_docs rows of two numbers: broadcast
-    sample = docs.filter(F.length(F.coalesce(text_col, F.lit(""))) <= max_chars).join(
-        F.broadcast(lab), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), F.col("__y").alias("y"))
+    lab = lab.withColumn("__share", share).filter(draw < F.col("__share"))  # about max_docs rows of three numbers: broadcast
+    sample = docs.join(F.broadcast(lab), F.col(id_col) == F.col("__id")).select(
+        text_span(F.col(text_col), F.col("__id"), max_chars).alias("text"), F.col("__y").alias("y"),
+        (1 / F.col("__share")).alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = sorted((t or "", y, w) for b in batches for t, y, w in zip(*[c.to_pylist() for c in b.columns]))
         if rows:
-            x, count = passages([t.encode() for t, _ in rows])
-            m = fit(x, count, np.array([y for _, y in rows]), rounds=rounds)
+            x, count = passages([r[0].encode() for r in rows])
+            m = fit(x, count, np.array([r[1] for r in rows]), rounds=rounds, weight=np.array([r[2] for r in rows]))
         else:
             m = fit(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays(

@@ -80,3 +80,23 @@ def test_passages_do_not_depend_on_the_batch():
     for i, t in enumerate(texts):
         y, k = quality.passages([t.encode()])
         assert np.allclose(y, x[at[i]:at[i] + c[i]], atol=1e-6)
+
+
+def test_samples_hold_long_texts_and_rare_classes(spark):
+    rows = [(i, f"der Hund und die Katze gehen heute nach Hause {i} " * 3, "de") for i in range(30)]
+    rows += [(100 + i, f"the dog and the cat walk home together today {i} " * 40, "en") for i in range(30)]  # all long
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(d, "lang", "text", 300, 400).collect()
+    assert len(sample) == 60 and max(len(r["text"]) for r in sample) == 400
+    assert len({r["text"][:20] for r in sample if r["label"] == "en"}) > 5  # from different places
+    m = langid.train(d, max_chars=400)
+    assert m.labels == ["de", "en"]
+    assert {(r["lang"], r["lang_pred"]) for r in langid.predict(d, m, ["doc_id", "lang"]).collect()} == {("de", "de"), ("en", "en")}
+
+    assert quality.class_shares({0: 3, 1: 1000}, 103) == {0: 1.0, 1: 0.1} and quality.class_shares({0: 1, 1: 2}, 3) == {0: 1.0, 1: 1.0}
+    good, bad = "a calm walk by the river brings quiet thoughts to us all. ", "$$$ 0x1 %% 99 ## 17 @@ ?? "
+    rows = [(i, good * (3 + i % 5), 1) for i in range(2000)] + [(5000 + i, bad * 3000, 0) for i in range(3)]  # rare and long
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    m = quality.train(d.select("doc_id", "text"), d.select("doc_id", "quality"), max_docs=100)
+    s = {r["doc_id"]: r["score"] for r in quality.score(d, m, ["doc_id"]).collect()}
+    assert max(s[5000 + i] for i in range(3)) < 0.5 < 0.9 < min(s[i] for i in range(2000))
