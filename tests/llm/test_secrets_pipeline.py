@@ -94,3 +94,48 @@ def test_pipeline_stages(spark, tmp_path, small_docs):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, odd, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/odd-{name}")
         odd = spark.read.parquet(f"{tmp_path}/odd-{name}")
+
+
+def test_whole_run_equals_a_plain_pipeline(spark):
+    import duckdb
+    import pandas as pd
+
+    from cohortkit.llm import quality, simhash
+    from cohortkit.llm.oracle_sql import MIXING
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    m = quality.train(docs, labels)
+    kept = [i for i in sorted(rows) if quality.score_texts(m, [rows[i]["text"]])[0] >= 0.7]
+    fp = {i: simhash.text_fingerprint(rows[i]["text"] or "", 4) for i in kept}
+    root = {i: i for i in kept}
+    near = 0
+    for a in kept:
+        for b in kept:
+            if a < b and (fp[a] ^ fp[b]).bit_count() <= 4:
+                near += fp[a] != fp[b]
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    kept = [i for i in kept if root[i] == i]
+    assert near > 0
+    left = docs.filter(F.col("doc_id").isin(kept))
+    live = {}
+    for r in secrets.scan(left, by_content=True).filter("kind = 'live'").collect():
+        live.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    text = {}
+    for i in kept:
+        hidden = live.get(i, set())
+        text[i] = "".join("[SECRET]" if k in hidden and k - 1 not in hidden else "" if k in hidden else c
+                          for k, c in enumerate(rows[i]["text"] or ""))
+    documents = pd.DataFrame([(i, text[i], rows[i]["source"]) for i in kept], columns=["doc_id", "text", "source"])  # noqa: F841
+    mixed = duckdb.sql(MIXING).fetchall()
+    copies = Counter({i: int(taken // size) for i, size, _, _, taken in mixed if size})
+    sp = pieces.processor(pieces.default_model())
+    want = {i: (rows[i]["source"], sp.encode(text[i])) for i in kept}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, d).collect():
+        assert (r["source"], r["ids"]) == want[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
+        got[r["doc_id"]] += 1
+    assert got == +copies and max(got.values()) == 2
