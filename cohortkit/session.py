@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,14 +60,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Inside, a query's shuffle files go when the query ends, not when the driver collects its garbage."""
+    old = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, old)
+
+
+def materialize(df: DataFrame, name: str | None = None, frees: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 
     A written table survives executor loss (unlike a local checkpoint) and the
     re-read plan starts from files, so later stages do not recompute upstream.
+    The shuffles of the write go with it.  ``frees``: materialized tables that nothing reads
+    any more once ``df`` is written; they are deleted.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/{name or 'stage'}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    with shuffles_freed(spark):
+        df.write.mode("overwrite").parquet(path)
+    release(*frees)
+    out = spark.read.parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote (frames from elsewhere, and derived ones, are left alone)."""
+    for f in frames:
+        path = f.__dict__.pop("_stage_path", None)
+        if path:
+            spark = f.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
