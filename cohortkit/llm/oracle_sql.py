@@ -69,4 +69,20 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING}
+COVER = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+           FROM documents),
+w AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) > 1 AS again FROM w),
+t AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+g AS (SELECT t.r, t.i, word, coalesce(bool_or(again) OVER (
+        PARTITION BY t.r ORDER BY t.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM t LEFT JOIN h ON t.r = h.r AND t.i = h.i),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING, "op12_cover_dedup": COVER}
