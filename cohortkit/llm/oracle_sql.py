@@ -85,4 +85,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_r
 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING, "op12_cover_dedup": COVER}
+LEXICAL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS no, item_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+c AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c),
+k AS (SELECT no, t, CAST(count(*) AS BIGINT) AS times FROM (SELECT no, unnest(ts) AS t FROM q) GROUP BY no, t),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(ts) AS BIGINT) * n_docs) // n_terms AS m FROM d, c),
+s AS (SELECT no, p.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM k JOIN p USING (t) JOIN w USING (t) JOIN m ON m.r = p.r GROUP BY no, p.r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT no, doc_id, score, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM s JOIN m USING (r) WHERE score > 0) JOIN q USING (no) WHERE rank <= 10
+"""
+
+ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING, "op11_lexical_search": LEXICAL, "op12_cover_dedup": COVER}

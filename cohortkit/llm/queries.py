@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import coverdedup, digest, kdshards, langid, mixing, permindex, pieces, quality, secrets, simhash, suffixdedup
+from cohortkit.llm import (coverdedup, digest, kdshards, langid, mixing, permindex, pieces, quality, rmqsearch, secrets, simhash,
+                           suffixdedup)
 from cohortkit.llm.common import table
 from cohortkit.llm.oracle_sql import ORACLE  # noqa: F401  (registered beside the queries)
 
@@ -52,10 +53,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rmqsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverdedup.digests(table(spark, sf_dir, "documents"))
 
 
 SPARK = {f.__name__: f for f in (
     op1_sentencepiece, op2_fingerprints, op3_language_id, op4_simhash, op5_suffix_dedup, op6_permutation_index,
-    op7_kd_shards, op8_secrets, op9_quality, op10_mixing, op12_cover_dedup)}
+    op7_kd_shards, op8_secrets, op9_quality, op10_mixing, op11_lexical_search, op12_cover_dedup)}
