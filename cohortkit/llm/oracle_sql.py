@@ -106,4 +106,29 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   FROM s JOIN m USING (r) WHERE score > 0) JOIN q USING (no) WHERE rank <= 10
 """
 
-ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING, "op11_lexical_search": LEXICAL, "op12_cover_dedup": COVER}
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, m, ws[i:i + m - 1] AS ws
+      FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, ws, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY lang, m, ws),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 30),
+k AS (SELECT lang, m, ws, a, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.ws, k.a, k.k, x.a AS l, y.a AS r, (2000000 * k.a) // (x.a + y.a) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.ws = k.ws[1:k.k] JOIN f y ON y.lang = k.lang AND y.ws = k.ws[k.k + 1:k.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+i AS (SELECT lang, ws[j:j + u - 1] AS ws, max(a) AS a
+      FROM (SELECT lang, ws, m, a, u, unnest(range(1, m - u + 2)) AS j FROM c, (SELECT unnest([2, 3]) AS u) WHERE u < m)
+      GROUP BY ALL),
+t AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, l, r, score
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.ws = b.ws WHERE i.a IS NULL OR 100 * i.a < 80 * b.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t) JOIN n USING (lang)
+WHERE rank <= 2000
+"""
+
+ORACLE = {"op8_secrets": SECRETS, "op10_mixing": MIXING, "op11_lexical_search": LEXICAL, "op12_cover_dedup": COVER,
+          "op13_collocations": COLLOCATIONS}

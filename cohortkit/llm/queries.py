@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import (coverdedup, digest, kdshards, langid, mixing, permindex, pieces, quality, rmqsearch, secrets, simhash,
-                           suffixdedup)
+from cohortkit.llm import (collocations, coverdedup, digest, kdshards, langid, mixing, permindex, pieces, quality, rmqsearch, secrets,
+                           simhash, suffixdedup)
 from cohortkit.llm.common import table
 from cohortkit.llm.oracle_sql import ORACLE  # noqa: F401  (registered beside the queries)
 
@@ -61,6 +61,10 @@ def op12_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverdedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 SPARK = {f.__name__: f for f in (
     op1_sentencepiece, op2_fingerprints, op3_language_id, op4_simhash, op5_suffix_dedup, op6_permutation_index,
-    op7_kd_shards, op8_secrets, op9_quality, op10_mixing, op11_lexical_search, op12_cover_dedup)}
+    op7_kd_shards, op8_secrets, op9_quality, op10_mixing, op11_lexical_search, op12_cover_dedup, op13_collocations)}
