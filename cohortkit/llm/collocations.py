@@ -5,7 +5,8 @@
    tokens, equal passages give equal chunks wherever they stand, and any phrase of up to four words lies in one chunk.
 2. Dictionary.  Distinct chunks with their frequencies in the parse, one shuffle.
 3. Counts.  Phrases are counted inside distinct chunks, weighted by the chunks' frequencies.  A phrase belongs to the chunk
-   in which it starts before the shared tokens, so overlaps are counted once.
+   in which it starts before the shared tokens, so overlaps are counted once.  A batch joins equal phrases by two 64-bit hashes
+   before it sends their texts; the shuffle joins texts.
 4. Levels.  A phrase of n words that occurs ``least`` times has both its phrases of n - 1 words that often.  Each level sets a
    bit for each frequent phrase in a table of fixed size, and the next level sends only phrases whose parts have their bits set.  The
    table may let rare phrases through (they are counted and dropped), never hold back a frequent one.
@@ -17,13 +18,14 @@ rows; a text without a trigger is one chunk; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,9 @@ from cohortkit.session import materialize
 
 LONGEST = 4  # words of a phrase; chunks share one less
 SHARED = LONGEST - 1
-BATCH = 8 << 20
+BATCH = 4 << 20  # bytes of texts or chunks that a task looks at together
 _END = b"."  # stands for any end of a piece; no word holds it
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if bytes([c]) in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-_KEY = "collocation-bits"
 COUNTS = "lang string, phrase string, a long"
 
 
@@ -103,8 +104,41 @@ class Bits:
         return np.frombuffer(self.table, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
-def _hash(words: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(words, hash_key=_KEY, categorize=False) if len(words) else np.zeros(0, np.uint64)
+_LONG = 64  # bytes; a longer word's hash is a digest, as polynomials modulo 2^64 can be made to collide by long words
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: list[np.ndarray] = []
+
+
+def _digest(word: bytes) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), np.uint64)
+
+
+class Words:
+    """The words of a buffer of single spaces, each ended by one: first byte, end, and two 64-bit hashes of each."""
+
+    def __init__(self, data: bytes):
+        self.buf = buf = np.frombuffer(data, np.uint8)
+        n = len(buf)
+        self.end = np.flatnonzero(buf == 32)
+        self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
+        if not _powers or len(_powers[0]) < n:
+            _powers.clear()
+            for base in _BASES:
+                for x in (base, pow(base, -1, 1 << 64)):
+                    p = np.full(max(n, 1 << 22), x, np.uint64)
+                    p[0] = 1
+                    _powers.append(np.cumprod(p, dtype=np.uint64))
+        long = np.flatnonzero(self.end - self.start > _LONG)
+        exact = np.stack([_digest(data[i:j]) for i, j in zip(self.start[long], self.end[long])]) if len(long) else None
+        self.lanes = []
+        for k, base in enumerate(_BASES):
+            value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+            total = np.cumsum(value[buf] * _powers[2 * k][:n], dtype=np.uint64)  # the byte at a word's end is in it, a space
+            before = np.where(self.start > 0, total[self.start - 1], np.uint64(0)) if n else total
+            h = _mix((total[self.end] - before) * _powers[2 * k + 1][self.start] + (self.end - self.start).astype(np.uint64))
+            if exact is not None:
+                h[long] = exact[:, k]
+            self.lanes.append(h)
 
 
 def _fold(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -112,16 +146,25 @@ def _fold(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
+def _languages(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of each row's language, the languages, and their hashes (a row each)."""
+    d = column.dictionary_encode()
+    names = d.dictionary
+    h = [_digest(x.encode()) for x in names.to_pylist()]
+    return np.asarray(d.indices).astype(np.int64), names, np.stack(h) if h else np.zeros((0, 2), np.uint64)
+
+
 def bits(phrases: DataFrame, size: int) -> Bits:
     """Bits of (lang, phrase) rows: distinct bit numbers are gathered to segments, and segments of known size to one table."""
     segment = 19  # bits of a segment's bit numbers
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            per = [p.encode().split(b" ") for p in b.column(1).to_pylist()]
-            lens = np.fromiter(map(len, per), np.int64, len(per))
-            one = _hash(np.array([w for ws in per for w in ws], dtype=object))
-            h = _hash(np.array(b.column(0).to_pylist(), dtype=object))
+            phrases = [p.encode() for p in b.column(1).to_pylist()]
+            one = Words(b"".join(p + b" " for p in phrases)).lanes[0]
+            lens = np.fromiter((p.count(b" ") + 1 for p in phrases), np.int64, len(phrases))
+            lang, _, hashes = _languages(b.column(0))
+            h = hashes[lang, 0]
             first = np.cumsum(lens) - lens
             for i in range(int(lens.max(initial=0))):
                 h = np.where(lens > i, _fold(h, one[np.minimum(first + i, len(one) - 1)]), h)
@@ -150,50 +193,50 @@ def count_phrases(chunks: DataFrame, n: int, parts: Bits | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "chunk", BATCH):
-            per = [c.split(b" ") for c in b.column(1).to_pylist()]
-            lens = np.fromiter(map(len, per), np.int64, len(per))
-            words = np.empty(int(lens.sum()), dtype=object)
-            words[:] = [w for ws in per for w in ws]
-            code, uniq = pd.factorize(words)
-            uniq = np.asarray(uniq, dtype=object)
-            lang, langs = pd.factorize(np.array(b.column(0).to_pylist(), dtype=object))
+            x = Words(b"".join(c + b" " for c in b.column(1).to_pylist()))
+            size = np.asarray(pa.compute.binary_length(b.column(1))).astype(np.int64) + 1
+            to = np.searchsorted(x.end, np.cumsum(size))
+            starts = np.concatenate([[0], to[:-1]])
+            lens = to - starts
+            lang, names, hashes = _languages(b.column(0))
             times = np.asarray(b.column(3))
-            starts = np.cumsum(lens) - lens
             # starts of phrases: all places of a last chunk, else those before the shared tokens; n words without an end
             room = np.where(np.asarray(b.column(2).cast(pa.int8())) > 0, lens - n + 1, np.minimum(lens - n + 1, lens - SHARED))
             room = np.maximum(room, 0)
             at, own = ranges(starts, room), np.repeat(np.arange(len(lens)), room)
-            word = uniq != _END
-            for i in range(n):
-                good = word[code[at + i]]
+            word = (x.end - x.start > 1) | (x.buf[x.start] != _END[0])
+            good = word[at]
+            for i in range(1, n):
+                good &= word[at + i]
+            at, own = at[good], own[good]
+            for skip in (0, 1) if shared else ():
+                h = hashes[lang[own], 0]
+                for i in range(n - 1):
+                    h = _fold(h, x.lanes[0][at + skip + i])
+                good = shared.value.has(h)
                 at, own = at[good], own[good]
-            if shared:
-                one = _hash(uniq)
-                for skip in (0, 1):
-                    h = _hash(np.asarray(langs, dtype=object))[lang[own]]
-                    for i in range(n - 1):
-                        h = _fold(h, one[code[at + skip + i]])
-                    good = shared.value.has(h)
-                    at, own = at[good], own[good]
             if not len(at):
                 continue
-            key = lang[own].astype(np.int64)
-            for i in range(n):  # numbers of distinct prefixes, so that a key never outgrows 64 bits
-                key = np.unique(key * len(uniq) + code[at + i], return_inverse=True)[1]
-            first = np.empty(int(key.max()) + 1, np.int64)
-            first[key] = np.arange(len(key))
-            a = np.zeros(len(first), np.int64)
-            np.add.at(a, key, times[own])
-            x = at[first]
-            out_lang = np.asarray(langs, dtype=object)[lang[own[first]]].tolist()
-            phrase = words[x].tolist() if n == 1 else [b" ".join(p) for p in zip(*(words[x + i].tolist() for i in range(n)))]
+            h = [hashes[lang[own], k] for k in (0, 1)]
+            for i in range(n):
+                h = [_fold(h[k], x.lanes[k][at + i]) for k in (0, 1)]
+            o = np.argsort(h[0])
+            new = np.concatenate([[True], h[0][o][1:] != h[0][o][:-1]])
+            if (h[1][o][1:] != h[1][o][:-1])[~new[1:]].any():  # equal first hashes of different phrases
+                o = np.lexsort((h[1], h[0]))
+                new = np.concatenate([[True], (h[0][o][1:] != h[0][o][:-1]) | (h[1][o][1:] != h[1][o][:-1])])
+            first = np.flatnonzero(new)
+            a = np.add.reduceat(times[own][o], first)
+            o = o[first]
+            begin, length = x.start[at[o]], x.end[at[o] + n - 1] - x.start[at[o]]
+            phrase = pa.StringArray.from_buffers(
+                len(o), pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
+                pa.py_buffer(x.buf[ranges(begin, length)]))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[own[o]])), phrase, pa.array(a)], ["lang", "phrase", "a"])
             if n == 1:
-                total = np.zeros(len(langs), np.int64)
+                total = np.zeros(len(names), np.int64)
                 np.add.at(total, lang[own], times[own])
-                out_lang, phrase, a = [*out_lang, *langs.tolist()], [*phrase, *[b""] * len(langs)], np.concatenate([a, total])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(a)],
-                ["lang", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(total)], ["lang", "phrase", "a"])
 
     rows = chunks.select("lang", "chunk", "last", "times").mapInArrow(run, COUNTS)
     return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
@@ -250,7 +293,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         F.col("most").isNull() | (_exact("most") * 100 < _exact("a") * inside_percent))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     # ranked in parts first, so that a language is never one task's rows
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(1024)))
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(128)))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     for by in (("lang", "part"), ("lang",)):
         kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
