@@ -7,9 +7,9 @@
 3. Counts.  Phrases are counted inside distinct chunks, weighted by the chunks' frequencies.  A phrase belongs to the chunk
    in which it starts before the shared tokens, so overlaps are counted once.  A batch joins equal phrases by two 64-bit hashes
    before it sends their texts; the shuffle joins texts.
-4. Levels.  A phrase of n words that occurs ``least`` times has both its phrases of n - 1 words that often.  Each level sets a
-   bit for each frequent phrase in a table of fixed size, and the next level sends only phrases whose parts have their bits set.  The
-   table may let rare phrases through (they are counted and dropped), never hold back a frequent one.
+4. Levels.  All parts of a phrase that occurs ``least`` times occur that often.  Frequent words, then frequent pairs set bits
+   in a table of fixed size; only pairs of words with their bits set are sent, then only phrases of 3 and 4 words whose pairs
+   all have theirs.  The table may let rare phrases through (they are counted and dropped), never hold back a frequent one.
 5. Scores, containment and ranks are joins and windows over the frequent phrases; integers are exact (decimals of 38 digits).
 
 Defined cases: NULL text counts as empty and has no words; NULL lang is ``und``; repeated rows count each; an empty table gives no
@@ -68,7 +68,7 @@ def chunk_starts(words: list[bytes], starts: np.ndarray, lens: np.ndarray, spaci
 
 
 def dictionary(docs: DataFrame, spacing: int) -> DataFrame:
-    """(lang, chunk, last, times): distinct chunks of (lang, text); last: it ends its text and shares nothing with a next one."""
+    """(lang, chunk, last, times): distinct chunks of (lang, text), a space after each word; last: it ends its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "text", BATCH):
             langs = b.column(0).to_pylist()
@@ -81,7 +81,7 @@ def dictionary(docs: DataFrame, spacing: int) -> DataFrame:
             end = np.append(at[1:], len(words))
             last = end == (starts + lens)[own]
             end = np.where(last, end, end + SHARED)
-            found = Counter((langs[o], b" ".join(words[x:y]), z)
+            found = Counter((langs[o], b" ".join(words[x:y]) + b" ", z)
                             for o, x, y, z in zip(own.tolist(), at.tolist(), end.tolist(), last.tolist()))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
@@ -106,7 +106,8 @@ class Bits:
 
 _LONG = 64  # bytes; a longer word's hash is a digest, as polynomials modulo 2^64 can be made to collide by long words
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: list[np.ndarray] = []
+_PART = 1 << 16
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _digest(word: bytes) -> np.ndarray:
@@ -114,31 +115,40 @@ def _digest(word: bytes) -> np.ndarray:
 
 
 class Words:
-    """The words of a buffer of single spaces, each ended by one: first byte, end, and two 64-bit hashes of each."""
+    """The words of a buffer of single spaces, each ended by one: first byte, end, and (``hashes``) two 64-bit hashes of each."""
 
-    def __init__(self, data: bytes):
-        self.buf = buf = np.frombuffer(data, np.uint8)
-        n = len(buf)
+    def __init__(self, buf: np.ndarray):
+        self.buf = buf
         self.end = np.flatnonzero(buf == 32)
         self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
-        if not _powers or len(_powers[0]) < n:
-            _powers.clear()
-            for base in _BASES:
-                for x in (base, pow(base, -1, 1 << 64)):
-                    p = np.full(max(n, 1 << 22), x, np.uint64)
-                    p[0] = 1
-                    _powers.append(np.cumprod(p, dtype=np.uint64))
-        long = np.flatnonzero(self.end - self.start > _LONG)
-        exact = np.stack([_digest(data[i:j]) for i, j in zip(self.start[long], self.end[long])]) if len(long) else None
-        self.lanes = []
-        for k, base in enumerate(_BASES):
-            value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-            total = np.cumsum(value[buf] * _powers[2 * k][:n], dtype=np.uint64)  # the byte at a word's end is in it, a space
-            before = np.where(self.start > 0, total[self.start - 1], np.uint64(0)) if n else total
-            h = _mix((total[self.end] - before) * _powers[2 * k + 1][self.start] + (self.end - self.start).astype(np.uint64))
-            if exact is not None:
-                h[long] = exact[:, k]
-            self.lanes.append(h)
+
+    def hashes(self, lane: int) -> np.ndarray:
+        base = _BASES[lane]
+        value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+        cut = np.unique(np.searchsorted(self.end, np.append(np.arange(0, len(self.buf), _PART), len(self.buf))))
+        out = np.zeros(len(self.end), np.uint64)
+        for i, j in zip(cut[:-1], cut[1:]):  # a part's arrays stay in the processor's cache
+            a, b = self.start[i], self.end[j - 1]
+            up, down = _powers(lane, b - a)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(value[self.buf[a:b]] * up[:b - a], out=total[1:])
+            x, y = self.start[i:j] - a, self.end[i:j] - a
+            out[i:j] = _mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64))
+        for w in np.flatnonzero(self.end - self.start > _LONG):
+            out[w] = _digest(self.buf[self.start[w]:self.end[w]].tobytes())[lane]
+        return out
+
+
+def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a lane's base and of its inverse, n + 1 of them at least."""
+    if lane not in _kept or len(_kept[lane][0]) <= n:
+        both = []
+        for x in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
+            p = np.full(max(n + 1, 2 * _PART), x, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _kept[lane] = tuple(both)
+    return _kept[lane]
 
 
 def _fold(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -161,7 +171,7 @@ def bits(phrases: DataFrame, size: int) -> Bits:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             phrases = [p.encode() for p in b.column(1).to_pylist()]
-            one = Words(b"".join(p + b" " for p in phrases)).lanes[0]
+            one = Words(np.frombuffer(b"".join(p + b" " for p in phrases), np.uint8)).hashes(0)
             lens = np.fromiter((p.count(b" ") + 1 for p in phrases), np.int64, len(phrases))
             lang, _, hashes = _languages(b.column(0))
             h = hashes[lang, 0]
@@ -184,74 +194,96 @@ def bits(phrases: DataFrame, size: int) -> Bits:
     return Bits(size, bytes(table))
 
 
-def count_phrases(chunks: DataFrame, n: int, parts: Bits | None) -> DataFrame:
-    """(lang, phrase, a) of all phrases of n words whose phrases of n - 1 words are in ``parts``.
-
-    For n = 1 every word, and one row of the empty phrase a language: its number of words.
+def _words_of(chunks: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words of chunks, without a copy, and the number of each chunk's words."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32, len(chunks) + 1, chunks.offset * 4)
+    data = chunks.buffers()[2]
+    x = Words((np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0]:offsets[-1]])
+    return x, np.diff(np.searchsorted(x.end, offsets - offsets[0]))
+
+
+def _counted(x: Words, at: np.ndarray, n: int, lang: np.ndarray, names: pa.Array, hashes: np.ndarray, times: np.ndarray,
+             first_lane: np.ndarray) -> pa.RecordBatch:
+    """Summed rows of the phrases of n words at ``at`` (language and weight of each): joined by two hashes each."""
+    used, where = np.unique(at[:, None] + np.arange(n), return_inverse=True)
+    where = where.reshape(len(at), n)
+    if len(used) < len(x.end):  # the second hash of those words alone
+        size = x.end[used] + 1 - x.start[used]
+        second = Words(x.buf[ranges(x.start[used], size)]).hashes(1)
+    else:
+        second = x.hashes(1)
+    p, q = hashes[lang, 0], hashes[lang, 1]
+    for i in range(n):
+        p, q = _fold(p, first_lane[at + i]), _fold(q, second[where[:, i]])
+    o = np.argsort(p)
+    new = np.concatenate([[True], p[o][1:] != p[o][:-1]])
+    if (q[o][1:] != q[o][:-1])[~new[1:]].any():  # equal first hashes of different phrases
+        o = np.lexsort((q, p))
+        new = np.concatenate([[True], (p[o][1:] != p[o][:-1]) | (q[o][1:] != q[o][:-1])])
+    first = np.flatnonzero(new)
+    a = np.add.reduceat(times[o], first)
+    o = o[first]
+    begin, length = x.start[at[o]], x.end[at[o] + n - 1] - x.start[at[o]]
+    phrase = pa.StringArray.from_buffers(len(o), pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
+                                         pa.py_buffer(x.buf[ranges(begin, length)]))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(lang[o])), phrase, pa.array(a)], ["lang", "phrase", "a"])
+
+
+def count_phrases(chunks: DataFrame, sizes: tuple[int, ...], m: int = 0, parts: Bits | None = None) -> DataFrame:
+    """(lang, phrase, a) of all phrases of ``sizes`` words whose phrases of m words are all in ``parts``.
+
+    With size 1 also one row of the empty phrase a language: its number of words.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(parts) if parts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "chunk", BATCH):
-            x = Words(b"".join(c + b" " for c in b.column(1).to_pylist()))
-            size = np.asarray(pa.compute.binary_length(b.column(1))).astype(np.int64) + 1
-            to = np.searchsorted(x.end, np.cumsum(size))
-            starts = np.concatenate([[0], to[:-1]])
-            lens = to - starts
+            x, lens = _words_of(b.column(1))
+            starts = np.cumsum(lens) - lens
             lang, names, hashes = _languages(b.column(0))
-            times = np.asarray(b.column(3))
-            # starts of phrases: all places of a last chunk, else those before the shared tokens; n words without an end
-            room = np.where(np.asarray(b.column(2).cast(pa.int8())) > 0, lens - n + 1, np.minimum(lens - n + 1, lens - SHARED))
-            room = np.maximum(room, 0)
-            at, own = ranges(starts, room), np.repeat(np.arange(len(lens)), room)
+            times, last = np.asarray(b.column(3)), np.asarray(b.column(2).cast(pa.int8())) > 0
+            one = x.hashes(0)
             word = (x.end - x.start > 1) | (x.buf[x.start] != _END[0])
-            good = word[at]
-            for i in range(1, n):
-                good &= word[at + i]
-            at, own = at[good], own[good]
-            for skip in (0, 1) if shared else ():
-                h = hashes[lang[own], 0]
-                for i in range(n - 1):
-                    h = _fold(h, x.lanes[0][at + skip + i])
-                good = shared.value.has(h)
+            whole = np.repeat(lang, lens)  # of each word its language, then whether a phrase of m words there may be frequent
+            if shared and len(word) >= m:
+                k = len(word) - m + 1
+                h = hashes[whole[:k], 0]
+                for i in range(m):
+                    h = _fold(h, one[i:k + i])
+                may = np.concatenate([shared.value.has(h), np.zeros(m - 1, bool)])
+            else:
+                may = np.ones(len(word), bool)
+            for n in sizes:
+                # starts: all places of a last chunk, else those before the shared tokens; n words without an end
+                room = np.maximum(np.where(last, lens - n + 1, np.minimum(lens - n + 1, lens - SHARED)), 0)
+                at, own = ranges(starts, room), np.repeat(np.arange(len(lens)), room)
+                good = word[at]
+                for i in range(1, n):
+                    good &= word[at + i]
+                for i in range(n - m + 1 if shared else 0):
+                    good &= may[at + i]
                 at, own = at[good], own[good]
-            if not len(at):
-                continue
-            h = [hashes[lang[own], k] for k in (0, 1)]
-            for i in range(n):
-                h = [_fold(h[k], x.lanes[k][at + i]) for k in (0, 1)]
-            o = np.argsort(h[0])
-            new = np.concatenate([[True], h[0][o][1:] != h[0][o][:-1]])
-            if (h[1][o][1:] != h[1][o][:-1])[~new[1:]].any():  # equal first hashes of different phrases
-                o = np.lexsort((h[1], h[0]))
-                new = np.concatenate([[True], (h[0][o][1:] != h[0][o][:-1]) | (h[1][o][1:] != h[1][o][:-1])])
-            first = np.flatnonzero(new)
-            a = np.add.reduceat(times[own][o], first)
-            o = o[first]
-            begin, length = x.start[at[o]], x.end[at[o] + n - 1] - x.start[at[o]]
-            phrase = pa.StringArray.from_buffers(
-                len(o), pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
-                pa.py_buffer(x.buf[ranges(begin, length)]))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[own[o]])), phrase, pa.array(a)], ["lang", "phrase", "a"])
-            if n == 1:
-                total = np.zeros(len(names), np.int64)
-                np.add.at(total, lang[own], times[own])
-                yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(total)], ["lang", "phrase", "a"])
+                if not len(at):
+                    continue
+                yield _counted(x, at, n, lang[own], names, hashes, times[own], one)
+                if n == 1:
+                    total = np.zeros(len(names), np.int64)
+                    np.add.at(total, lang[own], times[own])
+                    yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(total)],
+                                                     ["lang", "phrase", "a"])
 
     rows = chunks.select("lang", "chunk", "last", "times").mapInArrow(run, COUNTS)
     return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def frequent_phrases(docs: DataFrame, least: int, spacing: int, table_bits: int) -> list[DataFrame]:
-    """Materialized (lang, phrase, a) of 1, 2, 3 and 4 words with a >= least; the first also has the empty phrase of a language."""
+    """Materialized (lang, phrase, a) with a >= least: words and a language's empty phrase; of 2; of 3 and 4 words."""
     chunks = materialize(dictionary(docs, spacing), "phrase-chunks")
-    levels, parts = [], None
-    for n in range(1, LONGEST + 1):
-        level = count_phrases(chunks, n, parts).filter((F.col("a") >= least) | (F.col("phrase") == ""))
-        level = materialize(level, f"phrase-{n}", frees=(chunks,) if n == LONGEST else ())
-        levels.append(level)
-        if n < LONGEST:
-            parts = bits(level.filter("phrase <> ''"), table_bits)
+    levels: list[DataFrame] = []
+    for sizes, m in (((1,), 0), ((2,), 1), ((3, 4), 2)):
+        parts = bits(levels[-1].filter("phrase <> ''"), table_bits) if m else None
+        level = count_phrases(chunks, sizes, m, parts).filter((F.col("a") >= least) | (F.col("phrase") == ""))
+        levels.append(materialize(level, f"phrase-{sizes[0]}", frees=(chunks,) if LONGEST in sizes else ()))
     return levels
 
 
@@ -267,11 +299,11 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     """
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                     text_or_empty(F.col(text_col)).alias("text"))
-    one, *longer = frequent_phrases(d, least, spacing, table_bits)
+    one, two, longer = frequent_phrases(d, least, spacing, table_bits)
     words = one.filter("phrase = ''").select("lang", F.col("a").alias("n"))
-    cands = longer[0].unionByName(longer[1]).unionByName(longer[2]).withColumn("ws", F.split("phrase", " "))
+    cands = two.unionByName(longer).withColumn("ws", F.split("phrase", " "))
     cands = cands.withColumn("len", F.size("ws"))
-    parts = one.filter("phrase <> ''").unionByName(longer[0]).unionByName(longer[1])
+    parts = one.filter("phrase <> ''").unionByName(two).unionByName(longer)
 
     def joined(start, n):
         return F.concat_ws(" ", F.slice("ws", start, n))

@@ -85,7 +85,7 @@ def test_the_parse_is_prefix_free_and_whole():
 def test_large_counts_are_exact(spark, monkeypatch):
     """Products past 64 bits: counts of 9 * 10^17."""
     big = 9 * 10 ** 17
-    f = [[("q", "", 4 * big), ("q", "a", big), ("q", "b", big + 7)], [("q", "a b", big - 1)], [], []]
+    f = [[("q", "", 4 * big), ("q", "a", big), ("q", "b", big + 7)], [("q", "a b", big - 1)], []]
     frames = [spark.createDataFrame(rows, collocations.COUNTS) for rows in f]
     monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: frames)
     got = collocations.mine(spark.createDataFrame([("x", "q")], "text string, lang string")).collect()
