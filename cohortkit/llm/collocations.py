@@ -7,9 +7,10 @@
 3. Counts.  Phrases are counted inside distinct chunks, weighted by the chunks' frequencies.  A phrase belongs to the chunk
    in which it starts before the shared tokens, so overlaps are counted once.  A batch joins equal phrases by two 64-bit hashes
    before it sends their texts; the shuffle joins texts.
-4. Levels.  All parts of a phrase that occurs ``least`` times occur that often.  Frequent words, then frequent pairs set bits
-   in a table of fixed size; only pairs of words with their bits set are sent, then only phrases of 3 and 4 words whose pairs
-   all have theirs.  The table may let rare phrases through (they are counted and dropped), never hold back a frequent one.
+4. Levels.  All parts of a phrase that occurs ``least`` times occur that often.  Words, then pairs of words that may be
+   frequent, are counted by hash; hashes counted ``least`` times set bits in tables of fixed size.  The texts sent and counted are
+   those of words and pairs with their bit set, and of phrases of 3 and 4 words whose pairs all have it.  Hashes and tables may
+   let rare phrases through (which their exact count drops), never hold back a frequent one.
 5. Scores, containment and ranks are joins and windows over the frequent phrases; integers are exact (decimals of 38 digits).
 
 Defined cases: NULL text counts as empty and has no words; NULL lang is ``und``; repeated rows count each; an empty table gives no
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import ranges, text_batches, text_or_empty
-from cohortkit.session import materialize
+from cohortkit.session import materialize, shuffles_freed
 
 LONGEST = 4  # words of a phrase; chunks share one less
 SHARED = LONGEST - 1
@@ -164,21 +165,9 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.asarray(d.indices).astype(np.int64), names, np.stack(h) if h else np.zeros((0, 2), np.uint64)
 
 
-def bits(phrases: DataFrame, size: int) -> Bits:
-    """Bits of (lang, phrase) rows: distinct bit numbers are gathered to segments, and segments of known size to one table."""
-    segment = 19  # bits of a segment's bit numbers
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            phrases = [p.encode() for p in b.column(1).to_pylist()]
-            one = Words(np.frombuffer(b"".join(p + b" " for p in phrases), np.uint8)).hashes(0)
-            lens = np.fromiter((p.count(b" ") + 1 for p in phrases), np.int64, len(phrases))
-            lang, _, hashes = _languages(b.column(0))
-            h = hashes[lang, 0]
-            first = np.cumsum(lens) - lens
-            for i in range(int(lens.max(initial=0))):
-                h = np.where(lens > i, _fold(h, one[np.minimum(first + i, len(one) - 1)]), h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - size)).astype(np.int64))], ["bit"])
+def bits(hashes: DataFrame, size: int) -> Bits:
+    """Bits of rows (h): distinct bit numbers are gathered to segments, and segments of known size to one table."""
+    segment = min(size, 19)  # bits of a bit's number inside its segment
 
     def gather(t: pa.Table) -> pa.Table:
         at = np.asarray(t.column("bit"))
@@ -186,105 +175,132 @@ def bits(phrases: DataFrame, size: int) -> Bits:
         one[at & ((1 << segment) - 1)] = True
         return pa.table({"seg": pa.array(at[:1] >> segment), "part": pa.array([np.packbits(one, bitorder="little").tobytes()])})
 
-    rows = phrases.select("lang", "phrase").mapInArrow(number, "bit long").distinct()
+    rows = hashes.select(F.shiftrightunsigned("h", 64 - size).alias("bit")).distinct()
     parts = rows.withColumn("seg", F.shiftright("bit", segment)).groupBy("seg").applyInArrow(gather, "seg long, part binary")
-    table = bytearray(1 << max(size, segment) >> 3)
+    table = bytearray(1 << size >> 3)
     for r in parts.collect():  # at most 2^(size - segment) rows of 64 KB
         table[r["seg"] << segment - 3:(r["seg"] + 1) << segment - 3] = r["part"]
     return Bits(size, bytes(table))
 
 
-def _words_of(chunks: pa.Array) -> tuple[Words, np.ndarray]:
-    """The words of chunks, without a copy, and the number of each chunk's words."""
-    offsets = np.frombuffer(chunks.buffers()[1], np.int32, len(chunks) + 1, chunks.offset * 4)
-    data = chunks.buffers()[2]
-    x = Words((np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0]:offsets[-1]])
-    return x, np.diff(np.searchsorted(x.end, offsets - offsets[0]))
+class Chunks:
+    """A batch of the dictionary: words (read without a copy), first hashes, and each chunk's language and frequency."""
+
+    def __init__(self, b: pa.RecordBatch):
+        chunks = b.column(1)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32, len(chunks) + 1, chunks.offset * 4)
+        data = chunks.buffers()[2]
+        self.words = x = Words((np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0]:offsets[-1]])
+        self.lens = np.diff(np.searchsorted(x.end, offsets - offsets[0]))
+        self.lang, self.names, self.hashes = _languages(b.column(0))
+        self.last, self.times = np.asarray(b.column(2).cast(pa.int8())) > 0, np.asarray(b.column(3))
+        self.one = x.hashes(0)
+        self.word = (x.end - x.start > 1) | (x.buf[x.start] != _END[0])
+
+    def places(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and chunk of each phrase of n words: all places of a last chunk, else those before the shared tokens."""
+        lens = self.lens
+        room = np.maximum(np.where(self.last, lens - n + 1, np.minimum(lens - n + 1, lens - SHARED)), 0)
+        at, own = ranges(np.cumsum(lens) - lens, room), np.repeat(np.arange(len(lens)), room)
+        good = self.word[at]
+        for i in range(1, n):
+            good &= self.word[at + i]
+        return at[good], own[good]
+
+    def phrase_hashes(self, n: int) -> np.ndarray:
+        """The hash of the n words from each word on (0 where there are fewer in the batch), in its chunk's language."""
+        k = max(len(self.one) - n + 1, 0)
+        h = self.hashes[np.repeat(self.lang, self.lens)[:k], 0]
+        for i in range(n):
+            h = _fold(h, self.one[i:k + i])
+        return np.concatenate([h, np.zeros(len(self.one) - k, np.uint64)])
+
+
+def count_hashes(chunks: DataFrame, n: int, parts: Bits | None = None) -> DataFrame:
+    """(h, a): weights of the phrases of n words (whose words are all in ``parts``), summed by hash."""
+    shared = chunks.sparkSession.sparkContext.broadcast(parts) if parts else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, "chunk", BATCH):
+            c = Chunks(b)
+            at, own = c.places(n)
+            if shared:
+                may = shared.value.has(c.phrase_hashes(1))
+                good = may[at]
+                for i in range(1, n):
+                    good &= may[at + i]
+                at, own = at[good], own[good]
+            if len(at):
+                h = c.phrase_hashes(n)[at]
+                o = np.argsort(h)
+                first = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[o[first]].view(np.int64)), pa.array(np.add.reduceat(c.times[own][o], first))], ["h", "a"])
 
+    return chunks.select("lang", "chunk", "last", "times").mapInArrow(run, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
-def _counted(x: Words, at: np.ndarray, n: int, lang: np.ndarray, names: pa.Array, hashes: np.ndarray, times: np.ndarray,
-             first_lane: np.ndarray) -> pa.RecordBatch:
-    """Summed rows of the phrases of n words at ``at`` (language and weight of each): joined by two hashes each."""
+
+def _counted(c: Chunks, at: np.ndarray, own: np.ndarray, n: int, first_hash: np.ndarray) -> pa.RecordBatch:
+    """Summed rows of the phrases of n words at ``at``, in chunks ``own``: joined by two hashes each."""
+    x, lang = c.words, c.lang[own]
     used, where = np.unique(at[:, None] + np.arange(n), return_inverse=True)
     where = where.reshape(len(at), n)
-    if len(used) < len(x.end):  # the second hash of those words alone
-        size = x.end[used] + 1 - x.start[used]
-        second = Words(x.buf[ranges(x.start[used], size)]).hashes(1)
-    else:
-        second = x.hashes(1)
-    p, q = hashes[lang, 0], hashes[lang, 1]
+    second = Words(x.buf[ranges(x.start[used], x.end[used] + 1 - x.start[used])]).hashes(1)
+    p, q = first_hash[at], c.hashes[lang, 1]
     for i in range(n):
-        p, q = _fold(p, first_lane[at + i]), _fold(q, second[where[:, i]])
+        q = _fold(q, second[where[:, i]])
     o = np.argsort(p)
     new = np.concatenate([[True], p[o][1:] != p[o][:-1]])
     if (q[o][1:] != q[o][:-1])[~new[1:]].any():  # equal first hashes of different phrases
         o = np.lexsort((q, p))
         new = np.concatenate([[True], (p[o][1:] != p[o][:-1]) | (q[o][1:] != q[o][:-1])])
     first = np.flatnonzero(new)
-    a = np.add.reduceat(times[o], first)
+    a = np.add.reduceat(c.times[own][o], first)
     o = o[first]
     begin, length = x.start[at[o]], x.end[at[o] + n - 1] - x.start[at[o]]
     phrase = pa.StringArray.from_buffers(len(o), pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
                                          pa.py_buffer(x.buf[ranges(begin, length)]))
-    return pa.RecordBatch.from_arrays([names.take(pa.array(lang[o])), phrase, pa.array(a)], ["lang", "phrase", "a"])
+    return pa.RecordBatch.from_arrays([c.names.take(pa.array(lang[o])), phrase, pa.array(a)], ["lang", "phrase", "a"])
 
 
-def count_phrases(chunks: DataFrame, sizes: tuple[int, ...], m: int = 0, parts: Bits | None = None) -> DataFrame:
-    """(lang, phrase, a) of all phrases of ``sizes`` words whose phrases of m words are all in ``parts``.
+def count_phrases(chunks: DataFrame, words: Bits, pairs: Bits) -> DataFrame:
+    """(lang, phrase, a) of the words in ``words`` and the phrases of 2 to 4 words whose pairs are all in ``pairs``.
 
-    With size 1 also one row of the empty phrase a language: its number of words.
+    The empty phrase's row of a language is its number of words.
     """
-    shared = chunks.sparkSession.sparkContext.broadcast(parts) if parts else None
+    shared = chunks.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
         for b in text_batches(batches, "chunk", BATCH):
-            x, lens = _words_of(b.column(1))
-            starts = np.cumsum(lens) - lens
-            lang, names, hashes = _languages(b.column(0))
-            times, last = np.asarray(b.column(3)), np.asarray(b.column(2).cast(pa.int8())) > 0
-            one = x.hashes(0)
-            word = (x.end - x.start > 1) | (x.buf[x.start] != _END[0])
-            whole = np.repeat(lang, lens)  # of each word its language, then whether a phrase of m words there may be frequent
-            if shared and len(word) >= m:
-                k = len(word) - m + 1
-                h = hashes[whole[:k], 0]
-                for i in range(m):
-                    h = _fold(h, one[i:k + i])
-                may = np.concatenate([shared.value.has(h), np.zeros(m - 1, bool)])
-            else:
-                may = np.ones(len(word), bool)
-            for n in sizes:
-                # starts: all places of a last chunk, else those before the shared tokens; n words without an end
-                room = np.maximum(np.where(last, lens - n + 1, np.minimum(lens - n + 1, lens - SHARED)), 0)
-                at, own = ranges(starts, room), np.repeat(np.arange(len(lens)), room)
-                good = word[at]
-                for i in range(1, n):
-                    good &= word[at + i]
-                for i in range(n - m + 1 if shared else 0):
-                    good &= may[at + i]
-                at, own = at[good], own[good]
-                if not len(at):
-                    continue
-                yield _counted(x, at, n, lang[own], names, hashes, times[own], one)
+            c = Chunks(b)
+            for n in range(1, LONGEST + 1):
+                at, own = c.places(n)
                 if n == 1:
-                    total = np.zeros(len(names), np.int64)
-                    np.add.at(total, lang[own], times[own])
-                    yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(total)],
-                                                     ["lang", "phrase", "a"])
+                    total = np.zeros(len(c.names), np.int64)
+                    np.add.at(total, c.lang[own], c.times[own])
+                    yield pa.RecordBatch.from_arrays([c.names, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "a"])
+                h = c.phrase_hashes(n)
+                if n < 3:
+                    may = (words, pairs)[n - 1].has(h)
+                good = may[at]
+                for i in range(1, n - 1):
+                    good &= may[at + i]
+                if good.any():
+                    yield _counted(c, at[good], own[good], n, h)
 
     rows = chunks.select("lang", "chunk", "last", "times").mapInArrow(run, COUNTS)
     return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def frequent_phrases(docs: DataFrame, least: int, spacing: int, table_bits: int) -> list[DataFrame]:
-    """Materialized (lang, phrase, a) with a >= least: words and a language's empty phrase; of 2; of 3 and 4 words."""
+def frequent_phrases(docs: DataFrame, least: int, spacing: int, table_bits: int) -> DataFrame:
+    """Materialized (lang, phrase, a) of 1 to 4 words with a >= least, and of the empty phrase (all words) a language."""
     chunks = materialize(dictionary(docs, spacing), "phrase-chunks")
-    levels: list[DataFrame] = []
-    for sizes, m in (((1,), 0), ((2,), 1), ((3, 4), 2)):
-        parts = bits(levels[-1].filter("phrase <> ''"), table_bits) if m else None
-        level = count_phrases(chunks, sizes, m, parts).filter((F.col("a") >= least) | (F.col("phrase") == ""))
-        levels.append(materialize(level, f"phrase-{sizes[0]}", frees=(chunks,) if LONGEST in sizes else ()))
-    return levels
+    often = F.col("a") >= least
+    with shuffles_freed(docs.sparkSession):
+        words = bits(count_hashes(chunks, 1).filter(often), table_bits)
+        pairs = bits(count_hashes(chunks, 2, words).filter(often), table_bits)
+    return materialize(count_phrases(chunks, words, pairs).filter(often | (F.col("phrase") == "")), "phrases", frees=(chunks,))
 
 
 def _exact(c: str):
@@ -299,11 +315,10 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     """
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                     text_or_empty(F.col(text_col)).alias("text"))
-    one, two, longer = frequent_phrases(d, least, spacing, table_bits)
-    words = one.filter("phrase = ''").select("lang", F.col("a").alias("n"))
-    cands = two.unionByName(longer).withColumn("ws", F.split("phrase", " "))
-    cands = cands.withColumn("len", F.size("ws"))
-    parts = one.filter("phrase <> ''").unionByName(two).unionByName(longer)
+    parts = frequent_phrases(d, least, spacing, table_bits)
+    words = parts.filter("phrase = ''").select("lang", F.col("a").alias("n"))
+    cands = parts.withColumn("ws", F.split("phrase", " "))
+    cands = cands.withColumn("len", F.size("ws")).filter("len > 1")
 
     def joined(start, n):
         return F.concat_ws(" ", F.slice("ws", start, n))
