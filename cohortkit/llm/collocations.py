@@ -7,10 +7,10 @@
 3. Counts.  Phrases are counted inside distinct chunks, weighted by the chunks' frequencies.  A phrase belongs to the chunk
    in which it starts before the shared tokens, so overlaps are counted once.  A batch joins equal phrases by two 64-bit hashes
    before it sends their texts; the shuffle joins texts.
-4. Levels.  All parts of a phrase that occurs ``least`` times occur that often.  Words, then pairs of words that may be
-   frequent, are counted by hash; hashes counted ``least`` times set bits in tables of fixed size.  The texts sent and counted are
-   those of words and pairs with their bit set, and of phrases of 3 and 4 words whose pairs all have it.  Hashes and tables may
-   let rare phrases through (which their exact count drops), never hold back a frequent one.
+4. Levels.  All parts of a phrase that occurs ``least`` times occur that often.  Words, then pairs of such words, then phrases of
+   3 and 4 words made of such pairs are counted by hash; hashes counted ``least`` times set bits in tables of fixed size.  Only texts
+   of phrases with their bit set are sent and counted.  Hashes and tables may let rare phrases through (which their exact
+   count drops), never hold back a frequent one.
 5. Scores, containment and ranks are joins and windows over the frequent phrases; integers are exact (decimals of 38 digits).
 
 Defined cases: NULL text counts as empty and has no words; NULL lang is ``und``; repeated rows count each; an empty table gives no
@@ -216,26 +216,27 @@ class Chunks:
         return np.concatenate([h, np.zeros(len(self.one) - k, np.uint64)])
 
 
-def count_hashes(chunks: DataFrame, n: int, parts: Bits | None = None) -> DataFrame:
-    """(h, a): weights of the phrases of n words (whose words are all in ``parts``), summed by hash."""
+def count_hashes(chunks: DataFrame, sizes: tuple[int, ...], m: int = 0, parts: Bits | None = None) -> DataFrame:
+    """(h, a): weights, summed by hash, of the phrases of ``sizes`` words whose phrases of m words are all in ``parts``."""
     shared = chunks.sparkSession.sparkContext.broadcast(parts) if parts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "chunk", BATCH):
             c = Chunks(b)
-            at, own = c.places(n)
-            if shared:
-                may = shared.value.has(c.phrase_hashes(1))
-                good = may[at]
-                for i in range(1, n):
-                    good &= may[at + i]
-                at, own = at[good], own[good]
-            if len(at):
-                h = c.phrase_hashes(n)[at]
-                o = np.argsort(h)
-                first = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[o[first]].view(np.int64)), pa.array(np.add.reduceat(c.times[own][o], first))], ["h", "a"])
+            may = shared.value.has(c.phrase_hashes(m)) if shared else None
+            for n in sizes:
+                at, own = c.places(n)
+                if shared:
+                    good = may[at]
+                    for i in range(1, n - m + 1):
+                        good &= may[at + i]
+                    at, own = at[good], own[good]
+                if len(at):
+                    h = c.phrase_hashes(n)[at]
+                    o = np.argsort(h)
+                    first = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[o[first]].view(np.int64)), pa.array(np.add.reduceat(c.times[own][o], first))], ["h", "a"])
 
     return chunks.select("lang", "chunk", "last", "times").mapInArrow(run, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
@@ -263,15 +264,15 @@ def _counted(c: Chunks, at: np.ndarray, own: np.ndarray, n: int, first_hash: np.
     return pa.RecordBatch.from_arrays([c.names.take(pa.array(lang[o])), phrase, pa.array(a)], ["lang", "phrase", "a"])
 
 
-def count_phrases(chunks: DataFrame, words: Bits, pairs: Bits) -> DataFrame:
-    """(lang, phrase, a) of the words in ``words`` and the phrases of 2 to 4 words whose pairs are all in ``pairs``.
+def count_phrases(chunks: DataFrame, tables: list[Bits]) -> DataFrame:
+    """(lang, phrase, a) of the words in the first table, the pairs in the second, the phrases of 3 and 4 words in the third.
 
     The empty phrase's row of a language is its number of words.
     """
-    shared = chunks.sparkSession.sparkContext.broadcast((words, pairs))
+    shared = chunks.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
+        tables = shared.value
         for b in text_batches(batches, "chunk", BATCH):
             c = Chunks(b)
             for n in range(1, LONGEST + 1):
@@ -281,11 +282,7 @@ def count_phrases(chunks: DataFrame, words: Bits, pairs: Bits) -> DataFrame:
                     np.add.at(total, c.lang[own], c.times[own])
                     yield pa.RecordBatch.from_arrays([c.names, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "a"])
                 h = c.phrase_hashes(n)
-                if n < 3:
-                    may = (words, pairs)[n - 1].has(h)
-                good = may[at]
-                for i in range(1, n - 1):
-                    good &= may[at + i]
+                good = tables[min(n, 3) - 1].has(h)[at]
                 if good.any():
                     yield _counted(c, at[good], own[good], n, h)
 
@@ -297,10 +294,11 @@ def frequent_phrases(docs: DataFrame, least: int, spacing: int, table_bits: int)
     """Materialized (lang, phrase, a) of 1 to 4 words with a >= least, and of the empty phrase (all words) a language."""
     chunks = materialize(dictionary(docs, spacing), "phrase-chunks")
     often = F.col("a") >= least
+    tables: list[Bits] = []
     with shuffles_freed(docs.sparkSession):
-        words = bits(count_hashes(chunks, 1).filter(often), table_bits)
-        pairs = bits(count_hashes(chunks, 2, words).filter(often), table_bits)
-    return materialize(count_phrases(chunks, words, pairs).filter(often | (F.col("phrase") == "")), "phrases", frees=(chunks,))
+        for sizes, m in (((1,), 0), ((2,), 1), ((3, 4), 2)):
+            tables.append(bits(count_hashes(chunks, sizes, m, tables[-1] if tables else None).filter(often), table_bits))
+    return materialize(count_phrases(chunks, tables).filter(often | (F.col("phrase") == "")), "phrases", frees=(chunks,))
 
 
 def _exact(c: str):
