@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortkit.llm.common import text_batches, text_or_empty
-from cohortkit.session import materialize
+from cohortkit.session import materialize, release
 
 GRAM = 48
 _MASK = (1 << 64) - 1
@@ -389,7 +390,7 @@ def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000
                    block_bytes: int = 1 << 20, unique: bool = False) -> DataFrame:
     """(id, th, a, b): spans whose bytes go, of texts keyed by (id, th); spans may overlap.  unique: no key repeats."""
     read = materialize(settled(anchor_rows(keyed, length)), "sa-segments")
-    found = _spans(read.filter("h is null"), F.col("pos"), F.col("b"))
+    found = [materialize(_spans(read.filter("h is null"), F.col("pos"), F.col("b")), "sa-settled")]
     segments = read.filter("h is not null")
     mixed = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("h")
     reps = segments.select("h", "n", "id", "th", "pos", "l", "r").join(mixed, "h")
@@ -404,24 +405,25 @@ def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000
         F.lit(0).cast("long").alias("s"), F.col("u.n").alias("n"), "id", "th", (F.col("u.pos") - F.col("u.l")).alias("pos"),
         (-F.col("u.l")).cast("long").alias("lo"),
         F.expr(f"substring(bytes, int(u.pos - u.l + 1), int(u.l + {GRAM} + u.r))").alias("seg"))
+    stage = units = materialize(units, "sa-units", frees=(read,))
     whole = True  # every group of whole segments has two or more, of their parts not
     while True:
-        units = materialize(units, "sa-units")
         sizes = units.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("d"))
         # written: few and narrow, so the engine sees the size and need not shuffle the segments for this join
         large = materialize(sizes.filter((F.col("d") > max_segments) & (F.col("glo") < F.col("ghi"))).drop("d"), "sa-large")
         small = units.join(large, GROUP, "left_anti") if whole else units.join(
             sizes.filter(F.col("d").between(2, max_segments)).drop("d"), GROUP, "left_semi")
-        found = found.unionByName(materialize(block_spans(small, length, block_bytes), "sa-spans"))
+        found.append(materialize(block_spans(small, length, block_bytes), "sa-spans"))
         whole = False
         if large.isEmpty():
-            return found
-        parts = materialize(divide(units.join(large, GROUP, "left_semi"), length), "sa-parts")
+            release(stage, large)
+            return reduce(DataFrame.unionByName, found)
+        parts = materialize(divide(units.join(large, GROUP, "left_semi"), length), "sa-parts", frees=(stage, large))
         same = parts.groupBy(*GROUP, "s").agg(F.sum("n").alias("m"), F.first(F.struct("id", "th", "pos", "lo", "seg")).alias("u"))
         same = materialize(same, "sa-same")
         twice = parts.filter("n = 1").join(same.filter("m > 1").select(*GROUP, "s"), [*GROUP, "s"], "left_semi")
-        found = found.unionByName(_spans(twice, F.col("pos"), F.col("pos") + F.length("seg")))
-        units = same.select(*GROUP, "s", F.col("m").alias("n"), "u.*")
+        found.append(materialize(_spans(twice, F.col("pos"), F.col("pos") + F.length("seg")), "sa-spans", frees=(parts,)))
+        stage, units = same, same.select(*GROUP, "s", F.col("m").alias("n"), "u.*")
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
