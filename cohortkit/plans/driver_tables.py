@@ -454,8 +454,8 @@ def q_split_importance(spark, d):
 
     t = _cohort_with_keys(spark, d)
     feats = _feature_cols(t)
-    model = develop(t, feats, ["row_key"], horizons=(30,))["models"][30]
-    return MD.split_count_importance(model, feats, k=30)
+    res = develop(t, feats, ["row_key"], horizons=(30,))
+    return MD.split_count_importance(res["models"][30], [f for f in feats if f not in res["dropped"]], k=30)
 
 
 def q_cox_cohort_study(spark, d):

@@ -24,12 +24,13 @@ def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str],
             horizons: Sequence[int] = HORIZONS, label: str = "cdiff_{h}d_flag",
             grid: Mapping[str, Sequence] = MD.REFERENCE_GRID, folds: int = 4, test_frac: float = 0.2,
             seed: int = 0, impute: str = "features", impute_before_split: bool = True,
-            refit_weighted: bool = False, parallelism: int = 4) -> dict:
+            refit_weighted: bool = False, parallelism: int | None = None) -> dict:
     """Tune, refit and score one boosted-tree model per horizon.
 
     Returns {"scored": long (horizon, label, score, prediction) frame of the
     test rows, "best": {horizon: params}, "models": {horizon: model},
-    "metrics": grouped metric frames}.
+    "metrics": grouped metric frames, "dropped": features without any value
+    in the rows that medians are taken from, which no model uses}.
     ``impute='features'`` fills only feature columns (recommended); ``'all'``
     fills every numeric column as the reference does.
     """
@@ -38,19 +39,18 @@ def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str],
     num_cols = feats if impute == "features" else [c for c, t in table.dtypes if t in ("double", "int", "bigint")
                                                    and c not in key_cols]
     t = PR.split_exact(materialize(PR.normalise_missing(table), "cohort"), key_cols, test_frac, seed=seed)
-    if impute_before_split:
-        t = PR.impute_median(t, num_cols)
-    else:
-        med = PR.median_values(t.filter("is_test = 0"), num_cols)
-        t = PR.impute_median(t, num_cols, medians=med)
+    med = PR.median_values(t if impute_before_split else t.filter("is_test = 0"), num_cols)
+    t = PR.impute_median(t, num_cols, medians=med)
+    dropped = [c for c in feats if c in med and med[c] is None]
+    feats = [c for c in feats if c not in dropped]
     t = materialize(PR.assemble(t, feats), "modelling-input")  # reused by every fit below
     train, test = t.filter("is_test = 0"), t.filter("is_test = 1")
     scored, best, models = [], {}, {}
     for h, y in zip(horizons, labels):
         tr = PR.stratified_folds(PR.class_weights(train, y), key_cols, y, k=folds, seed=seed)
-        cv = MD.grid_search(tr, y, grid, "fold", weight="weight", seed=seed, parallelism=parallelism,
-                            num_folds=folds)
-        best[h] = MD.best_params(cv)
+        points = MD.grid_search(tr, y, grid, "fold", weight="weight", seed=seed, parallelism=parallelism,
+                                num_folds=folds)
+        best[h] = MD.best_params(points)
         models[h] = MD.refit(tr, y, best[h], weight="weight", refit_weighted=refit_weighted, seed=seed)
         p = MD.predict(models[h], test)
         scored.append(p.select(F.lit(f"{h}d").alias("horizon"), F.col(y).cast("int").alias("label"),
@@ -58,7 +58,8 @@ def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str],
     long = scored[0]
     for s in scored[1:]:
         long = long.unionByName(s)
-    return {"scored": long, "best": best, "models": models, "metrics": MD.evaluate_horizons(long)}
+    return {"scored": long, "best": best, "models": models, "metrics": MD.evaluate_horizons(long),
+            "dropped": dropped}
 
 
 SURVIVAL_EXTRA = ("admin_time_since_admission", "admission_time_of_day", "age_at_admin")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -63,15 +64,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_freeing: list[str] = []  # the setting before, once for each thread inside
+_lock = threading.Lock()
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession):
-    """Inside, a query's shuffle files go when the query ends, not when the driver collects its garbage."""
-    old = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    """Inside, a query's shuffle files go when the query ends, not when the driver collects its garbage.
+
+    Threads may be inside together; the setting returns when the last one leaves.
+    """
+    with _lock:
+        _freeing.append(_freeing[0] if _freeing else spark.conf.get(SHUFFLE_CLEANUP, "false"))
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, old)
+        with _lock:
+            old = _freeing.pop()
+            if not _freeing:
+                spark.conf.set(SHUFFLE_CLEANUP, old)
 
 
 def materialize(df: DataFrame, name: str | None = None, frees: tuple[DataFrame, ...] = ()) -> DataFrame:

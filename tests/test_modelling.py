@@ -26,7 +26,18 @@ def test_develop_two_horizons(spark):
     auc = {r["horizon"]: r["roc_auc"] for r in res["metrics"]["roc_auc"].collect()}
     assert set(auc) == {"2d", "30d"} and min(auc.values()) > 0.75
     assert res["scored"].count() == 2 * 48  # ceil(0.2 * 240) test rows per horizon
-    assert set(res["best"]) == {2, 30}
+    assert set(res["best"]) == {2, 30} and res["dropped"] == []
+
+
+def test_a_feature_without_values_is_dropped_and_named(spark):
+    from pyspark.sql import functions as F
+
+    t = cohort(spark, n=120).withColumn("max_lab", F.lit(None).cast("double")).withColumn("min_lab", F.lit(float("nan")))
+    for before in (True, False):
+        res = develop(t, ["max_lab", "mean_lab", "min_lab"], ["antibiotic_key"], horizons=(30,),
+                      grid={"maxIter": [2, 3], "maxDepth": [2]}, folds=2, impute_before_split=before)
+        assert res["dropped"] == ["max_lab", "min_lab"] and res["models"][30].numFeatures == 1
+        assert res["metrics"]["roc_auc"].first()["roc_auc"] > 0.7
 
 
 def brute_cindex(t, e, s):

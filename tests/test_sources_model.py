@@ -63,8 +63,9 @@ def test_boosted_fit_grid_refit_predict_importance(spark, tmp_path):
 
     df = _separable(spark)
     f = PR.stratified_folds(PR.class_weights(df, "y"), ["id"], "y", k=2, seed=0)
-    cv = MD.grid_search(f, "y", {"maxIter": [3, 6], "maxDepth": [2]}, "fold", weight="weight", parallelism=2)
-    best = MD.best_params(cv)
+    points = MD.grid_search(f, "y", {"maxIter": [3, 6], "maxDepth": [2]}, "fold", weight="weight", parallelism=2)
+    best = MD.best_params(points)
+    assert [p["maxIter"] for p in points] == [3, 6] and best["score"] == max(p["score"] for p in points)
     assert best["maxIter"] in (3, 6) and 0.5 < best["score"] <= 1.0
     m = MD.refit(f, "y", best)
     scored = MD.predict(m, df)
@@ -83,6 +84,33 @@ def test_boosted_fit_grid_refit_predict_importance(spark, tmp_path):
     assert ev["roc_auc"].count() == 2 and ev["report"].count() == 10
 
 
+def test_stages_of_a_chain_equal_separate_fits(spark):
+    """Scores after n trees of a long fit, and the grid's AUCs, are those of fits of n trees."""
+    from cohortkit.operators.metrics import roc_auc
+
+    rng = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame(rng.normal(size=(n, 3)), columns=["a", "b", "c"]).assign(id=range(n))
+    pdf["y"] = (pdf.a + pdf.b * pdf.c + rng.normal(size=n) > 0).astype(int)
+    df = PR.assemble(spark.createDataFrame(pdf), ["a", "b", "c"])
+    f = PR.stratified_folds(PR.class_weights(df, "y"), ["id"], "y", k=2, seed=0).cache()
+    stages = [2, 5, 9]
+    for depth, step in ((2, 0.1), (4, 0.2)):
+        chain = MD.fit_boosted(f, "y", weight="weight", maxIter=9, maxDepth=depth, stepSize=step)
+        got = MD.staged_scores(chain, f, stages).orderBy("id").toPandas()
+        for k in stages:
+            alone = MD.predict(MD.fit_boosted(f, "y", weight="weight", maxIter=k, maxDepth=depth, stepSize=step), f)
+            assert np.abs(alone.orderBy("id").toPandas()["score"] - got[f"score_{k}"]).max() < 1e-12
+    points = MD.grid_search(f, "y", {"maxIter": stages, "maxDepth": [2, 4]}, "fold", weight="weight")
+    assert [(p["maxDepth"], p["maxIter"]) for p in points] == [(d, k) for d in (2, 4) for k in stages]
+    for p in points:
+        aucs = []
+        for fold in (0, 1):
+            m = MD.fit_boosted(f.filter(f["fold"] != fold), "y", weight="weight", maxIter=p["maxIter"], maxDepth=p["maxDepth"])
+            aucs.append(roc_auc(MD.predict(m, f.filter(f["fold"] == fold)), "y", "score").first()[0])
+        assert abs(p["score"] - np.mean(aucs)) < 1e-9
+
+
 def test_histogram_and_kde(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=2000)
