@@ -4,13 +4,12 @@ A window ordered over a whole table (or a few huge groups) runs in one task.
 Instead:
 
 1. the caller pre-aggregates to one row per (group, distinct key);
-2. the key range is cut into ``n_chunks`` buckets at approximate quantiles (a
-   bounded list of split points, computed once);
-3. per (group, bucket) totals — a bounded table — are prefix-summed;
-4. running sums inside each (group, bucket) use a window partitioned by
-   (group, bucket), and the bucket offset is added.
+2. rows are range-partitioned by (group, key) into as many chunks as the number of rows asks for (``ordered.positions``), or cut at
+   split points that the caller reuses;
+3. (group, chunk) totals are prefix-summed in blocks, and blocks of blocks (``ordered.totals_before``);
+4. running sums inside each (group, chunk) use a window partitioned by (group, chunk), and the chunk's offset is added.
 
-Results are exact; the quantiles only balance the buckets.
+Results are exact; the ranges only balance the chunks.
 """
 
 from __future__ import annotations
@@ -62,29 +61,25 @@ def running_sums(df: DataFrame, key: str, cols: Sequence[str], descending: bool
     ``df`` must hold one row per (group, key).  ``descending`` sums from the
     largest key down (suffix sums, e.g. numbers at risk).
     """
+    from cohortkit.operators.ordered import positions, totals_before
+
     cols = list(cols)
     parts = list(partition_by)
-    spark = df.sparkSession
     if n_chunks is None and splits is None:
-        # ~keys_per_chunk keys per bucket, at most one bucket per shuffle partition
-        cap = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        n_chunks = max(1, min(cap, -(-df.count() // keys_per_chunk)))
+        n_chunks = max(1, -(-df.count() // keys_per_chunk))
     k = F.col(key).cast("double")
     base = df.withColumn("_k", -k if descending else k)
-    if splits is None:
-        splits = _splits(base, "_k", n_chunks)
-    elif descending:
-        splits = sorted(-x for x in splits)
-    b = bucketize(base, "_k", splits, "_b")
-    tot = b.groupBy(*parts, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wt = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*parts, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
-                                      for c in cols])
-    # without groups the offsets table has at most len(splits) rows: broadcast;
-    # with groups its size is (groups x buckets), left to AQE's runtime size check
-    offs_j = offs if parts else F.broadcast(offs)
+    if splits is None and n_chunks > 1:
+        b = positions(base, [*parts, F.asc_nulls_last("_k")], n_chunks, "_at", "_b").drop("_at")
+    else:
+        cuts = [float("-inf"), float("inf")] if splits is None else sorted(-x for x in splits) if descending else splits
+        b = bucketize(base, "_k", cuts, "_b")
+    tot = b.groupBy(*parts, "_b").agg(*[F.sum(c).alias(c) for c in cols])
+    offs = totals_before(tot, "_b", cols, parts, prefix="_o_")
+    # with given splits and no groups the offsets have at most len(splits) rows; else their size is left to AQE's check
+    offs_j = F.broadcast(offs) if splits is not None and not parts else offs
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    wi = Window.partitionBy(*parts, "_b").orderBy("_k").rowsBetween(*frame)
+    wi = Window.partitionBy(*parts, "_b").orderBy(F.asc_nulls_last("_k")).rowsBetween(*frame)
     out = null_safe_join(b, offs_j, [*parts, "_b"])
     out = out.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))
                            for c in cols})

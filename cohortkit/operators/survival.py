@@ -6,15 +6,19 @@ All three reduce to aggregates over distinct times plus running sums over time
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortkit.operators.ordered import positions, totals_before
 from cohortkit.operators.prefix import bucketize, key_splits, running_sums
+from cohortkit.session import release
 
 Z_95 = 1.959963984540054  # two-sided 95 % normal quantile
 
@@ -70,173 +74,107 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: Sequence[str] = ()
 
 
 # ----------------------------------------------------------- concordance index
-def _fenwick_add(tree, i, v):
-    n = len(tree) - 1
-    while i <= n:
-        tree[i] += v
-        i += i & -i
-
-
-def _fenwick_sum(tree, i):
-    s = 0
-    while i > 0:
-        s += tree[i]
-        i -= i & -i
-    return s
-
-
-def _sweep_time_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One time chunk, rows = distinct (time, score) with counts.  Sweeping time
-    downwards, for the events of each time: partners later in this chunk with a
-    lower / equal score, all partners later in this chunk, and censored partners
-    at the same time with a lower / equal score."""
-    pdf = pdf.sort_values(["_t", "_s"], ascending=[False, True], ignore_index=True)
-    svals = np.unique(pdf["_s"].to_numpy())
-    rank = np.searchsorted(svals, pdf["_s"].to_numpy()) + 1
-    tree = [0] * (len(svals) + 1)
-    t = pdf["_t"].to_numpy()
-    cnt = pdf["_cnt"].to_numpy().astype(np.int64)
-    ev = pdf["_ev"].to_numpy().astype(np.int64)
-    cen = pdf["_cen"].to_numpy().astype(np.int64)
-    lower = equal = later = cen_lower = cen_equal = 0
-    inserted = 0
-    i, n = 0, len(pdf)
-    while i < n:
-        j = i
-        while j < n and t[j] == t[i]:
-            j += 1
-        cen_tot = int(cen[i:j].sum())
-        cen_before = 0  # censored at this time with a lower score (rows sorted by score)
-        for r in range(i, j):
-            if ev[r]:
-                e = int(ev[r])
-                below = _fenwick_sum(tree, int(rank[r]) - 1)
-                lower += e * below
-                equal += e * (_fenwick_sum(tree, int(rank[r])) - below)
-                later += e * (inserted + cen_tot)
-                cen_lower += e * cen_before
-                cen_equal += e * int(cen[r])
-            cen_before += int(cen[r])
-        for r in range(i, j):
-            _fenwick_add(tree, int(rank[r]), int(cnt[r]))
-            inserted += int(cnt[r])
-        i = j
-    return pd.DataFrame({"lower": [float(lower)], "equal": [float(equal)], "later": [float(later)],
-                         "cen_lower": [float(cen_lower)], "cen_equal": [float(cen_equal)]})
-
-
-def _sweep_score_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One score bucket: for each event, partners in later time chunks with a lower
-    score (strict) or the same score."""
-    pdf = pdf.sort_values(["_s", "_tb"], ignore_index=True)
-    nch = int(pdf["_nch"].iloc[0])
-    tree = [0] * (nch + 1)
-    inserted = 0
-    lower = equal = 0
-    s = pdf["_s"].to_numpy()
-    tb = pdf["_tb"].to_numpy().astype(int)
-    cnt = pdf["_cnt"].to_numpy().astype(np.int64)
-    ev = pdf["_ev"].to_numpy().astype(np.int64)
-    i, n = 0, len(pdf)
-    while i < n:
-        j = i
-        while j < n and s[j] == s[i]:
-            j += 1
-        # same score: rows of this score group in later chunks (group sorted by chunk)
-        grp_tb = tb[i:j]
-        grp_cnt = cnt[i:j]
-        suffix = np.cumsum(grp_cnt[::-1])[::-1]
-        for r in range(i, j):
-            if ev[r]:
-                e = int(ev[r])
-                lower += e * (inserted - _fenwick_sum(tree, tb[r] + 1))
-                k = int(np.searchsorted(grp_tb, tb[r], side="right"))
-                equal += e * (int(suffix[k]) if k < len(suffix) else 0)
-        for r in range(i, j):
-            _fenwick_add(tree, tb[r] + 1, int(cnt[r]))
-            inserted += int(cnt[r])
-        i = j
-    return pd.DataFrame({"lower": [float(lower)], "equal": [float(equal)]})
+def _inversions(order: np.ndarray, key: np.ndarray, n: np.ndarray, ev: np.ndarray) -> float:
+    """Sum over i of ev_i times the n_j of all j that come before i in ``order`` and have a larger ``key``.
+
+    Halves of blocks of doubling width: at each width an element of a right half meets the left half of its block, sorted by key.
+    """
+    o = np.argsort(order, kind="stable")
+    rank = np.unique(key, return_inverse=True)[1][o].astype(np.int64)
+    n, ev = n[o], ev[o]
+    at, ranks = np.arange(len(o)), int(rank.max(initial=0)) + 1
+    total, width = 0.0, 1
+    while width < len(o):
+        left = at // width % 2 == 0
+        block = at // (2 * width)
+        # larger keys first; of equal keys the right half's, which count no equal ones
+        x = np.argsort(block * (2 * ranks) + (ranks - 1 - rank) * 2 + left)
+        seen = np.cumsum(np.where(left[x], n[x], 0))
+        start = np.searchsorted(block[x], block[x])
+        before = np.concatenate([[0], seen])[start]
+        right = ~left[x]
+        total += float((ev[x][right].astype(float) * (seen - before)[right]).sum())
+        width *= 2
+    return total
+
+
+def _sweep(name: str, key: str):
+    """applyInPandas body: ``_inversions`` of one chunk's rows, ordered by score and compared by ``key``."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [pdf[c].to_numpy().astype(np.int64) for c in ("_q", key, "_n", "_ev")]
+        return pd.DataFrame({"what": [name], "v": [_inversions(*cols)]})
+
+    return run
 
 
 def concordance_index(df: DataFrame, time: str, event: str, score: str,
-                      n_chunks: int | None = None) -> DataFrame:
+                      n_chunks: int | None = None, chunk_rows: int = 50_000) -> DataFrame:
     """Harrell's C for right-censored data (higher score = earlier event).
 
     A pair (i, j) is comparable when i is an event and T_j > T_i, or T_j == T_i
     with j censored; concordant when S_i > S_j, a score tie counts one half.
     One row: cindex, concordant, discordant, tied_risk, comparable.
 
-    Nothing forms pairs.  Rows are reduced to distinct (time, score) counts and
-    laid on a (time chunk x score bucket) grid at approximate quantiles:
+    Nothing forms pairs.  Rows are reduced to distinct (time, censored, score) with counts and get two unique positions: in
+    order of (time, censored, score), and in order of (score, first position).  A pair is concordant exactly if the partner's first
+    position is higher and its second lower, so ties need no care, and one time or score may span any number of chunks.
+    With chunks of both orders (at most as many cells as rows) the dominance counts are
+
+    * partners in later chunks of the first order and earlier chunks of the second: prefix sums of the grid of counts,
+      along both axes, by windows;
+    * partners in the same chunk of the first order, and partners in the same chunk of the second but later
+      chunks of the first: inversions of one chunk at a time.
 
-    * partners in later chunks and lower buckets: cumulative sums of the grid
-      of counts (a bounded table);
-    * partners in the same chunk: a sort-and-count sweep of that chunk alone
-      (Fenwick tree over score ranks), which also gives same-time partners;
-    * partners in later chunks of the same bucket: a sweep of that bucket alone
-      (Fenwick tree over chunk numbers).
+    Comparable and tied pairs are sums of counts inside chunks and over later chunks.
     """
     spark = df.sparkSession
     base = (df.select(F.col(time).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"),
                       F.col(event).cast("int").alias("_e"))
             .filter(F.col("_t").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull()
                     & ~F.isnan("_t") & ~F.isnan("_s")))
-    ts = base.groupBy("_t", "_s").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_e").alias("_ev"),
-                                      F.sum(1 - F.col("_e")).alias("_cen")).persist()
-    try:
-        if n_chunks is None:  # ~50k distinct (time, score) rows per chunk, at most one per partition
-            n_rows = ts.count()  # also fills the cache
-            n_chunks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 50_000)))
-        probs = [i / n_chunks for i in range(1, n_chunks)]
-        qt, qs = ts.approxQuantile(["_t", "_s"], probs, 0.001) if probs else ([], [])
-        inf = float("inf")
-        st = [-inf] + sorted({float(x) for x in qt}) + [inf]
-        ss = [-inf] + sorted({float(x) for x in qs}) + [inf]
-        k = max(len(st), len(ss))
-        tsp = bucketize(bucketize(ts, "_t", st, "_tb"), "_s", ss, "_sb")
-        tsp = tsp.withColumns({"_tb": F.col("_tb").cast("int"), "_sb": F.col("_sb").cast("int"),
-                               "_nch": F.lit(k)})
-        cols = tsp.select("_t", "_s", "_tb", "_sb", "_cnt", "_ev", "_cen", "_nch")
-        if len(st) == 2 and len(ss) == 2:  # one chunk and one bucket: the chunk sweep sees every pair
-            tc = (cols.groupBy("_tb")
-                  .applyInPandas(_sweep_time_chunk,
-                                 "lower double, equal double, later double, cen_lower double, cen_equal double")
-                  .collect()[0])
-            cross = {"a": 0.0, "l": 0.0}
-            sb = {"lower": 0.0, "equal": 0.0}
-            return _cindex_row(spark, cross, sb, tc)
-        # the grid of counts: at most k x k rows
-        G = np.zeros((k, k))
-        for r in tsp.groupBy("_tb", "_sb").agg(F.sum("_cnt").alias("n")).collect():
-            G[int(r["_tb"]), int(r["_sb"])] = r["n"]
-        later_t = np.cumsum(G[::-1], axis=0)[::-1]
-        later_t = np.vstack([later_t[1:], np.zeros((1, k))])     # chunks strictly later
-        D = np.hstack([np.zeros((k, 1)), np.cumsum(later_t, axis=1)[:, :-1]])  # and buckets strictly lower
-        Lc = later_t.sum(axis=1)                                  # all rows in later chunks
-        cells = spark.createDataFrame([(a, b, float(D[a, b]), float(Lc[a])) for a in range(k) for b in range(k)],
-                                      "_tb int, _sb int, _dv double, _lv double")
-        cross = (tsp.filter(F.col("_ev") > 0).join(F.broadcast(cells), ["_tb", "_sb"])
-                 .agg(F.sum(F.col("_ev") * F.col("_dv")).alias("a"), F.sum(F.col("_ev") * F.col("_lv")).alias("l"))
-                 .collect()[0])
-        tc = (cols.repartition(k, "_tb").groupBy("_tb")
-              .applyInPandas(_sweep_time_chunk,
-                             "lower double, equal double, later double, cen_lower double, cen_equal double")
-              .agg(*[F.sum(c).alias(c) for c in ("lower", "equal", "later", "cen_lower", "cen_equal")])
-              .collect()[0])
-        sb = (cols.repartition(k, "_sb").groupBy("_sb")
-              .applyInPandas(_sweep_score_bucket, "lower double, equal double")
-              .agg(F.sum("lower").alias("lower"), F.sum("equal").alias("equal")).collect()[0])
-    finally:
-        ts.unpersist()
-    return _cindex_row(spark, cross, sb, tc)
-
-
-def _cindex_row(spark, cross, sb, tc) -> DataFrame:
-    z = lambda x: float(x or 0.0)
-    concordant = z(cross["a"]) + z(sb["lower"]) + z(tc["lower"]) + z(tc["cen_lower"])
-    tied = z(sb["equal"]) + z(tc["equal"]) + z(tc["cen_equal"])
-    den = z(cross["l"]) + z(tc["later"])
+    ts = base.groupBy("_t", F.when(F.col("_e") == 0, 1).otherwise(0).alias("_c"), "_s").agg(F.count(F.lit(1)).alias("_n"))
+    ts = ts.withColumn("_ev", F.when(F.col("_c") == 0, F.col("_n")).otherwise(0)).persist()
+    rows = ts.count()  # also fills the cache
+    k = n_chunks or max(1, -(-rows // max(chunk_rows, math.isqrt(rows))))
+    first = positions(ts, ["_t", "_c", "_s"], k, "_p", "_a")
+    ts.unpersist()
+    both = positions(first, ["_s", "_p"], k, "_q", "_b", frees=(first,))
+
+    def total(name, frame, expr):
+        return frame.agg(F.coalesce(F.sum(expr.cast("double")), F.lit(0.0)).alias("v")).select(F.lit(name).alias("what"), "v")
+
+    def rest(*by, order):
+        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def summed(c, w):
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    ev = F.col("_ev")
+    # comparable: counts of larger (time, censored) in the chunk and in later chunks, where the same one may go on
+    u = both.groupBy("_a", "_t", "_c").agg(F.sum("_n").alias("_n"), F.sum("_ev").alias("_ev"))
+    later = totals_before(both.groupBy("_a").agg(F.sum("_n").alias("_n")), "_a", ["_n"], after=True)
+    u = u.withColumn("_in", summed("_n", rest("_a", order=[F.desc("_t"), F.desc("_c")]))).join(later, "_a")
+    u = u.withColumn("_same", summed("_n", rest("_t", "_c", order=[F.desc("_a")])))
+    parts = [total("comparable", u, ev * (F.col("_in") + F.col("_o__n") - F.col("_same")))]
+    # tied: the same score at larger (time, censored), in the chunk and in later ones
+    inside = both.withColumn("_later", summed("_n", rest("_b", "_s", order=[F.desc("_q")])))
+    parts.append(total("tied", inside, ev * F.col("_later")))
+    s = both.groupBy("_b", "_s").agg(F.sum("_n").alias("_n"), F.sum("_ev").alias("_ev"))
+    parts.append(total("tied", s.withColumn("_later", summed("_n", rest("_s", order=[F.desc("_b")]))), ev * F.col("_later")))
+    sweep = both.select("_a", "_b", "_p", "_q", "_n", "_ev")
+    parts.append(sweep.groupBy("_a").applyInPandas(_sweep("concordant", "_p"), "what string, v double"))
+    if k > 1:
+        parts.append(sweep.groupBy("_b").applyInPandas(_sweep("concordant", "_a"), "what string, v double"))
+        counts = both.groupBy("_a", "_b").agg(F.sum("_n").alias("_n"), F.sum("_ev").alias("_ev"))
+        grid = spark.range(k * k).select(F.expr(f"id div {k}").alias("_a"), (F.col("id") % k).alias("_b"))
+        grid = grid.join(counts, ["_a", "_b"], "left")
+        grid = grid.withColumn("_col", summed("_n", rest("_b", order=[F.desc("_a")])))
+        grid = grid.withColumn("_low", summed("_col", rest("_a", order=[F.asc("_b")])))
+        parts.append(total("concordant", grid, ev * F.col("_low")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("what").agg(F.sum("v").alias("v")).collect()  # three rows
+    release(both)
+    v = {r["what"]: r["v"] for r in sums}
+    den, concordant, tied = (v.get(x, 0.0) for x in ("comparable", "concordant", "tied"))
     cindex = (concordant + 0.5 * tied) / den if den else None
     return spark.createDataFrame(
         [(cindex, concordant, den - concordant - tied, tied, den)],

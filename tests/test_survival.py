@@ -38,22 +38,34 @@ def test_kaplan_meier_matches_product_limit(spark):
     assert got["survival"].iloc[-1] == 0.0 and got["ci_upper"].iloc[-1] == 0.0
 
 
-@pytest.mark.parametrize("n_chunks", [1, 4])
-def test_concordance_brute_force(spark, n_chunks):
+@pytest.mark.parametrize("n_chunks", [1, 4, 17])
+@pytest.mark.parametrize("times,scores", [(20, 15), (3, 2), (1, 40), (40, 1), (10 ** 6, 10 ** 6)])
+def test_concordance_brute_force(spark, n_chunks, times, scores):
+    """Day-like times, one time or one score that spans every chunk, and no ties at all."""
     rng = np.random.default_rng(11)
     n = 250
-    t = rng.integers(0, 20, n).astype(float)
-    s = rng.integers(0, 15, n).astype(float)
+    t = rng.integers(0, times, n).astype(float)
+    s = rng.integers(0, scores, n).astype(float)
     e = rng.integers(0, 2, n)
     df = spark.createDataFrame(pd.DataFrame({"t": t, "s": s, "e": e}))
-    num = den = 0.0
+    num = ties = den = 0
     for i in np.flatnonzero(e == 1):
         comp = (t > t[i]) | ((t == t[i]) & (e == 0))
         den += comp.sum()
-        num += (s[comp] < s[i]).sum() + 0.5 * (s[comp] == s[i]).sum()
+        num += (s[comp] < s[i]).sum()
+        ties += (s[comp] == s[i]).sum()
     got = SV.concordance_index(df, "t", "e", "s", n_chunks=n_chunks).first()
-    assert got["comparable"] == den
-    assert abs(got["cindex"] - num / den) < 1e-12
+    assert (got["comparable"], got["concordant"], got["tied_risk"]) == (den, num, ties)
+    assert got["cindex"] == (num + 0.5 * ties) / den if den else got["cindex"] is None
+
+
+def test_inversions():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 7, 64, 129):
+        order, key = rng.permutation(n), rng.integers(0, 9, n)
+        w, e = rng.integers(1, 5, n), rng.integers(0, 3, n)
+        want = sum(int(e[i]) * int(w[(order < order[i]) & (key > key[i])].sum()) for i in range(n))
+        assert SV._inversions(order, key, w, e) == want
 
 
 def cox_newton(X, t, e, iters=50):
