@@ -1,138 +1,56 @@
-"""Exact quantiles of whole columns without sending a column to one task.
+"""Exact quantiles of groups or whole columns by selection on value counts; one plan for every size of group.
 
-``percentile`` keeps a value-count map of the whole group in one final task,
-which for a whole-table column is unbounded.  Here each target rank is found by
-repeated narrowing: an equi-width histogram of the current candidate interval
-(one grouped count over all columns at once, partial aggregation map-side)
-locates the bin holding the rank; the search recurses into it until the bin
-holds at most ``max_collect`` rows, which are then fetched (bounded) and
-ranked exactly.  Type-7 interpolation as R's ``quantile`` / numpy's default.
+Rows are reduced to (group, value) counts with partial sums on the map side, running counts within the group come
+from ``prefix.running_sums`` (whose chunks cut a large group as they cut the table), and the one or two ranks of
+each probability are picked where the running count passes them.  No task holds the values of a group.
+Type-7 interpolation as R's ``quantile`` / numpy's default.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.operators.prefix import null_safe_join, running_sums
 
-def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x"))
-                                           for c in cols])).alias("_s"))
-            .select("_s._c", "_s._x")
-            .filter(F.col("_x").isNotNull() & ~F.isnan("_x")))
 
+def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "_q",
+                 values_per_chunk: int = 50_000) -> DataFrame:
+    """(keys, ``out``: array of one quantile per probability); NULL values are left out, NaN is the largest value.
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    bins: int = 1024, max_collect: int = 50_000) -> dict[str, list[float | None]]:
-    """{column: [quantile per prob]}; None for an all-null column."""
-    return grouped_quantiles(_long_form(df, list(cols)), list(cols), probs, bins, max_collect)
-
-
-def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], probs: Sequence[float],
-                      bins: int = 1024, max_collect: int = 50_000) -> dict[str, list[float | None]]:
-    """Same search over a long frame ``(_c string, _x double)``: quantiles per group ``_c``."""
-    cols = list(groups)
-    long = long_df.persist()
-    try:
-        stats = {r["_c"]: (r["n"], r["lo"], r["hi"]) for r in
-                 long.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                        F.max("_x").alias("hi")).collect()}  # one row per column
-        found: dict[tuple[str, int], float] = {}
-        # open searches: (column, 1-based rank) -> (lo, hi, rows below lo, rows in [lo, hi])
-        open_: dict[tuple[str, int], tuple] = {}
-        for c in cols:
-            n, lo, hi = stats.get(c, (0, None, None))
-            for p in probs:
-                if n:
-                    h = (n - 1) * p
-                    for r in (math.floor(h) + 1, math.ceil(h) + 1):
-                        open_[(c, r)] = (lo, hi, 0, n)
-        while open_:
-            # searches whose interval is small enough are finished together in one
-            # collect; the per-search cap keeps the whole fetch under max_collect rows
-            cap = max(256, max_collect // max(1, len(open_)))
-            big, small = {}, {}
-            for (c, r), (lo, hi, below, cnt) in open_.items():
-                if lo == hi:
-                    found[(c, r)] = lo
-                elif cnt <= cap:
-                    small[(c, r)] = (lo, hi, below, cnt)
-                else:
-                    big[(c, r)] = (lo, hi, below, cnt)
-            if small:
-                ivals = sorted({(c, lo, hi) for (c, _), (lo, hi, _, _) in small.items()})
-                cond = None
-                for c, lo, hi in ivals:
-                    one = (F.col("_c") == c) & (F.col("_x") >= lo) & (F.col("_x") <= hi)
-                    cond = one if cond is None else (cond | one)
-                fetched: dict[str, list[float]] = {}
-                for row in long.filter(cond).select("_c", "_x").collect():  # <= max_collect rows
-                    fetched.setdefault(row[0], []).append(row[1])
-                for v in fetched.values():
-                    v.sort()
-                for (c, r), (lo, hi, below, cnt) in small.items():
-                    vals = [x for x in fetched.get(c, []) if lo <= x <= hi]
-                    found[(c, r)] = vals[r - below - 1]
-            open_ = _narrow(long, big, bins) if big else {}
-        out = {}
-        for c in cols:
-            n = stats.get(c, (0, None, None))[0]
-            res = []
-            for p in probs:
-                if not n:
-                    res.append(None)
-                    continue
-                h = (n - 1) * p
-                a = found[(c, math.floor(h) + 1)]
-                b = found[(c, math.ceil(h) + 1)]
-                res.append(a if a == b else a + (h - math.floor(h)) * (b - a))
-            out[c] = res
-        return out
-    finally:
-        long.unpersist()
-
+    A group of NULL values only has no row.  NULL is a key like any other.
+    """
+    keys = list(keys)
+    if not keys:
+        return quantiles_by(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, out, values_per_chunk).drop("_all")
+    v = F.col(value).cast("double")
+    counts = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_n"))
+    run = running_sums(counts, "_v", ["_n"], partition_by=keys, keys_per_chunk=values_per_chunk)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    run = null_safe_join(run, totals, keys, "inner")
+
+    def rank(whole):  # the value whose running count takes in the rank
+        return F.max(F.when((whole >= F.col("cum__n") - F.col("_n")) & (whole < F.col("cum__n")), F.col("_v")))
+
+    picked = []
+    for i, p in enumerate(probs):
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        picked += [rank(F.floor(at)).alias(f"_a{i}"), rank(F.ceil(at)).alias(f"_b{i}"), F.max(at - F.floor(at)).alias(f"_f{i}")]
+    q = [F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}"))
+         .otherwise(F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))) for i in range(len(probs))]
+    return run.groupBy(*keys).agg(*picked).select(*keys, F.array(*q).alias(out))
 
-def _narrow(long: DataFrame, big: dict, bins: int) -> dict:
-    """One histogram job (count, min, max per bin) for all open searches.
 
-    Bins are a monotone function of the value, so the chosen bin's [min, max]
-    holds exactly its rows and every row below it lies in an earlier bin.
-    """
-    searches = list(big.items())
-    parts = []
-    for i, ((c, r), (lo, hi, below, cnt)) in enumerate(searches):
-        if not math.isfinite(hi - lo):
-            # infinite ends, or a range beyond a double: split them off and by sign
-            b = (F.when(F.col("_x") == float("-inf"), 0).when(F.col("_x") == float("inf"), 3)
-                 .when(F.col("_x") < 0, 1).otherwise(2))
-        elif lo > 0 and hi / lo > 1e6:
-            width = (math.log(hi) - math.log(lo)) / bins
-            b = F.least(F.greatest(F.floor((F.log("_x") - F.lit(math.log(lo))) / F.lit(width)).cast("int"), F.lit(0)),
-                        F.lit(bins - 1))
-        else:
-            # quarters: in a narrow range a bin's width may not be a double
-            width = max((hi - lo) / bins, math.ulp(max(abs(lo), abs(hi))) / 4)
-            b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-        parts.append(long.filter((F.col("_c") == c) & (F.col("_x") >= lo) & (F.col("_x") <= hi))
-                     .select(F.lit(i).alias("_s"), b.alias("_b"), "_x"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    hist = (u.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                       F.max("_x").alias("hi"))
-            .collect())  # at most (open searches x bins) rows
-    by = {}
-    for row in hist:
-        by.setdefault(row["_s"], []).append((row["_b"], row["n"], row["lo"], row["hi"]))
-    nxt = {}
-    for i, ((c, r), (lo, hi, below, cnt)) in enumerate(searches):
-        acc = below
-        for b, n, blo, bhi in sorted(by.get(i, [])):
-            if acc + n >= r:
-                nxt[(c, r)] = (blo, bhi, acc, n)
-                break
-            acc += n
-    return nxt
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    values_per_chunk: int = 50_000) -> dict[str, list[float | None]]:
+    """{column: [quantile per prob]} over values that are neither NULL nor NaN; None for a column without any."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols]))
+                     .alias("_s")).select("_s._c", "_s._x").filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    found = {r["_c"]: list(r["_q"]) for r in quantiles_by(long, ["_c"], "_x", probs, "_q", values_per_chunk).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}  # one row a column

@@ -7,65 +7,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.operators.prefix import null_safe_join
+
 STAT_NAMES = ("mean", "median", "max", "min", "range", "sd", "iqr", "first", "last", "count")
 
 
-def stat_columns(value: str, order: Sequence[str], stats: Sequence[str] = STAT_NAMES,
-                 quantiles: Sequence[float] = ()) -> list:
-    """Aggregate expressions for ``summarise``.  All are built-in, exact aggregates.
+def stat_columns(value: str, order: Sequence[str], stats: Sequence[str]) -> list:
+    """Aggregate expressions for ``summarise`` (all but median and iqr): built-in, exact, partial on the map side.
 
-    first/last are by an explicit order (struct of ``order`` columns), never by
-    physical row order; median and iqr use exact interpolating percentiles.
+    first/last are by an explicit order (struct of ``order`` columns), never by physical row order.
     """
     v = F.col(value)
     key = F.when(v.isNotNull(), F.struct(*[F.col(o) for o in order]))
     exprs = {
         "mean": F.avg(v),
-        "median": F.percentile(v, 0.5),  # replaced below by one shared value map
         "max": F.max(v),
         "min": F.min(v),
         "range": F.max(v) - F.min(v),
         "sd": F.coalesce(F.stddev_samp(v), F.lit(0.0)),
-        "iqr": F.percentile(v, 0.75) - F.percentile(v, 0.25),
         "first": F.min_by(v, key),
         "last": F.max_by(v, key),
         "count": F.count(F.lit(1)),
     }
-    out = [exprs[s].alias(s) for s in stats]
-    out += [F.percentile(v, q).alias(f"q{int(round(q * 100))}") for q in quantiles]
-    return out
+    return [exprs[s].alias(s) for s in stats]
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
               stats: Sequence[str] = STAT_NAMES, quantiles: Sequence[float] = (),
-              hot_rows: int = 1_000_000) -> DataFrame:
-    """Ten statistics of ``value`` per group, in one ``groupBy``.
-
-    Median, IQR and extra quantiles come from one exact ``percentile`` over an
-    array of probabilities (one value-count map per group, not one per
-    statistic).  That map lives in one task, so groups with more than
-    ``hot_rows`` rows (found by one grouped count; at most rows / hot_rows of
-    them) take their quantiles from the distributed narrowing search instead,
-    while their other statistics stay partial aggregates.
+              values_per_chunk: int = 50_000) -> DataFrame:
+    """Ten statistics of ``value`` per group.
+
+    All but the quantiles are partial aggregates of one ``groupBy``.  Median, IQR and further quantiles are selected on
+    (group, value) counts (``quantiles.quantiles_by``, chunks of ``values_per_chunk`` distinct values), whatever a group's size.
     """
-    keys = list(keys)
-    stats = list(stats)
-    probs = [0.25, 0.5, 0.75] + list(quantiles)
+    from cohortkit.operators.quantiles import quantiles_by
+
+    keys, stats = list(keys), list(stats)
+    if not keys:  # the whole table as one group (of no rows: none)
+        one = summarise(df.withColumn("_all", F.lit(0)), ["_all"], value, order, stats, quantiles, values_per_chunk)
+        return one.drop("_all")
     plain = [s for s in stats if s not in ("median", "iqr")]
-    hot = [] if hot_rows is None else (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(_tag(keys)).collect())  # bounded: rows / hot_rows groups at most
-    aggs = stat_columns(value, order, plain)
-    if not hot:
-        aggs.append(F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        out = df.groupBy(*keys).agg(*aggs)
-    else:
-        out = _with_hot_groups(df, keys, value, aggs, probs, hot)
-    q = F.col("_q")
-    extra = {"median": q[1], "iqr": q[2] - q[0]}
-    extra.update({f"q{int(round(p * 100))}": q[3 + i] for i, p in enumerate(quantiles)})
-    names = list(keys) + stats + [f"q{int(round(p * 100))}" for p in quantiles]
-    return out.withColumns({k: v for k, v in extra.items() if k in names}).select(*names)
+    named = [f"q{int(round(p * 100))}" for p in quantiles]
+    aggs = stat_columns(value, order, plain) or [F.count(F.lit(1)).alias("_rows")]
+    out = df.groupBy(*keys).agg(*aggs)
+    if len(plain) < len(stats) or quantiles:
+        q = quantiles_by(df, keys, value, [0.25, 0.5, 0.75, *quantiles], "_q", values_per_chunk)
+        out = null_safe_join(out, q, keys)
+        extra = {"median": F.col("_q")[1], "iqr": F.col("_q")[2] - F.col("_q")[0]}
+        extra.update({n: F.col("_q")[3 + i] for i, n in enumerate(named)})
+        out = out.withColumns({k: v for k, v in extra.items() if k in [*stats, *named]})
+    return out.select(*keys, *stats, *named)
 
 
 def count_by(df: DataFrame, c: str) -> DataFrame:
@@ -97,28 +88,3 @@ def schema_profile(df: DataFrame) -> DataFrame:
                     .alias("cols"))
     return (counts.select(F.explode("cols").alias("c")).groupBy("c.type")
             .agg(F.count(F.lit(1)).alias("n_columns"), F.sum("c.n").alias("n_values")).orderBy("type"))
-
-
-def _tag(keys):
-    """A group's keys as one string, made by the engine on both sides."""
-    return F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]).alias("_tag")
-
-
-def _with_hot_groups(df: DataFrame, keys, value, aggs, probs, hot) -> DataFrame:
-    from cohortkit.operators.quantiles import grouped_quantiles
-
-    spark = df.sparkSession
-    names = [r["_tag"] for r in hot]
-    hot_df = F.broadcast(spark.createDataFrame([(n,) for n in names], "_tag string"))  # bounded list
-    tagged = df.withColumn("_tag", _tag(keys))
-    cold = (tagged.join(hot_df, "_tag", "left_anti").groupBy(*keys)
-            .agg(*aggs, F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs])).alias("_q")))
-    qs = grouped_quantiles(tagged.join(hot_df, "_tag", "left_semi")
-                           .select(F.col("_tag").alias("_c"), F.when(F.isnan(F.col(value).cast("double")), float("inf"))
-                                   .otherwise(F.col(value).cast("double")).alias("_x"))  # NaN sorts last, as in percentile
-                           .filter(F.col("_x").isNotNull()), names, probs)
-    qdf = spark.createDataFrame([(n, [float(x) if x is not None else None for x in qs[n]]) for n in names],
-                                "_tag string, _q array<double>")
-    warm = (tagged.join(hot_df, "_tag", "left_semi").groupBy(*keys, "_tag").agg(*aggs)
-            .join(F.broadcast(qdf), "_tag").drop("_tag"))
-    return cold.unionByName(warm)

@@ -375,6 +375,23 @@ SELECT c_custkey, round(coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END,
                                  (SELECT median(c_acctbal) FROM customer WHERE c_acctbal >= 0)), 6) AS acctbal
 FROM customer""",
 
+    "value_density": f"""
+WITH {MEASURES},
+b AS (SELECT event_type AS g, log10(greatest(CAST(value AS DOUBLE), CAST(1 AS DOUBLE))) AS x FROM m WHERE value IS NOT NULL),
+s AS (SELECT g, count(*) AS n, coalesce(stddev_samp(x), 0) AS sd, min(x) AS lo, max(x) AS hi,
+             quantile_cont(x, CAST(0.75 AS DOUBLE)) - quantile_cont(x, CAST(0.25 AS DOUBLE)) AS iqr FROM b GROUP BY g),
+l AS (SELECT *, CASE WHEN iqr > 0 THEN least(sd, iqr / CAST(1.34 AS DOUBLE)) ELSE sd END AS l0 FROM s),
+w AS (SELECT g, n, lo, hi, CAST(0.9 AS DOUBLE) * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE))
+             * (CASE WHEN l0 <> 0 THEN l0 WHEN sd <> 0 THEN sd WHEN iqr <> 0 THEN abs(iqr) ELSE 1 END) AS bw FROM l),
+p AS (SELECT g, n, bw, lo - 3 * bw AS glo, ((hi + 3 * bw) - (lo - 3 * bw)) / 511 AS step FROM w),
+a AS (SELECT b.g, CAST(floor((x - glo) / step) AS INTEGER) AS i, (x - glo) / step - floor((x - glo) / step) AS f FROM b JOIN p ON b.g = p.g),
+n AS (SELECT g, i, sum(v) AS v FROM (SELECT g, i, 1 - f AS v FROM a UNION ALL SELECT g, i + 1, f FROM a)
+      WHERE i BETWEEN 0 AND 511 GROUP BY g, i),
+j AS (SELECT unnest(range(0, 512)) AS j)
+SELECT p.g AS "group", round(any_value(glo + j * step), 6) AS x,
+       round(sum(v * exp(CAST(-0.5 AS DOUBLE) * pow((j - i) * step / bw, 2))) / any_value(p.n * bw * sqrt(2 * pi())), 6) AS density
+FROM n JOIN p ON p.g = n.g CROSS JOIN j GROUP BY p.g, j""",
+
     "missing_indicators": """
 SELECT c_custkey, CAST(c_acctbal < 0 AS INTEGER) AS acctbal_missing FROM customer""",
 

@@ -75,9 +75,9 @@ def test_split_ends_with_repeated_keys(spark):
 @pytest.mark.parametrize("values", [
     [float("inf"), float("-inf"), *range(1000)], [10.0 ** i for i in range(300)] * 3, [1.7e308, -1.7e308, 0.0] * 300,
     [1.0, 1.0 + 2**-52] * 400])
-def test_quantile_search_ends(spark, values):
+def test_quantiles_of_odd_values(spark, values):
     d = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = quantiles.exact_quantiles(d, ["x"], [0.0, 0.25, 0.5, 1.0], bins=8, max_collect=10)["x"]
+    got = quantiles.exact_quantiles(d, ["x"], [0.0, 0.25, 0.5, 1.0], values_per_chunk=40)["x"]
     s = sorted(map(float, values))
     for p, g in zip([0.0, 0.25, 0.5, 1.0], got):
         h = (len(s) - 1) * p
@@ -85,11 +85,11 @@ def test_quantile_search_ends(spark, values):
         assert g == (a if a == b else a + (h - math.floor(h)) * (b - a))
 
 
-def test_summaries_hot_and_cold_agree(spark):
+def test_summaries_in_one_chunk_and_many_agree(spark):
     rows = [(1e10, float(i), i) for i in range(999)] + [(1e10, float("nan"), 999), (1e-5, 1.0, 1), (None, 2.0, 2)]
     d = spark.createDataFrame(rows, "k double, v double, o long")
     cold, hot = ({r["k"]: (r["median"], r["count"]) for r in summaries.summarise(
-        d, ["k"], "v", ["o"], ["median", "count"], hot_rows=n).collect()} for n in (None, 100))
+        d, ["k"], "v", ["o"], ["median", "count"], values_per_chunk=n).collect()} for n in (50_000, 100))
     assert cold == hot and cold[1e10] == (499.5, 1000)
 
 
