@@ -51,7 +51,9 @@ WITH m AS ({" UNION ALL ".join([
     _kind("assign", 0, ASSIGN, 2, 6), _kind("access", 1, ACCESS, 0, 20), _kind("hex", 2, HEX, 0, 24),
     _kind("generic", 3, GENERIC, 0, 20)])}),
 f AS (SELECT * FROM m WHERE kind <> 'generic' OR ({_RANDOM})),
-o AS (SELECT v, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners FROM f GROUP BY v),
+-- a NULL source is an owner too
+p AS (SELECT DISTINCT v, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS owner FROM f),
+o AS (SELECT v, count(*) AS repos, count(DISTINCT owner) AS owners FROM p GROUP BY v),
 a AS (SELECT doc_id, rnk, kind, s, e FROM f WHERE kind <> 'generic'
       UNION ALL
       SELECT DISTINCT doc_id, CASE WHEN owners > 1 OR repos > 3 THEN 5 ELSE 4 END,

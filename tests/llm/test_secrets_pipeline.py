@@ -139,3 +139,24 @@ def test_whole_run_equals_a_plain_pipeline(spark):
         assert (r["source"], r["ids"]) == want[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
         got[r["doc_id"]] += 1
     assert got == +copies and max(got.values()) == 2
+
+
+def test_sql_and_query_agree_on_null_sources(spark):
+    """A NULL source is an owner like any other."""
+    import duckdb
+    import pandas as pd
+
+    from cohortkit.llm.oracle_sql import ORACLE
+
+    value = ["q9w8e7r6t5y4u3i2o1p0", "Z1x2C3v4B5n6M7a8S9d0", "aA1bB2cC3dD4eE5fF6gG"]
+    rows = [(1, f"secret={value[0]} here", None), (2, f"other text token={value[0]}", "web"), (3, f"key {value[1]}", None),
+            (4, f"a key {value[1]} again", None), (5, f"x token={value[2]}", "web"), (6, f"y token={value[2]}", "code")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cols = ["doc_id", "n_live", "n_example", "spans"]
+    sql = duckdb.connect().sql(ORACLE["op8_secrets"]).df()[cols]
+    got = secrets.scan_digests(d).select(*cols).toPandas()
+    want = {1: (0, 1), 2: (0, 1), 3: (1, 0), 4: (1, 0), 5: (0, 1), 6: (0, 1)}
+    for frame in (sql, got):
+        assert {r.doc_id: (r.n_live, r.n_example) for r in frame.itertuples()} == want
+    assert sorted(map(tuple, got.drop_duplicates().values)) == sorted(map(tuple, sql.drop_duplicates().values))
