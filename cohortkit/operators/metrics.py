@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortkit.operators.ordered import positions
 from cohortkit.operators.prefix import null_safe_join, running_sums
 
 
@@ -32,12 +33,41 @@ def _by_score(df: DataFrame, label: str, score: str, group: Sequence[str]) -> Da
     return null_safe_join(cum, tot, g)
 
 
-def roc_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """(group, threshold, fpr, tpr): one point per distinct score, ties grouped; NULL rates without that class."""
+def _corners(c: DataFrame, group: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Rows of ``c`` whose step differs from the next row's, and each group's first and last.
+
+    A point between two equal steps lies on the line through its neighbours.  Rows are ordered in chunks; the step after a
+    chunk's last row is the one of the group's next chunk, taken from one edge row a chunk.
+    """
+    g, step = list(group), F.struct("pos", "neg")
+    n = max(1, -(-c.count() // chunk_rows))
+    o = positions(c, [*g, F.desc("threshold")], n)
+    edge = o.groupBy(*g, "_chunk").agg(F.min_by(step, "_pos").alias("_edge"))
+    edge = edge.select(*g, "_chunk", F.lead("_edge").over(Window.partitionBy(*g).orderBy("_chunk")).alias("_beyond"))
+    inside = F.lead(step).over(Window.partitionBy(*g, "_chunk").orderBy("_pos"))
+    o = null_safe_join(o.withColumn("_next", inside), edge, [*g, "_chunk"])
+    after = F.coalesce("_next", "_beyond")  # NULL after a group's last row
+    first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    return o.filter(first | after.isNull() | (after != step)).drop("_next", "_beyond", "_pos", "_chunk")
+
+
+def roc_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = (), drop_intermediate: bool = False,
+              start: bool = False, chunk_rows: int = 50_000) -> DataFrame:
+    """(group, threshold, fpr, tpr): one point per distinct score, ties grouped; NULL rates without that class.
+
+    ``drop_intermediate`` leaves out points on the line between their neighbours, ``start`` adds the point (0, 0) at threshold
+    infinity: with both, the points that the reference's library returns by default.
+    """
     c = _by_score(df, label, score, group)
-    return c.select(*group, "threshold",
-                    F.try_divide("cum_neg", "N").alias("fpr"),
-                    F.try_divide("cum_pos", "P").alias("tpr"))
+    if drop_intermediate:
+        c = _corners(c, group, chunk_rows)
+    cols = [*group, "threshold", F.try_divide("cum_neg", "N").alias("fpr"), F.try_divide("cum_pos", "P").alias("tpr")]
+    if not start:
+        return c.select(*cols)
+    # the first row of a group once more, at infinity and with nothing before it
+    first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    zero = c.filter(first).withColumns({"threshold": F.lit(float("inf")), "cum_neg": F.lit(0), "cum_pos": F.lit(0)})
+    return c.select(*cols).unionByName(zero.select(*cols))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortkit.functions.columns import flag, paste
 from cohortkit.operators.history import STATS, history_stats, pivot_stats
 from cohortkit.operators.joins import enrich, semi_join
-from cohortkit.operators.labels import (HORIZONS, age_at, hours_since, in_stay, label_by_source,
+from cohortkit.operators.labels import (HORIZONS, LAG_DAYS, age_at, hours_since, in_stay, label_by_source,
                                         label_windows, qc_filter, survival_target, time_of_day)
 from cohortkit.operators.pivots import one_hot_pivot
 from cohortkit.sources.io import broadcast_if_small
@@ -145,14 +145,16 @@ def panel_features(labs: DataFrame, index: DataFrame, panels: DataFrame,
 
 def build_training_table(index: DataFrame, tests: DataFrame, codes: DataFrame, diarrhoea: DataFrame,
                          demo: DataFrame, icu: DataFrame, features: DataFrame, *,
-                         horizons: Sequence[float] = HORIZONS, as_executed: bool = False,
-                         survival_event: str = "label", null_safe: bool = True,
+                         horizons: Sequence[float] = HORIZONS, lag: float = LAG_DAYS, survival_days: float = 30,
+                         as_executed: bool = False, survival_event: str = "label", null_safe: bool = True,
                          multiplicity: str = "keep", drop_roles: bool = True,
                          keep_in_icu: bool = False) -> DataFrame:
     """Left-join chain + derived columns + labels + QC, as one lazy plan.
 
     Every join shares the (subject_id, hadm_id) prefix, so the planner can
-    reuse one hash partitioning for the chain.
+    reuse one hash partitioning for the chain.  ``lag``: days after the start from which an outcome counts (0: from the
+    start on, as in the reference's first draft); ``survival_days``: the survival window, one of ``horizons`` if its
+    event is that horizon's label.
     """
     k2 = list(ID_KEYS)
     df = index
@@ -167,10 +169,12 @@ def build_training_table(index: DataFrame, tests: DataFrame, codes: DataFrame, d
     df = in_stay(df, "ab_startdate", "icu_intime", "icu_outtime")
     df = time_of_day(df, "admittime")
     df = label_windows(df, "cdiff_charttime", "cdiff_icd9", OUTCOME_CODE, "dischtime", "ab_startdate",
-                       horizons, as_executed=as_executed)
-    df = survival_target(df, "cdiff_charttime", "dischtime", "ab_startdate", event=survival_event)
+                       horizons, lag, as_executed=as_executed)
+    df = survival_target(df, "cdiff_charttime", "dischtime", "ab_startdate", survival_days, lag, event=survival_event,
+                         label_col=f"cdiff_{int(survival_days)}d_flag")
     df = qc_filter(df)
-    df = label_by_source(df, "cdiff_charttime", "cdiff_icd9", OUTCOME_CODE, "dischtime", "ab_startdate", horizons)
+    df = label_by_source(df, "cdiff_charttime", "cdiff_icd9", OUTCOME_CODE, "dischtime", "ab_startdate",
+                         horizons, lag)
     if drop_roles:
         roles = Roles()
         drop = roles.ids + [c for c in roles.raw if not (keep_in_icu and c == "in_icu")]

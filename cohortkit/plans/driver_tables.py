@@ -274,6 +274,11 @@ def q_roc_curve(spark, d):
     return _r(M.roc_curve(scored_docs(spark, d), "quality", "n_chars"))
 
 
+def q_roc_corners_by_lang(spark, d):
+    """Curve points as the reference's library returns them: no collinear points, (0, 0) first."""
+    return _r(M.roc_curve(scored_docs(spark, d), "quality", "n_chars", ["lang"], drop_intermediate=True, start=True))
+
+
 def q_roc_auc_by_lang(spark, d):
     return _r(M.roc_auc(scored_docs(spark, d), "quality", "n_chars", ["lang"]))
 
@@ -409,6 +414,7 @@ SPARK = {
     "class_weights": q_class_weights,
     "standardise": q_standardise,
     "roc_curve": q_roc_curve,
+    "roc_corners_by_lang": q_roc_corners_by_lang,
     "roc_auc_by_lang": q_roc_auc_by_lang,
     "pr_curve": q_pr_curve,
     "average_precision_by_lang": q_average_precision_by_lang,

@@ -424,6 +424,14 @@ FROM lineitem""",
     "roc_curve": f"""{_curve()}
 SELECT round(threshold, 6) AS threshold, round(cn / "N", 6) AS fpr, round(cp / "P", 6) AS tpr FROM c""",
 
+    "roc_corners_by_lang": f"""{_curve('lang')},
+  k AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS i
+        FROM c WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC))
+SELECT lang, round(threshold, 6) AS threshold, round(cn / "N", 6) AS fpr, round(cp / "P", 6) AS tpr
+FROM k WHERE i = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL
+SELECT DISTINCT lang, CAST('inf' AS DOUBLE), CASE WHEN "N" > 0 THEN 0.0 END, CASE WHEN "P" > 0 THEN 0.0 END FROM c""",
+
     "roc_auc_by_lang": f"""{_curve('lang')}
 SELECT lang, round(sum(pos * ("N" - cn + 0.5 * neg)) / (first("P") * first("N")), 6) AS roc_auc
 FROM c GROUP BY lang""",

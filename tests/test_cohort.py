@@ -107,6 +107,24 @@ def test_build_training_table_end_to_end(spark):
     assert dropped.count() == len(rows)
 
 
+def test_lag_and_survival_window(spark):
+    """An outcome test at the start itself counts without a lag only; the survival event is its window's label."""
+    lookup, rx, micro, dx, adm, pat, icu, labs = fixtures(spark)
+    idx = CO.index_events(rx, lookup)
+    at_start = idx.select("subject_id", "hadm_id", F.col("ab_startdate").cast("timestamp").alias("cdiff_charttime")).limit(1)
+    rest = (CO.code_events(dx, CO.OUTCOME_CODE, "cdiff_icd9").limit(0), CO.code_events(dx, CO.DIARRHOEA_CODE, "diarrhea_icd9"),
+            CO.demographics(adm, pat), CO.stays(icu), CO.panel_features(labs, idx, CO.panel_frame(spark)))
+
+    def flags(**kw):
+        t = CO.build_training_table(idx, at_start, *rest, drop_roles=False, **kw)
+        t = t.filter(F.col("cdiff_charttime") == F.col("ab_startdate").cast("timestamp"))
+        return {tuple(r) for r in t.select("cdiff_7d_flag", "cdiff_label_elisa_7d", "cdiff_survival_flag", "survival_time").collect()}
+
+    late, now = flags(survival_days=7), flags(survival_days=7, lag=0)
+    assert {r[:3] for r in late} == {(0, 0, 0)} and all(r[3] > 0 for r in late)
+    assert now == {(1, 1, 1, 0.0)}
+
+
 def test_cardinality_and_null_safe_enrich(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, 5)], "k long, s long")
     b = spark.createDataFrame([(1, None, "x"), (1, None, "y"), (2, 5, "z")], "k long, s long, v string")

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from cohortkit.operators import metrics as M
 from cohortkit.operators.prefix import running_sums
@@ -49,6 +50,38 @@ def test_auc_ap_curves_with_ties_and_groups(spark):
     assert len(pr) == len(np.unique(s))
 
 
+def _library_points(y, s):
+    """The reference library's default curve: distinct scores from the top, collinear points dropped, (0, 0) put first."""
+    cut = np.unique(s)[::-1]
+    fps = np.array([np.sum((s >= c) & (y == 0)) for c in cut])
+    tps = np.array([np.sum((s >= c) & (y == 1)) for c in cut])
+    if len(fps) > 2:
+        keep = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True]
+        fps, tps, cut = fps[keep], tps[keep], cut[keep]
+    return [(np.inf, 0.0, 0.0), *zip(cut, fps / max(fps[-1], 1), tps / max(tps[-1], 1))]
+
+
+@pytest.mark.parametrize("chunk", [50_000, 7, 1])
+def test_roc_corners_across_chunks(spark, chunk):
+    """Long runs of equal steps, which cross the borders of small chunks; tied scores; a group of one score."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, n in ((0, 60), (1, 41), (2, 1)):
+        y = np.repeat(rng.integers(0, 2, n // 6 + 1), 6)[:n]  # runs of one class
+        rows += [(g, int(a), float(b)) for a, b in zip(y, np.arange(n) // (1 + g))]
+    rows += [(3, a, 0.5) for a in (0, 1, 1)]
+    df = spark.createDataFrame(rows, "g int, y int, s double")
+    got = M.roc_curve(df, "y", "s", ["g"], drop_intermediate=True, start=True, chunk_rows=chunk).fillna(0.0).collect()
+    for g in range(4):
+        y, s = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        mine = sorted(((r["threshold"], r["fpr"], r["tpr"]) for r in got if r["g"] == g), reverse=True)
+        want = _library_points(y, s)
+        assert len(mine) == len(want) and np.allclose(np.nan_to_num(np.array(mine[1:])), np.array(want[1:])) and mine[0] == want[0]
+    assert len(got) < len(M.roc_curve(df, "y", "s", ["g"]).collect())
+    whole = M.roc_curve(df.filter("g = 0"), "y", "s", drop_intermediate=True, start=True, chunk_rows=chunk)
+    assert whole.count() == len(_library_points(*(np.array([r[i] for r in rows if r[0] == 0]) for i in (1, 2))))
+
+
 def test_perfect_reversed_and_report(spark):
     # Perfect and reversed ranking; classification report hand values
     df = spark.createDataFrame([(1, 0.9, 1), (1, 0.8, 0), (0, 0.3, 0), (0, 0.1, 1)], "y int, s double, p int")
