@@ -16,23 +16,11 @@ group, and all ten statistics are prefix statistics:
 1. Measurements and index events are unioned into one stream per
    (keys, test).  Index events sort before measurements at the same instant,
    which gives the strict ``<``.
-2. One grouped count finds the largest (keys, test) group.  If none exceeds
-   ``chunk_rows`` each group is a single chunk and steps 3 and the geometry
-   join are skipped.  Otherwise every group is cut into ``ceil(n/chunk_rows)``
-   time-uniform chunks between its first and last time (from one grouped
-   count/min/max), so a hot key spreads over many tasks.  The chunk is a
-   function of the time alone, so equal times share a chunk (needed for the
-   strict ``<``); rows piled up in a narrow time range give uneven chunks.
-3. The state a chunk inherits from earlier chunks of its group is computed by
-   Spark aggregates: a value histogram (value, count) of earlier chunks and the
-   last earlier value.  Its size is bounded by the number of distinct values of
-   the group, not its rows.
-4. Carry rows and chunk rows are hash-partitioned by (keys, test, chunk) and
-   sorted; one ``mapInPandas`` pass sweeps each chunk in time order: group-wise
-   cumulative sums / min / max / forward fill (vectorised), and for the order
-   statistics a sorted list (no carry) or a Fenwick tree over value ranks
-   seeded by the carry histogram.  A task holds at most one chunk and its carry
-   in memory at a time.
+2. One grouped count finds the groups above ``chunk_rows`` rows.  All other rows are hash-partitioned by (keys, test) and
+   sorted; one ``mapInPandas`` pass sweeps each group in time order: group-wise cumulative sums / min / max / forward fill
+   (vectorised), and a sorted list for the order statistics.
+3. The large groups go through ``prefixstats``: running aggregates over chunks, and order statistics by ranks that are
+   routed to value buckets, so that no task holds more than a chunk of a group and nothing is copied once per chunk.
 
 Null keys are matched to null keys (dplyr join semantics) because grouping
 treats NULL as a value; pass ``null_safe=False`` to drop null-key rows instead.
@@ -50,6 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortkit.functions.columns import epoch_micros
+from cohortkit.operators.prefix import null_safe_join
+from cohortkit.operators.prefixstats import prefix_stats
+from cohortkit.session import materialize
 
 STATS = ("mean", "median", "max", "min", "range", "sd", "iqr", "first", "last", "count")
 
@@ -57,40 +48,6 @@ _KIND_INDEX = 0  # sorts before a measurement at the same instant: strict "<"
 _KIND_MEASURE = 1
 
 
-_KIND_HIST = -2  # carry rows sort first in their group
-_KIND_LAST = -1
-
-
-class _Fenwick:
-    """Counts over value ranks with k-th smallest lookup (for chunks with a carry)."""
-
-    def __init__(self, counts: np.ndarray):
-        self.n = len(counts)
-        t = [0] + [int(c) for c in counts]
-        for i in range(1, self.n + 1):
-            j = i + (i & -i)
-            if j <= self.n:
-                t[j] += t[i]
-        self.t = t
-        self.top = 1 << (self.n.bit_length() - 1) if self.n else 0
-
-    def add(self, i: int) -> None:
-        i += 1
-        while i <= self.n:
-            self.t[i] += 1
-            i += i & -i
-
-    def kth(self, k: int) -> int:
-        pos, step, t = 0, self.top, self.t
-        while step:
-            nxt = pos + step
-            if nxt <= self.n and t[nxt] < k:
-                pos = nxt
-                k -= t[nxt]
-            step >>= 1
-        return pos
-
-
 def _type7(get, n: int, p: float) -> float:
     h = (n - 1) * p
     lo = int(h)
@@ -100,61 +57,34 @@ def _type7(get, n: int, p: float) -> float:
     return a + (h - lo) * (get(lo + 1) - a)
 
 
-def _group_quartiles(kind: np.ndarray, vals: np.ndarray, hv: np.ndarray, hc: np.ndarray):
-    """Median and IQR at every query row of one group (rows in sweep order)."""
+def _group_quartiles(kind: np.ndarray, vals: np.ndarray):
+    """Median and IQR at every query row of one group (rows in time order): a sorted list, order statistics by index."""
     med = np.full(len(kind), np.nan)
     iqr = np.full(len(kind), np.nan)
-    if len(hv) == 0:
-        # no carry: a sorted list with binary insertion; order statistics by index
-        sl: list[float] = []
-        for i in range(len(kind)):
-            if kind[i] == _KIND_MEASURE:
-                bisect.insort(sl, vals[i])
-            elif sl:
-                n = len(sl)
-                med[i] = _type7(sl.__getitem__, n, 0.5)
-                iqr[i] = _type7(sl.__getitem__, n, 0.75) - _type7(sl.__getitem__, n, 0.25)
-        return med, iqr
-    distinct = np.unique(np.concatenate([hv, vals[kind == _KIND_MEASURE]]))
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(counts, np.searchsorted(distinct, hv), hc)
-    fw = _Fenwick(counts)
-    rank = np.searchsorted(distinct, vals)
-    n = int(hc.sum())
-
-    def get(j):  # 0-based order statistic
-        return distinct[fw.kth(j + 1)]
-
+    sl: list[float] = []
     for i in range(len(kind)):
         if kind[i] == _KIND_MEASURE:
-            fw.add(int(rank[i]))
-            n += 1
-        elif n:
-            med[i] = _type7(get, n, 0.5)
-            iqr[i] = _type7(get, n, 0.75) - _type7(get, n, 0.25)
+            bisect.insort(sl, vals[i])
+        elif sl:
+            n = len(sl)
+            med[i] = _type7(sl.__getitem__, n, 0.5)
+            iqr[i] = _type7(sl.__getitem__, n, 0.75) - _type7(sl.__getitem__, n, 0.25)
     return med, iqr
 
 
 def _process(pdf: pd.DataFrame, ckeys, out_keys, stats) -> pd.DataFrame:
-    """Sweep a frame of complete groups, each sorted carry rows first, then time order."""
+    """Sweep a frame of complete groups, each in time order."""
     g = pdf.groupby(ckeys, sort=False, dropna=False).ngroup().to_numpy()
     kind = pdf["_kind"].to_numpy()
     v = pdf["_v"].to_numpy(dtype="float64")
-    c = pdf["_c"].to_numpy(dtype="int64")
     is_m = kind == _KIND_MEASURE
-    is_h = kind == _KIND_HIST
-    ng = int(g.max()) + 1 if len(g) else 0
-    # group's first measurement: given (multi-chunk plan) or the first measurement row here
-    given = pd.Series(pdf["_first"].to_numpy(dtype="float64")).groupby(g).transform("max")
-    local = pd.Series(np.where(is_m, v, np.nan)).groupby(g).transform("first")
-    first = given.fillna(local).to_numpy()
+    first = pd.Series(np.where(is_m, v, np.nan)).groupby(g).transform("first").to_numpy()
     shift = np.nan_to_num(first, nan=0.0)
 
-    x = np.where(is_h | is_m, v - shift, 0.0)
-    w = np.where(is_h, c, np.where(is_m, 1, 0)).astype("float64")
-    df = pd.DataFrame({"g": g, "n": w, "s1": w * x, "s2": w * x * x,
-                       "mn": np.where(is_h | is_m, v, np.inf), "mx": np.where(is_h | is_m, v, -np.inf),
-                       "last": np.where(is_m | (kind == _KIND_LAST), v, np.nan)})
+    x = np.where(is_m, v - shift, 0.0)
+    w = is_m.astype("float64")
+    df = pd.DataFrame({"g": g, "n": w, "s1": x, "s2": x * x, "mn": np.where(is_m, v, np.inf),
+                       "mx": np.where(is_m, v, -np.inf), "last": np.where(is_m, v, np.nan)})
     grp = df.groupby("g", sort=False)
     n = grp["n"].cumsum().to_numpy()
     s1 = grp["s1"].cumsum().to_numpy()
@@ -183,11 +113,7 @@ def _process(pdf: pd.DataFrame, ckeys, out_keys, stats) -> pd.DataFrame:
         starts = np.concatenate([[0], bounds])
         ends = np.concatenate([bounds, [len(g)]])
         for s0, e0 in zip(starts, ends):
-            k = kind[s0:e0]
-            h = is_h[s0:e0]
-            m_, i_ = _group_quartiles(k, v[s0:e0], v[s0:e0][h], c[s0:e0][h])
-            med[s0:e0] = m_
-            iqr[s0:e0] = i_
+            med[s0:e0], iqr[s0:e0] = _group_quartiles(kind[s0:e0], v[s0:e0])
         res["median"] = med[q]
         res["iqr"] = iqr[q]
     for st in stats:
@@ -293,55 +219,19 @@ def history_stats(measures: DataFrame, index: DataFrame, keys: Sequence[str], *,
     cap = int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nparts = num_partitions or max(1, min(cap, -(-total // rows_per_task)))
     if biggest <= chunk_rows:
-        rows = stream.select(*gkeys, F.lit(0).cast("long").alias("_chunk"), "_t", "_ord", "_v",
-                             F.lit(1).cast("long").alias("_c"), "_kind", index_id,
-                             F.lit(None).cast("double").alias("_first"))
-        ckeys = gkeys + ["_chunk"]
-        return sweep(rows, ckeys)
-
-    # (2) chunk geometry per group, from one grouped aggregate (partial agg map-side)
-    first_ord = F.when(F.col("_kind") == _KIND_MEASURE, F.struct("_t", "_ord"))
-    geo = (stream.groupBy(*gkeys)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_tmin"), F.max("_t").alias("_tmax"),
-                F.max(F.col("_kind")).alias("_has_m"),
-                F.min_by("_v", first_ord).alias("_first"))
-           .filter(F.col("_has_m") == _KIND_MEASURE)  # groups without measurements give nothing
-           .withColumn("_nch", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(chunk_rows))).cast("long"))))
-    geo = geo.withColumnsRenamed({k: f"_g_{k}" for k in gkeys})
-    join_cond = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in gkeys]
-    chunked = (stream.join(geo, on=join_cond, how="inner")
-               .select(*gkeys, "_t", "_ord", "_v", "_kind", index_id, "_first",
-                       F.least(F.col("_nch") - 1,
-                               F.floor((F.col("_t") - F.col("_tmin")).cast("double") * F.col("_nch")
-                                       / (F.col("_tmax") - F.col("_tmin") + 1).cast("double")).cast("long")
-                               ).alias("_chunk"),
-                       "_nch"))
-
-    # (3) carry-in of earlier chunks: value histogram + last earlier value
-    ckeys = gkeys + ["_chunk"]
-    meas = chunked.filter(F.col("_kind") == _KIND_MEASURE)
-    multi = meas.filter(F.col("_nch") > 1)
-    later = F.sequence(F.col("_chunk") + 1, F.col("_nch") - 1)
-    early = multi.filter(F.col("_chunk") < F.col("_nch") - 1)
-    hist = (early.groupBy(*gkeys, "_chunk", "_v", "_nch").agg(F.count(F.lit(1)).alias("_c"))
-            .select(*gkeys, F.explode(later).alias("_chunk"), "_v", "_c")
-            .groupBy(*gkeys, "_chunk", "_v").agg(F.sum("_c").alias("_c"))
-            .withColumn("_kind", F.lit(_KIND_HIST)))
-    last = (early.groupBy(*gkeys, "_chunk", "_nch")
-            .agg(F.max(F.struct("_t", "_ord", "_v")).alias("_l"))
-            .select(*gkeys, F.explode(later).alias("_chunk"), "_l")
-            .groupBy(*gkeys, "_chunk").agg(F.max("_l").alias("_l"))
-            .select(*gkeys, "_chunk", F.col("_l._v").alias("_v"), F.lit(0).cast("long").alias("_c"),
-                    F.lit(_KIND_LAST).alias("_kind")))
-    idt = index.schema[index_id].dataType
-    carry = (hist.unionByName(last)
-             .select(*ckeys, F.lit(-(2 ** 63)).alias("_t"), F.lit(0).cast("long").alias("_ord"), "_v", "_c",
-                     "_kind", _no_id(idt).alias(index_id), F.lit(None).cast("double").alias("_first")))
-    rows = (chunked.select(*ckeys, "_t", "_ord", "_v", F.lit(1).cast("long").alias("_c"), "_kind", index_id,
-                           "_first")
-            .unionByName(carry))
-
-    return sweep(rows, ckeys)
+        return sweep(stream, gkeys)
+
+    # (3) the few groups above chunk_rows (one row each) by prefix statistics over many tasks, all others as before
+    value = F.when(F.col("_kind") == _KIND_MEASURE, F.struct("_t", "_ord", "_v"))
+    large = (stream.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).getField("_v").alias("_first"))
+             .filter(F.col("_n") > chunk_rows).select(*gkeys, "_first"))
+    large = materialize(large.withColumn("_gid", F.monotonically_increasing_id()), "large-groups")
+    marked = null_safe_join(stream, large, gkeys)
+    small = marked.filter(F.col("_gid").isNull()).drop("_gid", "_first")
+    hot = marked.filter(F.col("_gid").isNotNull() & F.col("_first").isNotNull())
+    found = prefix_stats(hot.select("_gid", "_t", "_kind", "_ord", "_v", "_first", index_id), index_id, stats, chunk_rows)
+    found = found.join(large.drop("_first"), "_gid").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return sweep(small, gkeys).unionByName(found)
 
 
 def pivot_stats(long: DataFrame, id_cols: Sequence[str], test_col: str, tests: Sequence[str],
