@@ -251,6 +251,14 @@ def _training_out() -> list[str]:
 
 
 ORACLE = {
+    "history_all_users": f"""
+WITH {MEASURES},
+  i AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'),
+  h AS (SELECT m.event_type, i.event_id, {_stat_exprs('m.value', '(m.ts, m.event_id)')}
+        FROM i JOIN m ON m.ts < i.ts GROUP BY m.event_type, i.event_id)
+SELECT event_type, event_id, {_round_stats()}
+FROM (SELECT * REPLACE (mean + CAST(1e-9 AS DOUBLE) AS mean) FROM h)""",
+
     "history_panel_stats": f"""{HISTORY}
 SELECT user_id, event_type, event_id, {_round_stats()} FROM h""",
 

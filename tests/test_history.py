@@ -15,7 +15,7 @@ def brute(meas: pd.DataFrame, idx: pd.DataFrame, keys):
         for test in sorted(meas["test"].unique()):
             m = meas[(meas["test"] == test) & (meas["t"] < i["t0"])]
             for k in keys:
-                m = m[(m[k] == i[k]) | (m[k].isna() & pd.isna(i[k]))]
+                m = m[m[k].isna()] if pd.isna(i[k]) else m[(m[k] == i[k]).fillna(False)]
             m = m.dropna(subset=["v"])
             if m.empty:
                 continue
@@ -112,6 +112,25 @@ def test_chunked_sweep_equals_brute_force(spark, chunk_rows):
     check(out, brute(m, i, ["sid", "hid"]))
 
 
+@pytest.mark.parametrize("chunk_rows", [40, 900, 10_000])
+def test_large_groups_in_chunks(spark, chunk_rows):
+    """A group of nine tenths of the rows, half of them at one instant; groups with NULL keys; values that are nearly all
+    different, and nearly all equal; chunks above and below the step of the stored counts."""
+    rng = np.random.default_rng(13)
+    meas, idx = [], []
+    for rid in range(2400):
+        sid = 1 if rid % 10 else None
+        t = T0 if rid % 2 else T0 + dt.timedelta(minutes=int(rng.integers(-900, 900)))
+        test = ["x", "y"][rid % 3 == 0]
+        meas.append((sid, None if sid else 7, test, t, rid, float(rng.normal()) if test == "x" else float(rng.integers(0, 2))))
+    for j in range(60):
+        idx.append((1 if j % 4 else None, None if j % 4 else 7, f"i{j}", T0 + dt.timedelta(minutes=int(rng.integers(-950, 950)))))
+    idx += [(1, None, "at", T0), (1, None, "after", T0 + dt.timedelta(seconds=1)), (2, 2, "none", T0)]
+    m, i, ms, ix = make(spark, meas, idx)
+    out = run(ms, ix, ["x", "y"], chunk_rows=chunk_rows)
+    check(out, brute(m.astype({"sid": "Int64", "hid": "Int64"}), i.astype({"sid": "Int64", "hid": "Int64"}), ["sid", "hid"]))
+
+
 def test_pivot_names_and_nulls(spark):
     meas, idx, ms, ix = make(spark, EDGE_MEAS, EDGE_IDX)
     long = history_stats(ms, ix, ["sid", "hid"], test_col="test", time_col="t", value_col="v", order_col="rid",
