@@ -17,7 +17,7 @@ from cohortkit.operators.prefix import null_safe_join, running_sums
 
 
 def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "_q",
-                 values_per_chunk: int = 50_000) -> DataFrame:
+                 values_per_chunk: int = 1_000_000) -> DataFrame:
     """(keys, ``out``: array of one quantile per probability); NULL values are left out, NaN is the largest value.
 
     A group of NULL values only has no row.  NULL is a key like any other.
@@ -45,7 +45,7 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    values_per_chunk: int = 50_000) -> dict[str, list[float | None]]:
+                    values_per_chunk: int = 1_000_000) -> dict[str, list[float | None]]:
     """{column: [quantile per prob]} over values that are neither NULL nor NaN; None for a column without any."""
     cols = list(cols)
     if not cols:

@@ -34,7 +34,7 @@ def stat_columns(value: str, order: Sequence[str], stats: Sequence[str]) -> list
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
               stats: Sequence[str] = STAT_NAMES, quantiles: Sequence[float] = (),
-              values_per_chunk: int = 50_000) -> DataFrame:
+              values_per_chunk: int = 1_000_000) -> DataFrame:
     """Ten statistics of ``value`` per group.
 
     All but the quantiles are partial aggregates of one ``groupBy``.  Median, IQR and further quantiles are selected on
