@@ -463,15 +463,33 @@ def q_boosted_horizon_eval(spark, d):
     return _r(m["roc_auc"].join(m["average_precision"], "horizon"))
 
 
+BOOST_FEATURES = ["l_discount", "l_quantity", "l_tax"]
+
+
+def q_boosted_separable(spark, d):
+    """Eight boosted stumps on a label that one of three features separates: per quantity its rows, score and predicted
+    positives.  Both leaves of such stumps are known, so SQL follows the boosting step by step."""
+    from cohortkit.operators import boosting as BO
+
+    li = _t(spark, d, "lineitem").select(*BOOST_FEATURES, C.flag(F.col("l_quantity") > 24).alias("label"))
+    x = PR.assemble(li, BOOST_FEATURES)
+    binned = BO.bin_rows(x, [("label", None, None)], max_bins=255)
+    model, = BO.refit(binned, [{"maxIter": 8, "maxDepth": 1, "stepSize": 0.3}])
+    scored = BO.predict(model, x)
+    return C.round_cols(scored.groupBy("l_quantity").agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+        F.sum("prediction").alias("predicted")), 5)
+
+
 def q_split_importance(spark, d):
     """Splits per feature in the 30-day model that the reference grid chooses."""
-    from cohortkit.operators import model as MD
+    from cohortkit.operators import boosting as BO
     from cohortkit.plans.modelling import develop
 
     t = _cohort_with_keys(spark, d)
     feats = _feature_cols(t)
     res = develop(t, feats, ["row_key"], horizons=(30,))
-    return MD.split_count_importance(res["models"][30], [f for f in feats if f not in res["dropped"]], k=30)
+    return BO.split_count_importance(res["models"][30], spark, [f for f in feats if f not in res["dropped"]], k=30)
 
 
 def q_cox_cohort_study(spark, d):
@@ -489,6 +507,7 @@ def q_elapsed_odds_ratio(spark, d):
 
 SPARK.update({
     "boosted_horizon_eval": q_boosted_horizon_eval,
+    "boosted_separable": q_boosted_separable,
     "split_importance": q_split_importance,
     "cox_cohort_study": q_cox_cohort_study,
     "elapsed_odds_ratio": q_elapsed_odds_ratio,

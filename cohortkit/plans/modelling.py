@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.columns import select_features
+from cohortkit.operators import boosting as BO
 from cohortkit.operators import model as MD
 from cohortkit.operators import prep as PR
 from cohortkit.operators import survival as SV
 from cohortkit.operators.labels import HORIZONS
-from cohortkit.session import materialize
+from cohortkit.session import materialize, release
 
 
 def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str], *,
             horizons: Sequence[int] = HORIZONS, label: str = "cdiff_{h}d_flag",
             grid: Mapping[str, Sequence] = MD.REFERENCE_GRID, folds: int = 4, test_frac: float = 0.2,
             seed: int = 0, impute: str = "features", impute_before_split: bool = True,
-            refit_weighted: bool = False, parallelism: int | None = None) -> dict:
-    """Tune, refit and score one boosted-tree model per horizon.
+            refit_weighted: bool = False) -> dict:
+    """Tune, refit and score one boosted-tree model per horizon; all fits of all horizons grow in the same passes.
 
     Returns {"scored": long (horizon, label, score, prediction) frame of the
     test rows, "best": {horizon: params}, "models": {horizon: model},
@@ -45,14 +46,17 @@ def develop(table: DataFrame, features: Sequence[str], key_cols: Sequence[str],
     feats = [c for c in feats if c not in dropped]
     t = materialize(PR.assemble(t, feats), "modelling-input")  # reused by every fit below
     train, test = t.filter("is_test = 0"), t.filter("is_test = 1")
-    scored, best, models = [], {}, {}
+    rows, scored = train, []
+    for y in labels:  # folds and weights of every horizon, beside each other
+        rows = PR.class_weights(rows, y, name=f"_w_{y}")
+        rows = PR.stratified_folds(rows, key_cols, y, k=folds, seed=seed, name=f"_f_{y}")
+    binned = BO.bin_rows(rows, [(y, f"_w_{y}", f"_f_{y}") for y in labels])
+    chosen = [MD.best_params(points) for points in BO.search(binned, len(labels), grid, folds)]
+    best = dict(zip(horizons, chosen))
+    models = dict(zip(horizons, BO.refit(binned, chosen, refit_weighted)))
+    release(binned.blocks)
     for h, y in zip(horizons, labels):
-        tr = PR.stratified_folds(PR.class_weights(train, y), key_cols, y, k=folds, seed=seed)
-        points = MD.grid_search(tr, y, grid, "fold", weight="weight", seed=seed, parallelism=parallelism,
-                                num_folds=folds)
-        best[h] = MD.best_params(points)
-        models[h] = MD.refit(tr, y, best[h], weight="weight", refit_weighted=refit_weighted, seed=seed)
-        p = MD.predict(models[h], test)
+        p = BO.predict(models[h], test)
         scored.append(p.select(F.lit(f"{h}d").alias("horizon"), F.col(y).cast("int").alias("label"),
                                "score", "prediction"))
     long = scored[0]

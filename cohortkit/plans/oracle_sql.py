@@ -477,4 +477,19 @@ FROM (SELECT event, CAST(least(floor(days / 10.0), 11) AS INTEGER) AS bin FROM f
 GROUP BY event, bin""",
 
     "training_table": _training_sql(),
+
+    # the leaves of a stump that separates the classes: all rows of a leaf have one label, so its sums are counts
+    "boosted_separable": """
+WITH RECURSIVE s AS (SELECT count(*) FILTER (WHERE l_quantity <= 24)::DOUBLE AS a, count(*) FILTER (WHERE l_quantity > 24)::DOUBLE AS b
+                     FROM lineitem),
+  step(k, ma, mb) AS (
+    SELECT 0, ln(b / a), ln(b / a) FROM s
+    UNION ALL
+    SELECT k + 1, ma - 0.3 * a * pa / (a * pa * (1 - pa) + 1), mb + 0.3 * b * (1 - pb) / (b * pb * (1 - pb) + 1)
+    FROM (SELECT k, ma, mb, 1 / (1 + exp(-ma)) AS pa, 1 / (1 + exp(-mb)) AS pb FROM step), s WHERE k < 8),
+  p AS (SELECT 1 / (1 + exp(-ma)) AS pa, 1 / (1 + exp(-mb)) AS pb FROM step WHERE k = 8)
+SELECT l_quantity, count(*) AS n, round(min(CASE WHEN l_quantity <= 24 THEN pa ELSE pb END), 5) AS min_score,
+  round(max(CASE WHEN l_quantity <= 24 THEN pa ELSE pb END), 5) AS max_score,
+  CAST(sum(CASE WHEN l_quantity > 24 THEN 1 ELSE 0 END) AS BIGINT) AS predicted
+FROM lineitem, p GROUP BY l_quantity""",
 }

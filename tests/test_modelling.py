@@ -22,7 +22,7 @@ def cohort(spark, n=240, seed=3):
 def test_develop_two_horizons(spark):
     t = cohort(spark)
     res = develop(t, ["mean_lab", "admit_is_A", "age_at_admin"], ["antibiotic_key"], horizons=(2, 30),
-                  grid={"maxIter": [3], "maxDepth": [2]}, folds=2, parallelism=1)
+                  grid={"maxIter": [3], "maxDepth": [2]}, folds=2)
     auc = {r["horizon"]: r["roc_auc"] for r in res["metrics"]["roc_auc"].collect()}
     assert set(auc) == {"2d", "30d"} and min(auc.values()) > 0.75
     assert res["scored"].count() == 2 * 48  # ceil(0.2 * 240) test rows per horizon
@@ -70,23 +70,23 @@ def test_survival_study_and_odds_ratio(spark):
 
 
 def test_registered_models_search_the_reference_grid(spark, monkeypatch):
-    from cohortkit.operators import model as MD
+    from cohortkit.operators import boosting as BO
     from cohortkit.plans import driver_tables
 
     asked = []
 
-    def grid_search(df, label, grid, fold_col, **kw):
-        asked.append((label, grid, df.select(fold_col).distinct().count(), kw["num_folds"]))
-        raise StopIteration  # the search itself takes hours
+    def search(binned, targets, grid, num_folds):
+        asked.append((targets, grid, num_folds))
+        raise StopIteration
 
-    monkeypatch.setattr(MD, "grid_search", grid_search)
+    monkeypatch.setattr(BO, "search", search)
     monkeypatch.setattr(driver_tables, "_cohort_with_keys", lambda *_: cohort(spark).selectExpr(
-        "antibiotic_key as row_key", "mean_lab", "cdiff_2d_flag", "cdiff_30d_flag"))
-    for query, first in (("boosted_horizon_eval", "cdiff_2d_flag"), ("split_importance", "cdiff_30d_flag")):
+        "antibiotic_key as row_key", "mean_lab", "cdiff_2d_flag", "cdiff_30d_flag as cdiff_7d_flag", "cdiff_30d_flag"))
+    for query, horizons in (("boosted_horizon_eval", 3), ("split_importance", 1)):
         try:
             driver_tables.SPARK[query](spark, None)
         except StopIteration:
             pass
-        label, grid, folds, asked_folds = asked.pop()
-        assert label == first and folds == asked_folds == 4
+        targets, grid, folds = asked.pop()
+        assert targets == horizons and folds == 4
         assert grid == {"maxIter": [50, 70, 100, 150], "maxDepth": [3, 5, 7, 9], "stepSize": [0.1, 0.2]}
