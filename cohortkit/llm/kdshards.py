@@ -7,8 +7,10 @@ size.  Quantiles are found for all nodes of a level at once: byte histograms ove
 then a hash that orders ties) are narrowed until the bin that holds the cut is light enough; only
 histograms of at most 1,024 bins per node reach the driver.  The tree (under 2 x shards nodes) is applied as one expression.
 
-A group heavier than 1/8 of a shard (at most 8 x shards of them) is divided into pieces by a hash of the
-row, so that one text with very many copies cannot unbalance a shard; lighter groups stay together.
+Equal texts share a shard while they fit in one.  Groups heavier than 1/8 of a shard (fewer than 8 x shards of them) are
+packed first, heaviest first, each whole into the emptiest shard; the tree deals the others into the room that is left, so its
+cuts lie at the share of the room on either side.  A heavy group that fits in no shard's room (one text with very
+many copies) is divided into pieces of about 1/8 of a shard by a hash of the row, and its pieces are points of the tree.
 
 Defined cases: NULL text has 16 bytes and crc32 0; NULL ids, sources and languages take the lowest place; repeated
 rows are rows of one group; a table with fewer groups than shards leaves some empty; an empty table gives no rows.
@@ -86,9 +88,23 @@ class Tree:
         return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
 
 
-def build(points: DataFrame, shards: int, slack: float = 0.01) -> Tree:
-    """Tree over points (key array, bytes)."""
+def pack(heavy: list, shards: int, total: int) -> tuple[dict, list, list]:
+    """Heavy groups (bytes, group) -> ({group: shard}, groups that fit nowhere, room left per shard)."""
+    room, place, cut = [total / shards] * shards, {}, []
+    for b, g in sorted(heavy, key=lambda x: (-x[0], x[1])):
+        i = max(range(shards), key=lambda j: (room[j], -j))
+        if b <= room[i]:
+            place[g] = i
+            room[i] -= b
+        else:
+            cut.append(g)
+    return place, cut, room
+
+
+def build(points: DataFrame, shards: int, slack: float = 0.01, room: list | None = None) -> Tree:
+    """Tree over points (key array, bytes); ``room`` is each shard's share of them (default: equal)."""
     tree = Tree(shards)
+    room = room or [1.0] * shards
     level = [0]
     while level:
         at = points.withColumn("node", tree.node()).filter(F.col("node").isin(*level))
@@ -101,7 +117,9 @@ def build(points: DataFrame, shards: int, slack: float = 0.01) -> Tree:
             width = [(r[f"hi{d}"] >> TIE_BITS) - (r[f"lo{d}"] >> TIE_BITS) for d in range(len(DIMS))]
             dim = max(range(len(DIMS)), key=lambda d: (width[d], -d))
             i = r["node"]
-            state[i] = {"dim": dim, "want": r["bytes"] * (tree.k[i] // 2) / tree.k[i], "before": 0, "prefix": 0,
+            here = room[tree.first[i]:tree.first[i] + tree.k[i]]
+            share = sum(here[:tree.k[i] // 2]) / sum(here) if sum(here) > 0 else 0.5
+            state[i] = {"dim": dim, "want": r["bytes"] * share, "before": 0, "prefix": 0,
                         "leaf": r["bytes"] / tree.k[i], "cut": None}
         for i in level:
             if i not in state:  # nothing in it: any cut will do
@@ -146,20 +164,25 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
                      F.max("doc_id").alias("hi")).first()
     total, n, lo, hi = known["b"] or 0, known["n"], known["lo"] or 0, known["hi"] or 0
     piece_bytes = max(1, total // (8 * shards))
-    big = meta.groupBy(*group).agg(F.sum("size").alias("b")).filter(F.col("b") > piece_bytes).select(
-        *group, F.ceil(F.col("b") / piece_bytes).alias("pieces"))
-    meta = meta.join(F.broadcast(big), group, "left")  # at most 8 x shards groups can be as heavy
+    big = meta.groupBy(*group).agg(F.sum("size").alias("b")).filter(F.col("b") > piece_bytes)
+    heavy = [(r["b"], (r["th"], r["text_crc32"], r["size"])) for r in big.collect()]  # fewer than 8 x shards + 1 groups
+    place, cut, room = pack(heavy, shards, total)
+    weight = {g: b for b, g in heavy}
+    known_groups = docs.sparkSession.createDataFrame(
+        [(*g, i, 1) for g, i in place.items()] + [(*g, None, -(-weight[g] // piece_bytes)) for g in cut],
+        "th long, text_crc32 long, size long, packed int, pieces long")
+    meta = meta.join(F.broadcast(known_groups), group, "left")
     meta = meta.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("rid", F.lit(1)), F.col("pieces")), F.lit(0))).drop("pieces")
-    d_id = F.coalesce(((F.col("doc_id") - lo) * (TOP / max(1, hi - lo))).cast("int"), F.lit(0))
-    meta = meta.withColumn("d_id", d_id)
-    points = meta.groupBy(*group, "piece").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in DIMS])
+    d_id = (F.col("doc_id").cast("double") - F.lit(float(lo))) * (TOP / max(1, hi - lo))
+    meta = meta.withColumn("d_id", F.coalesce(F.least(F.lit(TOP), d_id.cast("int")), F.lit(0)))
+    points = meta.filter("packed IS NULL").groupBy(*group, "piece").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in DIMS])
     tie = F.xxhash64("th", "text_crc32", "piece").bitwiseAND((1 << TIE_BITS) - 1)
     points = points.withColumn("key", F.array(*[
         F.shiftleft(F.col(d).cast("long"), TIE_BITS).bitwiseOR(tie) for d in DIMS])).drop(*DIMS)
     points = materialize(points, "kd-points")
-    tree = build(points, shards) if n else Tree(1)
+    tree = build(points, shards, room=room) if n else Tree(1)
     placed = points.select(*group, "piece", F.get(_ints(tree.first), tree.node()).alias("shard"))
-    out = meta.drop(*DIMS).join(placed, [*group, "piece"])
+    out = meta.drop(*DIMS).join(placed, [*group, "piece"], "left").withColumn("shard", F.coalesce("packed", "shard"))
 
     runs = max(32, math.ceil(n / rows_per_run))
     out = out.withColumn("run", F.pmod(F.xxhash64("rid"), F.lit(runs)))

@@ -80,3 +80,70 @@ def test_shards_are_balanced_also_with_a_hot_text(spark, no_docs):
     g = kdshards.shard(d).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     mean = sum(r["b"] for r in g) / 40
     assert len(g) == 40 and all(abs(r["b"] - mean) < 0.1 * mean for r in g)
+    assert kdshards.shard(no_docs).count() == 0
+
+
+def test_equal_texts_share_a_shard_while_they_fit(spark):
+    """Groups of 1/6 and of 3/4 of a shard stay whole, and sizes stay near equal."""
+    d = spark.range(12000).selectExpr(
+        "id as doc_id", "if(id % 40 < 3, concat('heavy ', repeat('x', 100), id % 40), if(id % 40 < 5, concat('lighter', id % 40, 'y'),"
+        " concat('own ', id, repeat('z', int(id % 90))))) as text",
+        "concat('s', id % 7) as source", "if(id % 5 = 0, null, 'en') as lang")
+    r = kdshards.shard(d, shards=20).cache()
+    mean = r.agg(F.sum("size")).first()[0] / 20
+    groups = r.groupBy("text_crc32", "size").agg(F.sum("size").alias("b"), F.countDistinct("shard").alias("k"))
+    assert groups.filter((F.col("b") > mean / 8) & (F.col("b") <= mean)).count() == 5
+    assert groups.filter((F.col("b") <= mean) & (F.col("k") > 1)).count() == 0
+    sizes = [x["b"] for x in r.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 20 and all(abs(b - mean) < 0.05 * mean for b in sizes)
+
+
+def test_extreme_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([(-2 ** 63, "a", 1), (2 ** 63 - 1, "b c", 2), (0, None, 3), (None, "", 4)],
+                              "doc_id long, text string, size int").selectExpr(
+        "*", "'x' as source", "'en' as lang", "size as shard", "size as piece", "size as bytes", "size as th")
+    r = kdshards.shard(d, shards=3).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["size"]) for x in r) == sorted(
+        [(False, -2 ** 63, 17), (False, 2 ** 63 - 1, 19), (False, 0, 16), (True, 0, 16)])
+
+
+def _plain_tree(points, shards, room):
+    """Recursion over sorted points: {point: leaf}."""
+    out = {}
+
+    def go(ps, first, k):
+        if k == 1:
+            out.update({p: first for p in ps})
+            return
+        here = room[first:first + k]
+        share = sum(here[:k // 2]) / sum(here)
+        if ps:
+            width = [max(p[0][j] for p in ps) // 2 ** kdshards.TIE_BITS - min(p[0][j] for p in ps) // 2 ** kdshards.TIE_BITS
+                     for j in range(len(kdshards.DIMS))]
+            dim = width.index(max(width))
+            ps = sorted(ps, key=lambda p: p[0][dim])
+            want, acc, at = share * sum(p[1] for p in ps), 0, 0
+            while acc + ps[at][1] < want:
+                acc += ps[at][1]
+                at += 1
+            at += acc + ps[at][1] - want <= want - acc
+            go(ps[:at], first, k // 2)
+            go(ps[at:], first + k // 2, k - k // 2)
+
+    go(points, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("room", [None, [5.0, 1.0, 2.0, 0.5, 3.0, 3.0, 1.5]])
+def test_tree_equals_a_plain_recursion(spark, room):
+    import random
+
+    r = random.Random(3)
+    tie = [r.getrandbits(kdshards.TIE_BITS) for _ in range(400)]
+    points = [(tuple(r.choice([r.randrange(1 << 20), 77, 500_000 // (j + 1)]) << kdshards.TIE_BITS | t for j in range(4)),
+               r.randrange(1, 300)) for t in tie]
+    df = spark.createDataFrame([(list(k), b) for k, b in points], "key array<bigint>, bytes long")
+    tree = kdshards.build(df, 7, slack=0.0, room=room)
+    got = df.select("key", "bytes", F.get(kdshards._ints(tree.first), tree.node()).alias("leaf")).collect()
+    want = _plain_tree(points, 7, room or [1.0] * 7)
+    assert {(tuple(x["key"]), x["bytes"]): x["leaf"] for x in got} == want
