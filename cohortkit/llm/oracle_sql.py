@@ -51,8 +51,9 @@ WITH m AS ({" UNION ALL ".join([
     _kind("assign", 0, ASSIGN, 2, 6), _kind("access", 1, ACCESS, 0, 20), _kind("hex", 2, HEX, 0, 24),
     _kind("generic", 3, GENERIC, 0, 20)])}),
 f AS (SELECT * FROM m WHERE kind <> 'generic' OR ({_RANDOM})),
--- a NULL source is an owner too
-p AS (SELECT DISTINCT v, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS owner FROM f),
+-- exact copies are one repository, owned by the least of their sources; a NULL source is an owner too
+p AS (SELECT v, md5(d.text) AS th, min(CASE WHEN f.source IS NULL THEN '1' ELSE '0' || f.source END) AS owner
+      FROM f JOIN documents d USING (doc_id) GROUP BY ALL),
 o AS (SELECT v, count(*) AS repos, count(DISTINCT owner) AS owners FROM p GROUP BY v),
 a AS (SELECT doc_id, rnk, kind, s, e FROM f WHERE kind <> 'generic'
       UNION ALL

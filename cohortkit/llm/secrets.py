@@ -143,16 +143,21 @@ def by_content_only(held: DataFrame, texts: DataFrame) -> DataFrame:
     return per_owner.groupBy("vh", "repo").agg(F.min("owner").alias("owner"))
 
 
+def by_text(held: DataFrame) -> DataFrame:
+    """``held`` with one row per value and text: the text is the repository, its least owner the owner."""
+    return held.groupBy("vh", F.col("th").alias("repo")).agg(F.min("owner").alias("owner"))
+
+
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
          max_owners: int = 1, max_repos: int = 3, by_content: bool = False) -> DataFrame:
     """id, th, kind, rank, start, end: base spans, and a ``live`` or ``example`` span over each candidate value.
 
-    ``example``: more than ``max_owners`` owners, or more than ``max_repos`` repositories hold the value, by
-    sources and documents or, with ``by_content``, by groups of copies.
+    ``example``: more than ``max_owners`` owners, or more than ``max_repos`` repositories hold the value.  Exact copies
+    are one repository, owned by the least of their sources; with ``by_content`` near copies are one too.
     """
     owners, found, texts = candidate_spans(docs, text_col, id_col, source_col)
     held = holders(owners, found)
-    freq = ownership(held)
+    freq = ownership(by_text(held))
     if by_content:
         freq = materialize(freq, "secret-counts")
         many = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
