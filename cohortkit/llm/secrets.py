@@ -76,12 +76,17 @@ def looks_random(v: Column) -> Column:
             & (F.size(F.array_distinct(F.split(v, ""))) >= 8))
 
 
-def candidate_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                    source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def with_hits(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """id, th, owner, hit, and the text where it may hold a span; written once, so the patterns pass over all texts once."""
+    hit = text_or_empty(F.col(text_col)).rlike(ANY)
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("owner"),
+                    hit.alias("hit"), F.col(text_col).alias("text"))
+    return materialize(d.withColumn("text", F.when(F.col("hit"), F.col("text"))), "secret-hits")
+
+
+def candidate_spans(staged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(owners of documents that may hold a span, keyed by id and text hash; their matches; their texts)."""
-    hit = docs.filter(F.col(text_col).rlike(ANY)).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"),
-        F.col(source_col).alias("owner"))
+    hit = staged.filter("hit").select("id", "th", "text", "owner")
     # repeated rows (same id, text and owner) are one; a text under two owners keeps both as owners
     once = hit.groupBy("id", "th").agg(F.first("text").alias("text"))
     owners = hit.select("id", "th", "owner").distinct()
@@ -149,13 +154,15 @@ def by_text(held: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
-         max_owners: int = 1, max_repos: int = 3, by_content: bool = False) -> DataFrame:
+         max_owners: int = 1, max_repos: int = 3, by_content: bool = False, staged: DataFrame | None = None) -> DataFrame:
     """id, th, kind, rank, start, end: base spans, and a ``live`` or ``example`` span over each candidate value.
 
     ``example``: more than ``max_owners`` owners, or more than ``max_repos`` repositories hold the value.  Exact copies
     are one repository, owned by the least of their sources; with ``by_content`` near copies are one too.
+    ``staged``: ``with_hits`` of the documents, if it is there already.
     """
-    owners, found, texts = candidate_spans(docs, text_col, id_col, source_col)
+    staged = with_hits(docs, text_col, id_col, source_col) if staged is None else staged
+    owners, found, texts = candidate_spans(staged)
     held = holders(owners, found)
     freq = ownership(by_text(held))
     if by_content:
@@ -186,8 +193,9 @@ def span_lists(spans: DataFrame) -> DataFrame:
 
 def scan_digests(docs: DataFrame, **kw) -> DataFrame:
     """One row per document with the counts and digests of its spans (all documents, also those without)."""
-    lists = span_lists(scan(docs, **kw))
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), text_or_empty(F.col("text")).rlike(ANY).alias("hit"))
+    staged = with_hits(docs)
+    lists = span_lists(scan(docs, staged=staged, **kw))
+    d = staged.select(F.col("id").alias("doc_id"), "th", "hit")
     j = d.filter("hit").join(lists, d["doc_id"].eqNullSafe(lists["id"]) & (d["th"] == lists["th"]), "left").select(
         "doc_id", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans"))
     none = d.filter(~F.col("hit")).select(
