@@ -331,6 +331,12 @@ def q_cox_hazard_ratios(spark, d):
     return _r(SV.hazard_ratios(spark, model))
 
 
+def q_cox_quantity(spark, d):
+    """One standardised covariate, so that SQL can follow Newton's steps."""
+    model = SV.fit_cox(survival_frame(spark, d), ["l_quantity"], "days", "event", standardize=True)
+    return _r(SV.hazard_ratios(spark, model))
+
+
 def q_cox_concordance(spark, d):
     s = survival_frame(spark, d)
     model = SV.fit_cox(s, COX_FEATURES, "days", "event", standardize=True)
@@ -434,6 +440,7 @@ SPARK = {
     "survival_window": q_survival_window,
     "survival_histogram": q_survival_histogram,
     "cox_hazard_ratios": q_cox_hazard_ratios,
+    "cox_quantity": q_cox_quantity,
     "cox_concordance": q_cox_concordance,
     "value_density": q_value_density,
     "training_table": q_training_table,

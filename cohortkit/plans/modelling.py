@@ -92,7 +92,7 @@ def odds_ratio(df: DataFrame, label: str, x: str) -> DataFrame:
     """Logistic regression of ``label`` on one column; odds ratio per unit of ``x``."""
     d = PR.assemble(df.select(F.col(label).cast("double").alias("label"), F.col(x).cast("double").alias(x))
                     .dropna(), [x])
-    m = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.0).fit(d)
+    m = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.0, tol=1e-10, maxIter=200).fit(d)
     coef = float(m.coefficients[0])
     spark = df.sparkSession
     return spark.createDataFrame([(x, coef, float(m.intercept))], "feature string, coef double, intercept double") \

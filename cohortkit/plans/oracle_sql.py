@@ -492,4 +492,34 @@ SELECT l_quantity, count(*) AS n, round(min(CASE WHEN l_quantity <= 24 THEN pa E
   round(max(CASE WHEN l_quantity <= 24 THEN pa ELSE pb END), 5) AS max_score,
   CAST(sum(CASE WHEN l_quantity > 24 THEN 1 ELSE 0 END) AS BIGINT) AS predicted
 FROM lineitem, p GROUP BY l_quantity""",
+
+    # Newton's steps for one slope and an intercept
+    "elapsed_odds_ratio": f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT CAST(cdiff_30d_flag AS DOUBLE) AS y, CAST(admin_time_since_admission AS DOUBLE) AS x
+                                  FROM ({_training_sql()}) WHERE cdiff_30d_flag IS NOT NULL AND admin_time_since_admission IS NOT NULL),
+  step(k, b0, b1) AS (
+    SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+    UNION ALL
+    SELECT k + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT k, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+                 sum(p * (1 - p) * x * x) AS h11
+          FROM (SELECT k, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM step, t) GROUP BY k, b0, b1) WHERE k < 20)
+SELECT 'admin_time_since_admission' AS feature, round(b1, 6) AS coef, round(b0, 6) AS intercept, round(exp(b1), 6) AS odds_ratio
+FROM step WHERE k = 20""",
+
+    # Newton's steps of the partial likelihood (Breslow ties): risk sets are running sums from the latest time down
+    "cox_quantity": f"""
+WITH RECURSIVE {SURVIVAL.replace("l.l_extendedprice", "l.l_quantity")},
+  c AS MATERIALIZED (SELECT days, event, (l_quantity - (SELECT avg(l_quantity) FROM f)) / (SELECT stddev_pop(l_quantity) FROM f) AS x FROM f),
+  step(k, b) AS (
+    SELECT 0, 0.0::DOUBLE
+    UNION ALL
+    SELECT k + 1, b + sum(sx - d * s1 / s0) / sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0)))
+    FROM (SELECT k, b, d, sx, sum(r0) OVER w AS s0, sum(r1) OVER w AS s1, sum(r2) OVER w AS s2
+          FROM (SELECT k, b, days, sum(event) AS d, sum(event * x) AS sx, sum(exp(b * x)) AS r0, sum(x * exp(b * x)) AS r1,
+                       sum(x * x * exp(b * x)) AS r2
+                FROM step, c WHERE k < 12 GROUP BY k, b, days)
+          WINDOW w AS (ORDER BY days DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    GROUP BY k, b)
+SELECT 'l_quantity' AS feature, round(b, 6) AS coef, round(exp(b), 6) AS hazard_ratio FROM step WHERE k = 12""",
 }
