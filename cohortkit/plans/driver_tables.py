@@ -89,7 +89,7 @@ def scored_docs(spark, d):
 # ------------------------------------------------------------- Spark builders
 def q_history_all_users(spark, d):
     """For each purchase, statistics of all earlier events of each type, whoever caused them: groups of whole event
-    types, in chunks of 1,000 rows."""
+    types, in chunks of 1,000 rows (more in large tables, see ``prefixstats``)."""
     out = history_stats(measures(spark, d), purchases(spark, d), [], test_col="event_type", time_col="ts", value_col="value",
                         order_col="event_id", index_id="event_id", index_time="ts", tests=TESTS, chunk_rows=1_000)
     # a mean of 32 amounts may end in 5 at the seventh place: nudged, so that it rounds alike whatever the order of the sum

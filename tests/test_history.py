@@ -166,3 +166,32 @@ def test_groups_straddling_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     check(out.sort_values(["iid", "test"]).reset_index(drop=True), brute(m, i, ["sid", "hid"]))
+
+
+def test_ranks_among_prefixes_found_together():
+    from cohortkit.operators.prefixstats import _find
+
+    rng = np.random.default_rng(3)
+    for codes, n in ((1, 9), (5, 40), (300, 700)):
+        code, base = rng.integers(0, codes, n), rng.integers(0, 4, codes)
+        before = rng.integers(1, n + 1, 60)
+        k = (rng.random(60) * (before + base.sum())).astype(int)
+        for b, r, c, inside in zip(before, k, *_find(code, base, before, k)):
+            full = np.sort(np.concatenate([np.repeat(np.arange(codes), base), code[:b]]))
+            assert full[r] == c and inside == r - np.searchsorted(full, c)
+
+
+def test_grid_of_large_groups_grows_no_faster_than_the_rows(spark, monkeypatch):
+    """Chunks times buckets, which one chunk size for all tables makes quadratic."""
+    from cohortkit.operators import prefixstats
+
+    chunks = []
+    plain = prefixstats.positions
+    monkeypatch.setattr(prefixstats, "positions", lambda df, order, n, *a, **k: chunks.append(n) or plain(df, order, n, *a, **k))
+    n = 4000
+    meas = spark.range(n).selectExpr("1L sid", "1L hid", "'x' test", "timestamp_seconds(id) t", "id rid", "double(id % 97) v")
+    idx = spark.createDataFrame([(1, 1, "a", dt.datetime.fromtimestamp(n + 9))], "sid long, hid long, iid string, t0 timestamp")
+    out = run(meas, idx, ["x"], chunk_rows=10).iloc[0]
+    v = np.arange(n) % 97
+    assert (out["count"], out["median"], out["iqr"]) == (n, np.median(v), np.quantile(v, .75) - np.quantile(v, .25))
+    assert len(chunks) == 2 and 1 < chunks[0] * chunks[1] <= n / prefixstats.GRID ** 2 + n ** 0.5
