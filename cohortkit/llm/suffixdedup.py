@@ -11,8 +11,8 @@ too large for one suffix array, so places that can hold a repeat are first broug
    smaller than their successor are sorted directly, the others are induced by scans of the buckets in order.
    Common prefixes of adjacent suffixes of at least ``length`` bytes are repeats.
 4. An anchor hash with more than ``max_segments`` distinct segments is divided: each segment into eight
-   narrower ranges of windows, grouped anew by the hash of what lies in every window of the range, until
-   groups are small or ranges are single windows.  Nothing is capped.
+   narrower ranges of windows, grouped anew by the hash of what lies in every window of the range; parts alone in
+   their group hold no repeat.  So on until groups are small or ranges are single windows.  Nothing is capped.
 
 Rows are keyed by (id, text hash): rows equal in both are occurrences of each other and get the same spans.
 
@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -365,21 +365,38 @@ def block_spans(units: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return u.select("blk", "n", "id", "th", "pos", "seg").groupBy("blk").applyInArrow(run, SPAN)
 
 
-def divide(units: DataFrame, length: int, parts: int = 8) -> DataFrame:
-    """Units cut into ``parts`` narrower ranges of window starts (``glo`` to ``ghi``, relative to the anchor).
+def ranges(units: DataFrame, length: int, which: Column | None = None, parts: int = 8) -> DataFrame:
+    """A row per unit and narrower range of window starts (``x`` to ``y``, relative to the anchor) that holds windows of it
+    (``px`` to ``py``); ``which`` of the ``parts`` ranges, or all.
 
-    ``lo`` is the window start at a unit's first byte; s of a part is the hash of its bytes and place in the range.
+    ``lo`` is the window start at a unit's first byte.  ``core`` hashes the unit's group and the bytes that lie in every window of
+    the range: units that share a window of the range share it.
     """
     d = units.withColumn("step", F.ceil((F.col("ghi") - F.col("glo") + 1) / parts))
-    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)) if which is None else which))
     d = d.withColumn("x", F.col("glo") + F.col("k") * F.col("step"))
     d = d.withColumn("y", F.least("ghi", F.col("x") + F.col("step") - 1))
     d = d.withColumn("px", F.greatest("x", "lo"))
     d = d.withColumn("py", F.least("y", F.col("lo") + F.length("seg") - length)).filter("px <= py")
+    return d.withColumn("core", F.expr(f"xxhash64(g, substring(seg, int(y - lo + 1), int(x + {length} - y)))"))
+
+
+def divide(units: DataFrame, length: int) -> DataFrame:
+    """Units (numbered by ``u``) cut into narrower ranges, grouped by their cores; parts alone in their group are left out.
+
+    Only numbers are shuffled to find the groups; bytes of the parts that are not alone follow.  s of a part is the hash of its
+    bytes and place in the range.
+    """
+    found = materialize(ranges(units, length).select("u", "k", F.col("core").alias("g"), F.col("x").alias("glo"),
+                                                     F.col("y").alias("ghi")), "sa-ranges")
+    shared = found.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    which = found.join(shared, GROUP, "left_semi").groupBy("u").agg(F.collect_list("k").alias("ks"))
+    d = ranges(units.join(which, "u"), length, F.col("ks"))
     d = d.withColumn("seg", F.expr(f"substring(seg, int(px - lo + 1), int(py - px + {length}))"))
-    return d.select("g", F.col("x").alias("glo"), F.col("y").alias("ghi"),
-                    F.xxhash64("seg", F.col("px") - F.col("x")).alias("s"), "n", "id", "th",
-                    (F.col("pos") + F.col("px") - F.col("lo")).alias("pos"), F.col("px").alias("lo"), "seg")
+    d = d.select(F.col("core").alias("g"), F.col("x").alias("glo"), F.col("y").alias("ghi"),
+                 F.xxhash64("seg", F.col("px") - F.col("x")).alias("s"), "n", "id", "th",
+                 (F.col("pos") + F.col("px") - F.col("lo")).alias("pos"), F.col("px").alias("lo"), "seg")
+    return materialize(d, "sa-parts", frees=(found,))
 
 
 def _spans(rows: DataFrame, a, b) -> DataFrame:
@@ -418,7 +435,10 @@ def repeated_spans(keyed: DataFrame, length: int = 200, max_segments: int = 4000
         if large.isEmpty():
             release(stage, large)
             return reduce(DataFrame.unionByName, found)
-        parts = materialize(divide(units.join(large, GROUP, "left_semi"), length), "sa-parts", frees=(stage, large))
+        big = units.join(large, GROUP, "left_semi").withColumn("u", F.monotonically_increasing_id())
+        big = materialize(big, "sa-big", frees=(stage, large))
+        parts = divide(big, length)
+        release(big)
         same = parts.groupBy(*GROUP, "s").agg(F.sum("n").alias("m"), F.first(F.struct("id", "th", "pos", "lo", "seg")).alias("u"))
         same = materialize(same, "sa-same")
         twice = parts.filter("n = 1").join(same.filter("m > 1").select(*GROUP, "s"), [*GROUP, "s"], "left_semi")

@@ -75,3 +75,27 @@ def test_segments_that_go_on_over_arrow_batches(spark, small_docs, small_rows):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     want = sorted((r[0] if r[0] is not None else -1, *x) for r, x in zip(small_rows, _brute([r[1] for r in small_rows], 200)))
     assert sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in got) == want
+
+
+def test_division_keeps_only_parts_that_share_their_core(spark, monkeypatch):
+    """Many segments around one common passage, all in different texts but two: the others leave after one division."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = word(120)
+    texts = [word(170) + passage + word(170) for _ in range(60)]
+    texts += [texts[3][100:380] + word(90), word(30) + texts[5][140:345]]
+    sizes = {}
+    plain = suffixdedup.materialize
+
+    def counted(df, name=None, frees=()):
+        out = plain(df, name, frees)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixdedup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(suffixdedup.digests(docs, max_segments=5, block_bytes=1 << 14).collect())
+    assert [tuple(r[1:]) for r in got] == _brute(texts, 200)
+    assert sum(r[2] > 0 for r in got) == 4
+    # segments of the passage, cut into 8 ranges: only those of the four texts stay, and no group needs another division
+    assert sizes["sa-big"][0] > 30 and sizes["sa-parts"] == [min(sizes["sa-parts"][0], 30)]
