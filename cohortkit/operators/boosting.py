@@ -78,8 +78,9 @@ def _cuts(x: DataFrame, p: int, max_bins: int) -> list:
 
 
 def bin_rows(df: DataFrame, targets: Sequence[tuple], features: str = "features", max_bins: int = 64,
-             cells: int = 1 << 22) -> Binned:
-    """Blocks of about ``cells`` feature values; ``targets`` are (label, weight or None, fold or None) column names.
+             cells: int = 1 << 22, rows: int = 1 << 18) -> Binned:
+    """Blocks of about ``cells`` feature values, but ``rows`` rows at most, whose margins and gradients outweigh few features;
+    ``targets`` are (label, weight or None, fold or None) column names.
 
     Labels are 0 or 1; rows whose label is NULL take no part in that target.  NaN counts as the greatest value.
     """
@@ -96,7 +97,8 @@ def bin_rows(df: DataFrame, targets: Sequence[tuple], features: str = "features"
     first = x.select("x").first()
     p = len(first["x"]) if first else 0
     cuts = _cuts(x, p, max_bins)
-    count = max(1, -(-x.count() * p // cells))
+    size = x.count()
+    count = max(1, -(-size * p // cells), -(-size // rows))
 
     def pack(batches):
         parts = []
@@ -236,8 +238,7 @@ def fit(binned: Binned, chains: Sequence[Chain], stages: Sequence[int], every: i
     chains = list(chains)
 
     def deal(r):
-        for g in range(groups):
-            yield r.block * groups + g, (r.n, r.x, r.y, r.w, r.f, list(range(g, len(chains), groups)))
+        return r.n, r.x, r.y, r.w, r.f, list(range(r.g, len(chains), groups))
 
     def unpack(b):
         n, x, y, w, f, ids = b
@@ -252,7 +253,9 @@ def fit(binned: Binned, chains: Sequence[Chain], stages: Sequence[int], every: i
             total = np.rint(w[t][rows] * SCALE if chains[c].weighted else np.full(len(rows), SCALE))
             yield c, (int(total[y[t][rows] == 1].sum()), int(total.sum()))
 
-    dealt = binned.blocks.rdd.flatMap(deal).partitionBy(binned.count * groups, int).values()
+    # a block a partition, dealt outside Python: its workers never hold the several blocks that one read task may get
+    g = binned.blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = g.repartitionById(binned.count * groups, (F.col("block") * groups + F.col("g")).cast("int")).rdd.map(deal)
     dealt.persist(StorageLevel.MEMORY_AND_DISK)
     sums = dict(dealt.flatMap(counts).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect())  # a row a chain
     share = [min(max(sums.get(c, (0, 1))[0] / max(1, sums.get(c, (0, 1))[1]), 1e-6), 1 - 1e-6) for c in range(len(chains))]

@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import RDD
 
 from cohortkit.operators import boosting as BO
 from cohortkit.operators.metrics import roc_auc
@@ -83,6 +84,18 @@ def test_blocks_do_not_change_the_trees(spark):
         assert len(a) and (a == b).all()
 
 
+def test_rows_of_a_block_are_bounded_and_a_partition_holds_one_block(spark, monkeypatch):
+    """Few features give blocks of many rows; one read task may get many blocks, which no Python worker holds together."""
+    df = frame(spark, rows())
+    one, many = BO.bin_rows(df, [("b", None, None)]), BO.bin_rows(df, [("b", None, None)], rows=100)
+    assert one.count == 1 and many.count == 6 and max(r.n for r in many.blocks.collect()) <= 101
+    (b1, t1), = BO.fit(one, [BO.Chain(0, -1, 2, 0.2)], [3])
+    plain = RDD.partitionBy  # sums of histograms are reduced with it, by key
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *how: pytest.fail("blocks") if int in how else plain(self, n, *how))
+    (b2, t2), = BO.fit(many._replace(blocks=many.blocks.coalesce(1)), [BO.Chain(0, -1, 2, 0.2)], [3])
+    assert b1 == b2 and all((p == q).all() for u, v in zip(t1, t2) for p, q in zip(u, v))
+
+
 def test_stages_and_grid_equal_separate_fits(spark):
     pdf = rows(nulls=False)
     df = frame(spark, pdf)
